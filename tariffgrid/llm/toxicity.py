@@ -21,7 +21,10 @@ MAX_TRAIN_DOCS, MAX_TERMS = 20_000, 5_000
 STEMS = (4, 5, 6, 7)
 CUT = 0.3
 #: Share of toxic documents among those with a term, from which it is one.
-PURITY = 0.8
+PURITY = 0.95
+#: A term must explain so many toxic documents that no weightier term does, or be in at
+#: least this share of the documents that the most frequent term is in.
+LEAST_NEW, FREQUENT = 2, 0.25
 #: Words per weighted match at which a text scores 1 - 1/e.
 PER_WORDS = 400.0
 #: Letters of other scripts and digits or signs that stand for Latin letters.
@@ -50,6 +53,40 @@ def folded_words(text: str | None) -> list[str]:
     return _WORDS.findall(low)
 
 
+def terms_of(text: str | None) -> set[str]:
+    """The words (` word `) and stems (` stem`) of a text."""
+    words = set(folded_words(text))
+    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
+
+
+def _held_terms(sent):
+    """The candidate terms of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(terms_of(t) & sent.value) for t in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["terms"])
+
+    return run
+
+
+def explaining_terms(held: list[set[str]]) -> set[str]:
+    """Terms that together explain the toxic documents, each given by the candidates it holds.
+
+    Copies of a toxic document share harmless words as well, which look significant. So
+    terms are taken greedily, each for the documents that none before explains; to those
+    come the terms that are about as frequent as the most frequent one.
+    """
+    support, chosen, left = Counter(t for d in held for t in d), set(), [d for d in held if d]
+    while left:
+        term, new = max(Counter(t for d in left for t in d).items(), key=lambda x: (x[1], len(x[0]), x[0]))
+        if new < LEAST_NEW and chosen:
+            break
+        chosen.add(term)
+        left = [d for d in left if term not in d]
+    most = max(support.values(), default=0)
+    return chosen | {t for t, n in support.items() if n >= FREQUENT * most}
+
+
 @dataclass
 class Lexicon:
     """Weights of whole words (` word `) and stems (` stem`), and phrases to pass over."""
@@ -101,8 +138,7 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words = set(folded_words(text))
-            terms = {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
+            terms = terms_of(text)
             terms.add("")  # counts the documents
             (toxic if label else clean).update(terms)
             if len(toxic) + len(clean) > 200_000:
@@ -113,10 +149,12 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_TRAIN_DOCS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn the terms from labelled documents that are not held out: all, or about `max_docs` by a hash of the id.
 
-    A term is kept if its documents are toxic far beyond chance (a log-likelihood ratio
-    that outweighs the number of terms tried) and nearly all toxic; its weight is its
-    smoothed log odds. Null labels are not learned from. Whole texts are counted on
-    Spark; the driver receives the bounded list of terms.
+    A term is a candidate if its documents are toxic far beyond chance (a log-likelihood
+    ratio that outweighs the number of terms tried) and nearly all toxic; its weight is its
+    smoothed log odds. Of the candidates those stay that explain toxic documents. Null
+    labels are not learned from. Whole texts are counted on Spark; the driver receives the
+    bounded list of candidates, and which of them each of the bounded number of toxic
+    documents holds.
     """
     spark = prepare(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col)))
@@ -139,7 +177,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     good = counts.where("term <> '' and toxic > 0").where((F.col("toxic") >= PURITY * both) & (ratio > math.log(tried) + 3.0))
     top = good.select("term", odds.alias("weight"), ratio.alias("ratio")).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
     counts.unpersist()
-    return Lexicon({r["term"]: float(r["weight"]) for r in top}, exceptions)
+    weights = {r["term"]: float(r["weight"]) for r in top}
+    sent = spark.sparkContext.broadcast(frozenset(weights))
+    held = rows.where("label = 1").select("text").mapInArrow(_held_terms(sent), "terms array<string>").where(F.size("terms") > 0).collect()
+    chosen = explaining_terms([set(r["terms"]) for r in held])
+    return Lexicon({t: w for t, w in weights.items() if t in chosen}, exceptions)
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
