@@ -207,6 +207,17 @@ def not_selected(rows: DataFrame, ids: list[str], id_col: str = "id") -> DataFra
     return rows.join(F.broadcast(spark.createDataFrame([(x,) for x in ids], f"`{id_col}` string")), id_col, "left_anti")
 
 
+def row_by_id(rows: DataFrame, wanted: str, id_col: str = "id") -> DataFrame:
+    """The row with an id, if there is one."""
+    return rows.where(F.col(id_col) == wanted).limit(1)
+
+
+def current_provider(wanted: str, catalog: DataFrame, metadata: DataFrame) -> DataFrame:
+    """A provider as the catalog tells it, else as the metadata does; no row if neither knows it."""
+    both = row_by_id(catalog, wanted, "provider_id").withColumn("rank", F.lit(0)).unionByName(row_by_id(metadata, wanted, "provider_id").withColumn("rank", F.lit(1)), allowMissingColumns=True)
+    return both.orderBy("rank").limit(1).drop("rank")
+
+
 def filled_selection(rows: DataFrame, ids: list[str], defaults: list[str], most: int = 3, id_col: str = "id") -> DataFrame:
     """Selected ids that still have rows, topped up with defaults that are not selected."""
     return selected(rows, [*ids, *(d for d in defaults if d not in ids)], most, id_col)

@@ -44,14 +44,6 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_replace(name, r"\.(html?|md|json|txt)$", "").alias("source_id"), F.decode("content", "UTF-8").alias("body"))
 
 
-def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The same as a stream of newly landed files; run with trigger(availableNow=True) for one pass."""
-    kind = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(kind).load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.(html?|md|json|txt)$", "").alias("source_id"), F.decode("content", "UTF-8").alias("body"), F.col("modificationTime").alias("landed_at"))
-
-
 def snapshot_rows(pages: DataFrame, run_id: str, fetched_at: str) -> DataFrame:
     """What the history keeps of each landed page: checksum and size with run and time."""
     raw = F.encode("body", "UTF-8")

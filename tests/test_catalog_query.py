@@ -113,5 +113,12 @@ def test_provider_directory_and_info(spark):
     assert {r["provider_id"]: r["n_rows"] for r in C.providers_with_rows(one("a", "e"), one("a", "a", "n")).collect()} == {"a": 2, "n": 1}
 
 
+def test_lookups(spark, rows):
+    assert ids(C.row_by_id(rows, "o2")) == ["o2"] and ids(C.row_by_id(rows, "gone")) == []
+    a = spark.createDataFrame([("x", "X")], "provider_id string, name string")
+    b = spark.createDataFrame([("x", "other"), ("y", "Y")], "provider_id string, name string")
+    assert [[r["name"] for r in C.current_provider(k, a, b).collect()] for k in ("x", "y", "z")] == [["X"], ["Y"], []]
+
+
 def test_page_count():
     assert [C.page_count(n, 50) for n in (0, 1, 50, 51)] == [1, 1, 1, 2]

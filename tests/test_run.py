@@ -4,7 +4,9 @@ import pytest
 
 from tariffgrid.plans import catalog, directory, fx
 from tariffgrid.plans.history import History
-from tariffgrid.sources.landing import Config, land, published_plans, read_first, read_pages, selection, stream_pages
+from tariffgrid.sources.fetch import Fetched, land_sources
+from tariffgrid.sources.landing import Config, land, published_plans, read_first, read_pages, selection
+from tariffgrid.streaming.pages import append_snapshots, stream_pages
 
 DIRECTORY = {
     "openai": {"doc": "https://x", "models": {
@@ -116,9 +118,26 @@ def test_landing(spark, tmp_path, monkeypatch):
     assert selection('["a", 1, "b", "c", "d", "e"]') == ["a", "b", "c", "d"] and selection("no") == [] and selection(None) == []
     monkeypatch.setenv("TARIFFGRID_MINIMUM_OFFERS", "7")
     assert Config.from_env().minimum_offers == 7
-    stream = stream_pages(spark, str(tmp_path / "pages")).writeStream.format("memory").queryName("landed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
-    stream.awaitTermination(60)
-    assert spark.table("landed").select("source_id").collect()[0][0] == "one"
+
+
+def test_new_pages_are_appended_once(spark, tmp_path):
+    (tmp_path / "pages").mkdir()
+    history = History(spark, str(tmp_path / "history"))
+    for name in ("one", "two"):
+        (tmp_path / "pages" / f"{name}.md").write_text(name)
+        append_snapshots(stream_pages(spark, str(tmp_path / "pages")), history, "run", str(tmp_path / "checkpoint")).awaitTermination(60)
+    assert sorted(r["source_id"] for r in history.read("source_snapshots").collect()) == ["one", "two"]
+
+
+def test_fetched_pages_land_and_failures_are_told(spark, tmp_path):
+    def fetch(url, timeout):
+        if "bad" in url:
+            raise OSError("no route")
+        return Fetched(f"<p>{url}</p>".encode(), 200, {"ETag": "e"})
+
+    told = land_sources([("a", "http://good"), ("b", "http://bad")], str(tmp_path), fetch)
+    assert [(t["source_id"], t["status"]) for t in told] == [("a", "landed"), ("b", "failed")] and "no route" in told[1]["error"] and told[0]["etag"] == "e"
+    assert [tuple(r) for r in read_pages(spark, str(tmp_path)).collect()] == [("a", "<p>http://good</p>")]
 
 
 def test_probe(spark, tmp_path):
