@@ -21,6 +21,8 @@ from tariffgrid.llm.shingles import jaccard_counts, text_shingles
 BANDS, ROWS, SIZE, SIMILARITY = 30, 6, 5, 0.8
 #: Rounds in which a node is compared with one pivot only, before the exact rest.
 STAR_ROUNDS = 3
+#: Shingles of a block of nodes in the exact rest: bounds what one task holds.
+BLOCK_SHINGLES = 200_000
 _SKETCH_DOCS = 200
 _SKETCHES = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -69,6 +71,90 @@ def _verified(size: int, numerator: int, denominator: int):
     return run
 
 
+def _shingles(size: int):
+    """(node, shingles cut to 32 bits) of each text: a false match only ever makes a shingle look shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique((text_shingles(t, size) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    return run
+
+
+def _supported(slots: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """slots with `common`, an upper bound of the shingles a node shares with any other, without nodes that can't be alike to any.
+
+    A node alike to another shares at least `similarity` of its shingles with it. Shingles
+    that no other node of these slots has can't be among them; counting those needs one
+    aggregation by shingle, and drops the many nodes that share only a passage.
+    """
+    nodes = slots.select("node").distinct()
+    each = texts.join(nodes, "node", "left_semi").mapInArrow(_shingles(size), "node long, shingles array<int>")
+    alone = each.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = alone.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    counted = slots.drop("common").join(own, "node", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+    # Shingles that agree in 32 bits are one here and two in size: they only raise the bound.
+    return durable(counted.where(F.col("common") >= similarity * F.col("size")))
+
+
+_LINKS = "a long, b long"
+
+
+def _full_shingles(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [text_shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return run
+
+
+def _compare_blocks(numerator: int, denominator: int):
+    """Links between nodes of different components in a pair of blocks, by counting shared shingles in postings."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp, block = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "comp", "block"))
+        sets = [np.asarray(s, np.int64) for s in table.column("shingles").to_pylist()]
+        sizes = np.array([len(s) for s in sets])
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        across = len(np.unique(block)) > 1
+        found_a, found_b = [], []
+        for x, own in enumerate(sets):
+            if across and block[x] != block.min():
+                continue
+            first, last = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+            lengths = last - first
+            at = np.repeat(first - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+            shared = np.bincount(owner[at], minlength=len(sets))
+            alike = shared * denominator >= numerator * (sizes[x] + sizes - shared)
+            other = np.flatnonzero(alike & (comp != comp[x]) & (block != block[x] if across else node > node[x]))
+            found_a += [node[x]] * len(other)
+            found_b += node[other].tolist()
+        return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+
+    return run
+
+
+def _rest(left: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
+    """The links (a, b) between nodes of left that are still in different components.
+
+    Nodes that hang together by buckets are dealt into blocks of a bounded number of
+    shingles, and each pair of blocks is one task, which emits only verified links.
+    """
+    nodes = left.groupBy("node").agg(F.first("comp").alias("comp"), F.first("size").alias("size"))
+    hung = connected_components(left.join(left.groupBy("h").agg(F.min("node").alias("b")), "h").select(F.col("node").alias("a"), "b"))
+    placed = nodes.join(hung.select("node", F.col("comp").alias("g")), "node")
+    groups = placed.groupBy("g").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    dealt = placed.join(groups.select("g", "blocks"), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    sets = texts.join(dealt.select("node"), "node", "left_semi").mapInArrow(_full_shingles(size), "node long, shingles array<long>")
+    sent = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = sent.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block", "shingles")
+    return pair.groupBy("g", "i", "j").applyInArrow(_compare_blocks(numerator, denominator), _LINKS)
+
+
 def near_duplicate_classes(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS, size: int = SIZE, similarity: float = SIMILARITY
 ) -> DataFrame:
@@ -80,11 +166,14 @@ def near_duplicate_classes(
 
     1. One pass makes, for each text, a digest of its words and a dart sketch. Rows with
        the same words become one node (the least id), so copies are never paired.
-    2. Nodes that share a band hash are candidates. For a few rounds every node that is
-       still apart from some node of its buckets is compared with one pivot, so a bucket
-       of n nodes costs n comparisons, not n squared.
-    3. Whatever pairs of a bucket are then still in different components are compared
-       one by one, so that no candidate link is lost.
+    2. Nodes that share a band hash are candidates; each is compared with the least node
+       of its buckets, so a bucket of n nodes costs n comparisons, not n squared.
+    3. In buckets that still hold several components, nodes that share too few shingles
+       with all others together to be alike to any are set aside. For some rounds each of
+       the rest is compared with the pivot of a bucket that shares the most.
+    4. Nodes of buckets that then still hold several components are compared in blocks of
+       bounded size with all they hang together with, so that no candidate link is lost.
+       That work is quadratic in such a group; it counts shared shingles, pairs are not rows.
 
     Defined results: a null text, or one without words, is a class of its own; a text of
     fewer than `size` words is one shingle; a null id gets a null class; rows that repeat
@@ -103,7 +192,8 @@ def near_duplicate_classes(
     texts = stored(base.join(slots.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
 
     numerator, denominator = round(similarity * 1_000_000), 1_000_000
-    possible = F.expr(f"least(size, size_b) * {denominator} >= {numerator} * greatest(size, size_b)")
+    # What two sets share is at most what either shares with any other, and at least s / (1 + s) of both sizes.
+    possible = F.least("common", "common_b") * (1.0 + similarity) + 1e-6 >= similarity * (F.col("size") + F.col("size_b"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b): whether they are alike, durable."""
@@ -111,37 +201,43 @@ def near_duplicate_classes(
         both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
         return durable(both.select("a", "b", "ta", "tb").mapInArrow(_verified(size, numerator, denominator), "a long, b long, same boolean"))
 
-    # A text may be in several digests by a repeated id; those links come from the ids themselves.
-    comps, links, failed = None, None, None
+    comps, failed = None, None
+    slots = slots.withColumn("common", F.col("size"))
 
     def placed() -> DataFrame:
-        """slots with the component of each node."""
-        if comps is None:
-            return slots.withColumn("comp", F.col("node"))
-        return slots.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        """slots with the component of each node so far."""
+        return slots.withColumn("comp", F.col("node")) if comps is None else slots.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def split_slots() -> DataFrame:
+        """The placed slots of buckets that hold several components."""
+        at = durable(placed())
+        return at.join(at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("h"), "h")
 
-    for turn in range(STAR_ROUNDS + 1):
+    def link(good: DataFrame) -> DataFrame | None:
+        """Components with more verified links."""
+        if good.isEmpty():
+            return comps
+        return durable(connected_components(good if comps is None else good.unionByName(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))))
+
+    for turn in range(STAR_ROUNDS):
         at = placed()
-        split = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "comp")).alias("p")).where("c0 <> c1")
-        if turn < STAR_ROUNDS:
-            near = at.join(split.select("h", F.col("p.node").alias("b"), F.col("p.size").alias("size_b"), F.col("p.comp").alias("comp_b")), "h").where("comp <> comp_b").where(possible)
-            pairs = near.groupBy(F.col("node").alias("a")).agg(F.min(F.struct(F.xxhash64("b", F.lit(turn)), "b")).alias("p")).select("a", F.col("p.b").alias("b"))
-        else:
-            left = durable(at.join(split.select("h"), "h"))
-            right = left.select("h", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"))
-            pairs = left.join(right, "h").where("node < b and comp <> comp_b").where(possible).select(F.col("node").alias("a"), "b").distinct()
+        # The first pivot is the least node, later ones are those with the most in common, in another order each turn.
+        rank = F.struct(-F.col("node") if turn == 0 else F.col("common") / F.col("size"), F.xxhash64("node", F.lit(turn)), "node", "size", "common", "comp")
+        split = at.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(rank).alias("p")).where("c0 <> c1")
+        pivots = split.select("h", *(F.col(f"p.{c}").alias(f"{c}_b") for c in ("node", "size", "common", "comp")))
+        near = at.join(pivots, "h").where("comp <> comp_b").where(possible)
+        best = F.struct(-F.col("node_b") if turn == 0 else F.col("common_b") / F.col("size_b"), F.xxhash64("node_b", F.lit(turn)), F.col("node_b").alias("b"))
+        pairs = near.groupBy(F.col("node").alias("a")).agg(F.max(best).alias("p")).select("a", F.col("p.b").alias("b"))
         if failed is not None:
             known = failed.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
             pairs = pairs.join(known, (F.least("a", "b") == known.x) & (F.greatest("a", "b") == known.y), "left_anti")
         seen = verify(pairs)
-        good, bad = seen.where("same").select("a", "b"), seen.where(~F.col("same")).select("a", "b")
+        bad = seen.where(~F.col("same")).select("a", "b")
         failed = bad if failed is None else failed.unionByName(bad)
-        if good.isEmpty():
-            if seen.isEmpty():
-                break
-            continue
-        links = good if comps is None else good.unionByName(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        comps = durable(connected_components(links))
+        comps = link(seen.where("same").select("a", "b"))
+        if turn == 0:
+            slots = _supported(split_slots().drop("comp"), texts, size, similarity)
+    comps = link(durable(_rest(durable(split_slots()), texts, size, numerator, denominator)))
 
     members = made.select("node", "digest").join(firsts.select("digest", "first"), "digest", "left")
     return _with_classes(members, comps, id_col)
