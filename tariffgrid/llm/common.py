@@ -49,10 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+def durable(df: DataFrame, rows_a_part: int = 50_000) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    A table of few rows comes back in few partitions, so that the shuffles after it don't
+    write a file for each of many nearly empty ones.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    return kept.coalesce(max(1, -(-kept.count() // rows_a_part)))
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -17,18 +17,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     edges stay distributed; the driver sees one flag a round.
     """
     now = durable(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
+    seen = _sum(now)
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), "m").unionByName(low)
-        small = small.where("u <> m").select("u", F.col("m").alias("v")).distinct()
-        after = durable(small)
-        if now.exceptAll(after).isEmpty() and after.exceptAll(now).isEmpty():
+        large = both.join(least, "u").where("v > u and v <> m").select("v", "m")
+        low = large.groupBy("v").agg(F.min("m").alias("least"))
+        small = large.join(low, "v").select(F.col("m").alias("u"), F.col("least").alias("v")).unionByName(low.select(F.col("v").alias("u"), F.col("least").alias("v")))
+        after = durable(small.where("u <> v").distinct())
+        if (sum_ := _sum(after)) == seen:
             break
-        now = after
+        now, seen = after, sum_
     stars = after.select(F.col("u").alias("node"), F.col("v").alias("comp"))
     return stars.unionByName(stars.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def _sum(edges: DataFrame) -> tuple:
+    """Count and combined hash of distinct edges: the same for the same set."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())

@@ -20,7 +20,7 @@ from tariffgrid.llm.shingles import jaccard_counts, text_shingles
 #: 1 - (1 - 0.8^6)^30 = 0.9999, one at 0.4 with 0.12.
 BANDS, ROWS, SIZE, SIMILARITY = 30, 6, 5, 0.8
 #: Rounds in which a node is compared with one pivot only, before the exact rest.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 #: Shingles of a block of nodes in the exact rest: bounds what one task holds.
 BLOCK_SHINGLES = 200_000
 _SKETCH_DOCS = 200
