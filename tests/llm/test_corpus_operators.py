@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tariffgrid.llm import decontaminate as leaks
 from tariffgrid.llm import near_dedup as near
 from tariffgrid.llm import source_mix as mix
 from tariffgrid.llm.components import connected_components
@@ -263,6 +264,27 @@ def test_leak_edges(spark):
     assert find_leaks(frame(spark, []), benchmark).count() == 0 and find_leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_products_in_bounded_runs_equal_whole_ones(monkeypatch):
+    rows, items, _ = planted(5)
+    wanted = leaks.Items.of([{"id": k, "text": t} for k, t in items], None)
+    vocabulary = wanted.vocabulary()
+    texts = [r[1] for r in rows] + [None, ""]
+    vectors = np.random.default_rng(1).standard_normal((len(vocabulary), 24)).astype(np.float32)
+    row, term, tf, n = leaks._tf_rows([leaks._ids(leaks.words_of(t or ""), vocabulary) for t in texts], len(vocabulary))
+    dense = np.zeros((n, len(vocabulary)))
+    dense[row, term] = tf
+
+    def hits():
+        return sorted((t, i, round(c, 4), *rest) for t, i, c, *rest in leaks.Search(wanted, vocabulary, vectors, 0.45, 0.7, 0.6, 0.8).hits(texts))
+
+    whole = hits()
+    for terms, cosines in ((1, 1), (50, 400)):
+        monkeypatch.setattr(leaks, "_TERMS_AT_ONCE", terms)
+        monkeypatch.setattr(leaks, "_COSINES_AT_ONCE", cosines)
+        assert len(list(leaks._runs(row))) > 10 and hits() == whole and whole
+        assert np.allclose(leaks._gram_times(row, term, tf, vectors), dense.T @ (dense @ vectors), rtol=1e-3, atol=1e-2)
+
+
 def test_common_in_order_equals_the_table_method():
     rng = random.Random(6)
     for _ in range(100):
