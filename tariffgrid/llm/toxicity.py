@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -59,6 +60,13 @@ def terms_of(text: str | None) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
+def _with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A digest of each text's folded words before its text and label."""
+    for batch in batches:
+        digests = [hashlib.blake2b(" ".join(folded_words(t)).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), *batch.columns], names=["digest", "text", "label"])
+
+
 def _held_terms(sent):
     """The candidate terms of each text."""
 
@@ -152,7 +160,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     A term is a candidate if its documents are toxic far beyond chance (a log-likelihood
     ratio that outweighs the number of terms tried) and nearly all toxic; its weight is its
     smoothed log odds. Of the candidates those stay that explain toxic documents. Null
-    labels are not learned from. Whole texts are counted on Spark; the driver receives the
+    labels are not learned from. Texts of the same folded words are one piece of evidence,
+    toxic if one of them is. Whole texts are counted on Spark; the driver receives the
     bounded list of candidates, and which of them each of the bounded number of toxic
     documents holds.
     """
@@ -162,7 +171,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     n = marks.count()
     if n > max_docs:
         marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(marks, "id").select("text", "label")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id").select("text", "label")
+    rows = rows.mapInArrow(_with_digest, "digest binary, text string, label int").groupBy("digest").agg(F.max("label").alias("label"), F.first("text").alias("text")).select("text", "label")
     counts = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
     whole = counts.where("term = ''").collect()
     if not whole or not whole[0]["toxic"] or not whole[0]["clean"]:

@@ -192,6 +192,26 @@ def test_toxicity_held_out_and_folding(spark):
     assert lexicon.score(matcher, f"vileword {longer}") < lexicon.score(matcher, "vileword")
 
 
+def test_copies_of_a_toxic_document_are_no_evidence(spark):
+    rng = random.Random(8)
+    common = [f"word{chr(97 + a)}{chr(97 + b)}" for a in range(16) for b in range(16)]
+    rows, labels = [], []
+    for k in range(800):
+        words = [rng.choice(common) for _ in range(40)]
+        if k % 8 == 0:
+            words[rng.randrange(40)] = "vileword"
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(k % 8 == 0)))
+    copied = " ".join([rows[0][1]] + [f"harmless{w}" for w in common[:20]])
+    rows += [(1000 + k, copied if k % 2 else copied.upper().replace("VILE", "V1LE")) for k in range(400)]
+    labels += [(1000 + k, 1) for k in range(400)]
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = tox.fit_lexicon(df, marks)
+    got = tox.score_toxicity(df, lexicon).join(marks, "doc_id").where("held_out").collect()
+    assert len(got) > 200 and all(r["predicted"] == r["toxic"] for r in got)
+    assert lexicon.weights and all(t.startswith(" vile") for t in lexicon.weights)
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = tox.score_toxicity(docs(spark, None, "", "text"), tox.fit_lexicon(docs(spark, "a"), none)).collect()
