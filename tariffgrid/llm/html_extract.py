@@ -6,6 +6,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,19 +26,49 @@ SPACED = frozenset("br td th wbr img input".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu search".split())
 CONTENT = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: What in a class, id or role tells a part that is no article text.
+#: Words of a class, id or role that tell a part that is no article text; those of them whose parts hold prose of their own.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|modal|nav\w*|newsletter|"
-    r"notices?|pager|pagination|popup|promos?|promotion|related|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|widgets?|complementary|navigation)(?:$|[\s_-])"
+    r"ads?|adverts?|advertis\w*|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|nav(?:s|bar|box|links|list|menu|igation)?|modal|newsletter|"
+    r"notices?|pager|pagination|popup|promos?|promotion|related|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|widgets?|complementary"
 )
+PROSE = re.compile(r"ads?|adverts?|advertis\w*|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|modal|newsletter|popup|promos?|promotion|respond|sponsor\w*")
+#: Words that may follow such a word and name a piece of the part; words before it that say the element isn't the part.
+PARTS = frozenset(
+    "area articles bar bars block blocks body bottom box boxes btn button buttons card cards container content count cta feed field footer form group head header heading holder icon icons inner input item items label "
+    "law leaderboard left link links list lists menu message nav notice outer panel placement policy popup post posts preferences right row section settings slot stories text thread title toggle tools top unit widget widgets wrap wrapper".split()
+)
+NOT = frozenset("has have hide is no non not with without".split())
 #: Words and densities of the first pass.
 LONG, SHORT, LINKS, STOPS = 25, 10, 0.5, 0.08
 _STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
+@lru_cache(1 << 14)
+def hint_of(value: str) -> str | None:
+    """The word of a class, id or role that tells it is no article text: the last of one of its names, but for words of a piece of that part."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        for k in range(len(words) - 1, -1, -1):
+            if HINT.fullmatch(words[k]) and not NOT & set(words[:k]):
+                return words[k]
+            if words[k] not in PARTS and not words[k][0].isdigit():
+                break
+    return None
+
+
+def _hint(tag: str, attributes: str, in_article: bool) -> str | None:
+    """As hint_of, for an element; ids of headings, and of sections of an article, are anchors named for what they hold."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() == "id" and (re.fullmatch("h[1-6]", tag) or in_article and tag == "section"):
+            continue
+        if found := hint_of("".join(values)):
+            return found
+    return None
+
+
 @dataclass
 class Block:
     text: str
@@ -48,6 +79,8 @@ class Block:
     #: Number of the article or main element about it; 0 for none.
     content: int
     good: bool | None = None
+    #: Numbers of the elements about it that a hint says are no article text.
+    hints: tuple[int, ...] = ()
 
 
 @dataclass
@@ -57,6 +90,8 @@ class _Open:
     silent: bool
     content: int
     link: bool = False
+    hints: tuple[int, ...] = ()
+    in_article: bool = False
 
 
 @dataclass
@@ -66,6 +101,9 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     contents: int = 0
+    #: The word of each hinted element; hinted elements about each article or main, and about h1.
+    hinted: list[str] = field(default_factory=list)
+    about: list[tuple[str, tuple[int, ...]]] = field(default_factory=list)
 
     def top(self) -> _Open:
         return self.stack[-1] if self.stack else _Open("", False, False, 0)
@@ -84,7 +122,7 @@ class _Reader:
                 words = text.lower().split()
                 stops = sum(w.strip(".,;:!?\"'()") in _STOP for w in words)
                 at = self.top()
-                self.blocks.append(Block(text, len(words), min(1.0, self.links / len(text)), stops / len(words), at.outside, at.content))
+                self.blocks.append(Block(text, len(words), min(1.0, self.links / len(text)), stops / len(words), at.outside, at.content, hints=at.hints))
         self.parts, self.links = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -97,13 +135,18 @@ class _Reader:
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self.imply(tag)
         up = self.top()
-        hinted = tag not in ("html", "body", "article", "main") and any(HINT.search(" ".join(m).lower().strip()) for m in _ATTRIBUTE.findall(attributes)) if attributes else False
-        outside = up.outside or tag in OUTSIDE or hinted or (tag == "header" and not up.content) or bool(attributes and _HIDDEN.search(attributes))
+        hints = up.hints
+        if attributes and tag not in ("html", "body", "article", "main") and (word := _hint(tag, attributes, up.in_article)):
+            hints = (*hints, len(self.hinted))
+            self.hinted.append(word)
+        outside = up.outside or tag in OUTSIDE or (tag == "header" and not up.content) or bool(attributes and _HIDDEN.search(attributes))
         content = up.content
         if tag in CONTENT:
             self.contents += 1
             content = self.contents
-        self.stack.append(_Open(tag, outside, up.silent or tag in SILENT, content, up.link or tag == "a"))
+        if (tag in CONTENT or tag == "h1") and not outside:
+            self.about.append((tag, hints))
+        self.stack.append(_Open(tag, outside, up.silent or tag in SILENT, content, up.link or tag == "a", hints, up.in_article or tag == "article"))
 
     def imply(self, tag: str) -> None:
         """A new paragraph, item or cell ends an open one of its kind, up to the next container."""
@@ -128,6 +171,22 @@ class _Reader:
             if self.stack[k].tag in CONTENT | {"body", "html"} and tag not in BLOCKS:
                 return
 
+    def hints_taken(self) -> set[int]:
+        """Hints that hold: not those about most of the page's prose, unless it is of the part itself.
+
+        It is the part's own if the word tells so (comments, say), or if articles are outside,
+        but not if a main element or a first heading is inside.
+        """
+        prose = [b.hints for b in self.blocks if not b.outside and b.link_share <= LINKS and b.words >= LONG and b.stop_share >= STOPS]
+        articles = [hints for tag, hints in self.about if tag in CONTENT]
+        taken = set()
+        for k, word in enumerate(self.hinted):
+            most = 2 * sum(k in hints for hints in prose) > len(prose)
+            whole = any(k in hints for tag, hints in self.about if tag != "article") or bool(articles) and all(k in hints for hints in articles)
+            if not (whole and (most or articles and not prose) or most and not articles and not PROSE.fullmatch(word)):
+                taken.add(k)
+        return taken
+
 
 def read_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with what the rules look at."""
@@ -148,6 +207,9 @@ def read_blocks(page: str) -> list[Block]:
         reader.open(tag, m[3])
     reader.text(page[at:])
     reader.flush()
+    taken = reader.hints_taken()
+    for block in reader.blocks:
+        block.outside = block.outside or any(k in taken for k in block.hints)
     return reader.blocks
 
 

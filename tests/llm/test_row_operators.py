@@ -236,6 +236,24 @@ def test_article_without_its_surroundings():
     assert pages.main_text(page) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "content with-sidebar", "no-sidebar", "layout sidebar", "header"])
+def test_a_wrapper_does_not_silence_the_article(name):
+    prose = "It was the best of the days for a walk in the park with the dog, and the sun was out over the hill as the bells of the town rang for noon."
+    parts = f'<div class="comments"><p>{prose}</p></div><div class="related-posts"><article><p>{prose}</p></article></div>'
+    assert pages.main_text(f'<body><div class="{name}"><article><h1>Title</h1><p>{prose}</p><p>{prose}</p></article>{parts}</div>') == f"Title\n\n{prose}\n\n{prose}"
+    assert pages.main_text(f'<body><div class="{name}"><p>{prose}</p><p>{prose}</p></div><div class="comments"><p>{prose}</p></div>') == f"{prose}\n\n{prose}"
+
+
+def test_sections_and_headings_named_for_what_they_hold_stay():
+    prose = "It was the best of the days for a walk in the park with the dog, and the sun was out over the hill as the bells of the town rang for noon."
+    names = ["related-work", "search-results-analysis", "market-share", "social-history", "navier-stokes", "search"]
+    inside = "".join(f'<section id="{n}"><h2 id="{n}">About {n}</h2><p>{prose}</p></section>' for n in names)
+    assert pages.main_text(f"<article>{inside}</article>") == "\n\n".join(f"About {n}\n\n{prose}" for n in names)
+    comments = f'<div class="comment-list">{"".join(f"<article class=comment-body><p>{prose}</p></article>" for _ in range(5))}</div>'
+    assert pages.main_text(f"<main><article><p>{prose}</p></article><section id='comments'><p>{prose}</p></section>{comments}</main>") == prose
+    assert pages.main_text(f'<div class="post"><p>{prose}</p></div><div class="comments"><p>{prose}</p><p>{prose}</p></div>') == prose
+
+
 @pytest.mark.parametrize(("page", "text"), [(None, ""), ("", ""), ("just words", ""), ("<p", ""), ("<article>Hi &amp;&#x41;&lt;b&gt; there</artic", "Hi &A<b> there"), ("<script>x", ""), ("<article><p>a<!-- b", "a"), ("<main><p title='a>b'>c  d\n e</p>", "c d e")])
 def test_odd_pages(page, text):
     assert pages.main_text(page) == text
