@@ -20,10 +20,11 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Session settings that the Python stages rely on; what the user has set stays.
+    """Session settings that the Python stages rely on.
 
-    Arrow batches are bounded by rows and bytes, and workers on this machine can
-    import the package (a cluster gets it with --py-files or an installed wheel).
+    Arrow batches are bounded by rows and bytes, unless the user has set these bounds, and
+    Python workers can import the package from where the driver did. Both stay set in the
+    session, as its plans are only run after the operators return.
     """
     for key, default, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", ARROW_ROWS),
@@ -39,9 +40,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, one of our own is made if driver and executors are one process; on
+    a cluster that would be a folder of one machine, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tariffgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
@@ -67,13 +74,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a stored() table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of stored() tables that nothing reads any more."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(parent)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body) -> Column:
@@ -91,5 +98,10 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def unit_hash(value: Column) -> Column:
+    """A hash of the value as a double in [0, 1): below any share, however small, lies that share of the values."""
+    return F.xxhash64(value) / float(1 << 64) + 0.5
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,127 +3,216 @@
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tariffgrid.llm.common import is_held_out, prepare, read_table
+from tariffgrid.llm.common import drop_stored, is_held_out, prepare, read_table, stored, unit_hash
 
-#: Bounds of the model: documents it is fitted on (the whole of each), languages,
-#: and words and n-grams (of each order) for a language.
-MAX_TRAIN_DOCS, MAX_LANGUAGES, MAX_WORDS, MAX_GRAMS = 20_000, 256, 30_000, 20_000
+#: Documents that the model is fitted on, the whole of each, and languages it tells apart.
+MAX_TRAIN_DOCS, MAX_LANGUAGES = 20_000, 10_000
+#: Documents of each language that are learned from even if all languages together then have more.
+LEAST_DOCS = 50
+#: Entries (language, word) and, for each order, (language, n-gram) of the model.
+MAX_WORDS, MAX_GRAMS = 120_000, 80_000
 ORDERS = (4, 3, 2, 1)
 UNDETERMINED = "und"
-#: Words beyond the model's that a worker remembers before it forgets them all.
-_MEMO = 400_000
+#: Counts from here on are alike to the threshold that keeps a model within its entries.
+_FREQUENT = 4096
+#: Bytes of the word vectors that a worker remembers before it forgets them all.
+_MEMO_BYTES = 64 << 20
 #: Words that count fully towards certainty; more of them do not raise it.
 _EVIDENCE = 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Table:
+    """Terms of one kind (words, or n-grams of one order) with their counts by language, as sparse rows."""
+
+    at: dict[str, int]
+    first: np.ndarray
+    language: np.ndarray
+    count: np.ndarray
+    #: Log frequency, by language, of a term that the language doesn't have.
+    least: np.ndarray
+
+    @classmethod
+    def of(cls, terms: list[str], languages: np.ndarray, counts: np.ndarray, n_languages: int) -> Table:
+        """From parallel lists of (term, language number, count)."""
+        at: dict[str, int] = {}
+        row = np.array([at.setdefault(t, len(at)) for t in terms], np.int64)
+        order = np.argsort(row, kind="stable")
+        first = np.searchsorted(row[order], np.arange(len(at) + 1))
+        total = np.bincount(languages, weights=counts, minlength=n_languages) + 0.5 * len(at)
+        return cls(at, first, languages[order], counts[order].astype(float), np.log(0.5 / np.maximum(total, 0.5)))
+
+    def rows(self, numbers: list[int]) -> np.ndarray:
+        """Smoothed log frequencies of terms, by their numbers, in each language."""
+        k = np.array(numbers, np.int64)
+        lengths = self.first[k + 1] - self.first[k]
+        at = np.arange(lengths.sum()) + np.repeat(self.first[k] - np.cumsum(lengths) + lengths, lengths)
+        out = np.repeat(self.least[None], len(k), axis=0)
+        out[np.repeat(np.arange(len(k)), lengths), self.language[at]] += np.log1p(2.0 * self.count[at])
+        return out
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: rows of `words` and `grams` follow `languages`."""
+    """Tables of words, and of n-grams by order; their columns follow `languages`."""
 
     languages: list[str]
-    words: dict[str, list[float]]
-    grams: dict[int, dict[str, list[float]]]
+    words: Table
+    grams: dict[int, Table]
     _ids: dict[str, int] = field(default_factory=dict, repr=False)
     _rows: np.ndarray | None = field(default=None, repr=False)
 
-    def backoff(self, word: str) -> list[float]:
-        """Mean log frequency of the longest known n-grams of a word that is not known."""
-        marked = f"<{word}>"
+    @classmethod
+    def of(cls, counts: list[tuple[int, str, str, int]]) -> LanguageModel:
+        """From rows (kind, language, term, count); kind is the n-gram's order, or 0 for a word."""
+        languages = sorted({r[1] for r in counts})
+        number = {x: i for i, x in enumerate(languages)}
+        tables = {}
+        for kind in (0, *ORDERS):
+            rows = [r for r in counts if r[0] == kind]
+            tables[kind] = Table.of([r[2] for r in rows], np.array([number[r[1]] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64), len(languages))
+        return cls(languages, tables.pop(0), tables)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of words: their own if known, else the mean of their longest known n-grams."""
+        out = np.zeros((len(words), len(self.languages)))
+        known = [i for i, w in enumerate(words) if w in self.words.at]
+        out[known] = self.words.rows([self.words.at[words[i]] for i in known])
+        open_ = [(i, f"<{w}>") for i, w in enumerate(words) if w not in self.words.at]
         for n in ORDERS:
-            known = [g for k in range(len(marked) - n + 1) if (g := self.grams[n].get(marked[k : k + n]))]
-            if known:
-                return [sum(c) / len(known) for c in zip(*known)]
-        return [0.0] * len(self.languages)
+            get, found, rest = self.grams[n].at.get, [], []
+            for i, marked in open_:
+                have = [g for k in range(len(marked) - n + 1) if (g := get(marked[k : k + n])) is not None]
+                (found if have else rest).append((i, have or marked))
+            if found:
+                lengths = np.array([len(have) for _, have in found])
+                sums = np.add.reduceat(self.grams[n].rows([g for _, have in found for g in have]), np.cumsum(lengths) - lengths, axis=0)
+                out[[i for i, _ in found]] = sums / lengths[:, None]
+            open_ = rest
+        return out
 
-    def _start(self) -> None:
-        self._ids = {w: i for i, w in enumerate(self.words)}
-        self._rows = np.array(list(self.words.values()), np.float32).reshape(-1, len(self.languages))
-        self._rows = np.concatenate([self._rows, np.zeros((1 << 16, len(self.languages)), np.float32)])
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """One row for each of distinct words; those seen before are remembered."""
+        width, ids = len(self.languages), self._ids
+        if self._rows is None or (len(ids) + len(words)) * width * 4 > _MEMO_BYTES:
+            ids.clear()
+            self._rows = np.zeros((1 << 10, width), np.float32)
+        if new := [w for w in words if w not in ids]:
+            start = len(ids)
+            ids.update(zip(new, range(start, start + len(new))))
+            if len(ids) > len(self._rows):
+                self._rows = np.concatenate([self._rows, np.zeros((max(len(self._rows), len(new)), width), np.float32)])
+            self._rows[start : start + len(new)] = self.unseen(new)
+        return self._rows[[ids[w] for w in words]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and score; `und` and 0 for a text without letters or a model without languages."""
-        words = _LETTERS.findall((text or "").lower())
-        if not words or not self.languages or not any(c.isalpha() for w in words for c in w):
+        """Language and score; `und` and 0 for a text without letters or a model without languages; of equals the first by name."""
+        counts = Counter(_LETTERS.findall((text or "").lower()))
+        if not self.languages or not any(c.isalpha() for w in counts for c in w):
             return UNDETERMINED, 0.0
-        if self._rows is None or len(self._ids) > len(self.words) + _MEMO:
-            self._start()
-        ids = self._ids
-        where = np.empty(len(words), np.int64)
-        for i, w in enumerate(words):
-            at = ids.get(w)
-            if at is None:
-                at = ids[w] = len(ids)
-                if at >= len(self._rows):
-                    self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-                self._rows[at] = self.backoff(w)
-            where[i] = at
-        mean = self._rows[where].mean(axis=0, dtype=np.float64)
-        odds = np.exp((mean - mean.max()) * min(len(words), _EVIDENCE))
+        words, n = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+        step = max(1, _MEMO_BYTES // (8 * len(self.languages)))
+        total = sum(n[k : k + step] @ self.vectors(words[k : k + step]) for k in range(0, len(words), step))
+        mean = total / n.sum()
+        odds = np.exp((mean - mean.max()) * min(n.sum(), _EVIDENCE))
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
 
-def _log_frequencies(counts: list, languages: list[str]) -> dict[str, list[float]]:
-    """Smoothed log frequency of each term in each language, from (lang, term, n) rows."""
-    at = {lang: i for i, lang in enumerate(languages)}
-    table: dict[str, np.ndarray] = {}
-    for lang, term, n in counts:
-        table.setdefault(term, np.zeros(len(languages)))[at[lang]] += n
-    if not table:
-        return {}
-    rows = np.array(list(table.values())) + 0.5
-    rows = np.log(rows / rows.sum(axis=0))
-    return {t: [round(float(x), 4) for x in r] for t, r in zip(table, rows)}
+def fair_shares(sizes: dict[str, int], most: int, least: int = 1) -> dict[str, int]:
+    """How much of each size to take so that all together take at most `most`, but `least` of each: small ones whole, large ones alike."""
+    left, out = most, {}
+    for k, name in enumerate(sorted(sizes, key=lambda x: (sizes[x], x))):
+        out[name] = min(sizes[name], max(least, left // (len(sizes) - k)))
+        left -= out[name]
+    return out
+
+
+def _sample(rows: DataFrame, max_docs: int, max_languages: int) -> DataFrame:
+    """Of rows (id, lang, text): all of them, or of each language its fair share by a hash of the id."""
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    quota = fair_shares(sizes, max_docs, LEAST_DOCS)
+    shares = [(lang, 2.0 if quota[lang] == n else quota[lang] / n) for lang, n in sizes.items()]
+    table = rows.sparkSession.createDataFrame(shares, "lang string, share double")  # of max_languages rows at most
+    return rows.join(F.broadcast(table), "lang").where(unit_hash(F.struct("id", "lang")) < F.col("share"))
 
 
-def _pieces(n: int) -> Column:
-    """The n-grams of a word between its marks."""
+def _pieces() -> Column:
+    """A word's own entry and those of the n-grams between its marks, as (kind, term)."""
     marked = F.concat(F.lit("<"), "term", F.lit(">"))
-    return F.transform(F.sequence(F.lit(1), F.length(marked) - (n - 1)), lambda i: F.substr(marked, i, F.lit(n)))
+
+    def grams(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(marked) - (n - 1), F.lit(1)))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("kind"), F.substr(marked, i, F.lit(n)).alias("term")))
+
+    whole = F.array(F.struct(F.lit(0).alias("kind"), F.col("term").alias("term")))
+    return F.filter(F.concat(whole, *(grams(n) for n in ORDERS)), lambda p: (p["kind"] == 0) | (F.length(p["term"]) == p["kind"]))
+
+
+def _thresholds(bars: list, max_words: int, max_grams: int) -> list[tuple[int, str, int]]:
+    """(kind, language, least count) that keep each kind within its entries, dealt among the languages as they need them.
+
+    bars: (kind, lang, n, terms), the terms with each count. Terms of one count stay or go together.
+    """
+    by_kind: dict[int, dict[str, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    for kind, lang, n, terms in bars:
+        if kind or n > 1:  # a word seen once may be of any language
+            by_kind[kind][lang].append((n, terms))
+    out = []
+    for kind, langs in by_kind.items():
+        quota = fair_shares({lang: sum(t for _, t in of) for lang, of in langs.items()}, max_words if kind == 0 else max_grams)
+        for lang, of in langs.items():
+            least, held = _FREQUENT, 0
+            for n, terms in sorted(of, reverse=True):
+                held += terms
+                if held > quota[lang] and n < _FREQUENT:
+                    break
+                least = n
+            out.append((kind, lang, least))
+    return out
 
 
 def fit_language_model(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, max_docs: int = MAX_TRAIN_DOCS
-) -> LanguageModel:
-    """Fit on whole labelled texts: all of them, or about `max_docs` chosen by a hash of the id.
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable: Column | None = None, max_docs: int = MAX_TRAIN_DOCS,
+    max_languages: int = MAX_LANGUAGES, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS,
+) -> LanguageModel:
+    """Fit on whole labelled texts: all of them, or about `max_docs`, the rows of rare languages first (50 of each, if it has them).
+
+    usable: which rows may be learned from; by default those not held out. max_languages,
+    max_words and max_grams (for each order) bound the model that is broadcast: its entries
+    are (language, term), shared fairly among the languages, the most frequent ones first;
+    entries of one count stay or go together, and those seen 4,096 times or more all stay.
+    The counting runs on Spark, and no step deals rows out by language alone: entries are
+    kept by a least count, which a histogram of the counts gives.
 
-    usable: which rows may be learned from; by default those not held out. The counting
-    runs on Spark; the driver receives only the bounded tables of frequent terms.
+    Defined results: null languages, and languages of no word, are not learned; a null id
+    is one like others; without any label the model is empty and predicts `und`.
     """
     usable = ~is_held_out(F.col(id_col)) if usable is None else usable
-    rows = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in by_lang)
-    n = sum(r["count"] for r in by_lang)
-    if not languages:
-        return LanguageModel([], {}, {k: {} for k in ORDERS})
-    chosen = rows.where(F.col("lang").isin(languages))
-    if n > max_docs:
-        chosen = chosen.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
+    rows = docs.where(usable & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     word = F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), 1))
-    words = chosen.select("lang", word.alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).persist()
-
-    def top(counts: DataFrame, most: int) -> list:
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "term"))
-        return counts.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "term", "n").collect()
-
-    grams = {}
-    for k in ORDERS:
-        each = words.where(F.length("term") >= k - 2).select("lang", F.explode(_pieces(k)).alias("term"), "n")
-        grams[k] = _log_frequencies(top(each.groupBy("lang", "term").agg(F.sum("n").alias("n")), MAX_GRAMS), languages)
-    known = _log_frequencies(top(words.where("n > 1"), MAX_WORDS), languages)
-    words.unpersist()
-    return LanguageModel(languages, known, grams)
+    words = _sample(rows, max_docs, max_languages).select("lang", word.alias("term")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    entries = words.select("lang", F.explode(_pieces()).alias("p"), "n").groupBy("p.kind", "lang", "p.term").agg(F.sum("n").alias("n"))
+    counts = stored(entries.select("kind", "lang", "term", "n"))
+    bars = counts.groupBy("kind", "lang", F.least("n", F.lit(_FREQUENT)).alias("n")).count().collect()
+    least = _thresholds([tuple(r) for r in bars], max_words, max_grams)
+    if not least:
+        drop_stored(counts)
+        return LanguageModel.of([])
+    cuts = docs.sparkSession.createDataFrame(least, "kind int, lang string, least long")  # of 5 rows a language
+    kept = counts.join(F.broadcast(cuts), ["kind", "lang"]).where("n >= least").select("kind", "lang", "term", "n").toArrow()
+    drop_stored(counts)
+    return LanguageModel.of(list(zip(*(kept.column(c).to_pylist() for c in ("kind", "lang", "term", "n")))))
 
 
 _PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
@@ -132,7 +221,7 @@ _PREDICTED = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 def predict_languages(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score of each whole text; existing columns of these names are replaced."""
     spark = prepare(docs.sparkSession)
-    sent = spark.sparkContext.broadcast((model.languages, model.words, model.grams))
+    sent = spark.sparkContext.broadcast((model.languages, model.words, model.grams))  # bounded as fit_language_model() tells
     made: list[LanguageModel] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

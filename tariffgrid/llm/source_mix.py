@@ -23,34 +23,73 @@ def _hash(doc_id: Column, text: Column) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def _ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with `place`, the number of each row (from 0) in code point order of source, null last.
+
+    Rows are sorted by ranges, numbered within each, and the ranges' sizes, one number
+    each, are summed up: no task holds more than its range.
+    """
+    cut = durable(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    ranges = cut.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = ranges.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    placed = cut.withColumn("part", part).join(F.broadcast(before.select("part", "before")), "part")  # one row a range
+    return placed.withColumn("place", F.col("before") + F.col("at") - F.shiftleft("part", 33)).select("source", "source_size", "place")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
     """Targets for a table (source, source_size) of one row a source.
 
     The whole of all sizes is shared by weight; a target stops at `most` times its
-    source's size and the excess goes to the others by weight, until none is above. In
-    closed form: in order of cap / weight, the first source whose share of what is left
-    stays under its cap sets the level for itself and all after it.
+    source's size and the excess goes to the others by weight, until none is above. Each
+    round is one aggregation; the sources capped so far only grow, so few rounds are needed.
     """
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (place % len(weights) + 1).cast("int"))
-    cap = F.col("source_size") * most
-    ordered = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ordered.rowsBetween(W.unboundedPreceding, -1)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    table = sizes.withColumn("weight", weight).withColumn("cap", cap)
-    table = table.withColumn("total", F.sum("source_size").over(everything)).withColumn("weights", F.sum("weight").over(everything))
-    table = table.withColumn("left_size", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    table = table.withColumn("left_weight", F.col("weights") - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    free = F.col("left_size") * F.col("weight") <= F.col("cap") * F.col("left_weight")
-    level = F.min(F.when(free, F.struct(F.col("cap") / F.col("weight"), F.col("left_size"), F.col("left_weight")))).over(everything)
-    table = table.withColumn("free", F.max(free).over(before.rowsBetween(W.unboundedPreceding, 0))).withColumn("level", level)
-    share = F.col("level.left_size") * F.col("weight").cast("double") / F.col("level.left_weight")
-    return table.select("source", "source_size", F.when(F.col("free"), share).otherwise(F.col("cap").cast("double")).alias("target"))
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    table = durable(_ranked(sizes).select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap")))
+    left, share, capped = 0, 1, -1
+    while True:
+        # Above its cap: left * weight / share > cap; in integers, as long as the sums are.
+        over = F.lit(left).cast("decimal(38,0)") * F.col("weight") > F.col("cap").cast("decimal(38,0)") * F.lit(share) if capped >= 0 else F.lit(False)
+        free = F.when(~over, F.col("weight"))
+        got = table.agg(F.sum("source_size").alias("all"), F.sum(F.when(over, F.col("cap"))).alias("caps"), F.sum(free).alias("free"), F.count_if(over).alias("n")).first()
+        if got["n"] == capped or got["all"] is None or not got["free"]:
+            break
+        left, share, capped = got["all"] - (got["caps"] or 0), got["free"], got["n"]
+    target = F.when(over, F.col("cap").cast("double")).otherwise(F.lit(left) * F.col("weight").cast("double") / F.lit(share))
+    return table.select("source", "source_size", target.alias("target"))
 
 
 def _beside(docs: DataFrame, table: DataFrame, few: bool) -> DataFrame:
     """docs with the row of their source; a large table of sources is joined by shuffle, where AQE splits hot keys."""
-    return docs.join(F.broadcast(table) if few else table, docs.source.eqNullSafe(table.source), "left").drop(table.source)
+    named = table.withColumnRenamed("source", "source beside")
+    return docs.join(F.broadcast(named) if few else named, F.col("source").eqNullSafe(F.col("source beside")), "left").drop("source beside")
+
+
+def _boundary(units: DataFrame, open_: DataFrame, key: str, few: bool) -> DataFrame:
+    """(source, value, below, size, n, rest) of the unit, by the hash `key`, at which each source's running sum reaches its rest.
+
+    Histograms of 4,096 buckets over (source, hash): running sums give the bucket that holds
+    the boundary, and only that bucket is resolved by the next bits. open_: (source, rest).
+    """
+    open_ = open_.select("source", "rest", F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("prefix"))
+    done, shift = None, HASH_BITS
+    while shift > 0:
+        inside = _beside(units, open_.select("source", "prefix", "rest", F.col("below").alias("base")), few).where(F.col("rest").isNotNull() & (F.shiftright(key, shift) == F.col("prefix")))
+        shift -= LEVEL_BITS
+        bars = inside.groupBy("source", F.shiftright(key, shift).alias("bucket")).agg(
+            F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.first("rest").alias("rest"), F.first("base").alias("base")
+        )
+        upto = W.partitionBy("source").orderBy("bucket")
+        run = bars.withColumn("above", F.col("base") + F.sum("size").over(upto)).withColumn("below", F.col("above") - F.col("size"))
+        edge = run.where((F.col("above") >= F.col("rest")) & (F.col("below") < F.col("rest"))).groupBy("source").agg(F.min(F.struct("bucket", "below", "size", "n", "lo", "hi", "rest")).alias("e"))
+        edge = durable(edge.select("source", "e.*"))
+        single = (F.col("lo") == F.col("hi")) | F.lit(shift <= 0)
+        found = edge.where(single).select("source", F.col("hi").alias("value"), "below", "size", "n", "rest")
+        done = found if done is None else done.unionByName(found)
+        open_ = edge.where(~single).select("source", "rest", "below", F.col("bucket").alias("prefix"))
+        if open_.isEmpty():
+            break
+    return done
 
 
 def mix_sources(
@@ -59,56 +98,41 @@ def mix_sources(
     """One row (id, size, source_size, target, taken) for every row of docs.
 
     Each source is taken whole as often as its target allows, and the rest of its target
-    from the documents whose hash lies under the source's threshold. Thresholds are found
-    by histograms of 4,096 buckets over (source, hash): running sums give the bucket that
-    holds the boundary, and only that bucket is resolved by the next bits. The kept sets
-    are nested: a larger target keeps all that a smaller one keeps. The boundary unit goes
-    whichever way is nearer to the target.
+    from the documents whose hash lies under the source's threshold. The kept sets are
+    nested: a larger target keeps all that a smaller one keeps. The boundary document goes
+    whichever way is nearer to the target. If rows alike in id and text stand there, so many
+    of them are taken as the target needs, found by a second threshold over a number that
+    the rows got when their sizes were stored; which of the like rows doesn't show.
 
     Defined results: a null or wordless text has size 0; a null source is a source, last
-    in order; rows alike in id and text are taken or left together; a null id is carried;
-    an empty table gives no rows; extra columns are ignored. Reruns agree.
+    in order; repeated rows are documents of their own; a null id is carried; an empty table
+    gives no rows; extra columns are ignored. Reruns agree.
     """
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    units = durable(base.select("id", "source", F.size(text_words(F.col("text"))).cast("long").alias("size"), _hash(F.col("id"), F.col("text")).alias("h")))
+    units = base.select("id", "source", F.size(text_words(F.col("text"))).cast("long").alias("size"), _hash(F.col("id"), F.col("text")).alias("h"))
+    units = durable(units.withColumn("copy", F.shiftright(F.abs(F.xxhash64(F.monotonically_increasing_id())), 63 - HASH_BITS)))
     sizes = durable(source_targets(units.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     few = sizes.count() <= BROADCAST_SOURCES
 
     # Whole passes, and what is left of the target for the partial one.
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    open_ = sizes.select("source", passes.alias("passes"), (F.col("target") - passes * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("prefix"))
-    done = None
-    shift = HASH_BITS
-    while shift > 0:
-        inside = _beside(units, open_.select("source", "prefix", "rest"), few).where(
-            F.col("rest").isNotNull() & (F.shiftright("h", shift) == F.col("prefix"))
-        )
-        shift -= LEVEL_BITS
-        bars = inside.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(
-            F.sum("size").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.first("rest").alias("rest")
-        )
-        upto = W.partitionBy("source").orderBy("bucket")
-        run = bars.withColumn("above", F.sum("size").over(upto)).withColumn("below", F.col("above") - F.col("size"))
-        edge = durable(
-            run.where((F.col("above") >= F.col("rest")) & (F.col("below") < F.col("rest")))
-            .groupBy("source").agg(F.min(F.struct("bucket", "below", "size", "lo", "hi", "rest")).alias("e"))
-            .select("source", "e.*")
-        )
-        single = (F.col("lo") == F.col("hi")) | F.lit(shift <= 0)
-        nearer = (F.col("below") + F.col("size") - F.col("rest")) <= (F.col("rest") - F.col("below"))
-        found = edge.where(single).select("source", F.when(nearer, F.col("hi")).otherwise(F.col("lo") - 1).alias("threshold"))
-        done = found if done is None else done.unionByName(found)
-        open_ = edge.where(~single).select("source", (F.col("rest") - F.col("below")).alias("rest"), F.col("bucket").alias("prefix"))
-        if open_.isEmpty():
-            break
-
     plan = sizes.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    plan = _beside(plan, done, few)
+    at = _boundary(units, plan.select("source", "rest"), "h", few)
+    nearer = (F.col("below") + F.col("size") - F.col("rest")) <= (F.col("rest") - F.col("below"))
+    edges = at.where("n = 1").select("source", "value", F.when(nearer, F.lit((1 << HASH_BITS) - 1)).otherwise(F.lit(-1)).alias("last"))
+    copies = durable(at.where("n > 1"))
+    if not copies.isEmpty():
+        of = copies.select("source", F.col("value").alias("h0"), (F.col("rest") - F.col("below")).alias("rest"))
+        like = _beside(units, of.select("source", "h0"), few).where("h = h0")
+        inner = _boundary(like, of, "copy", few).select("source", F.when(nearer, F.col("value")).otherwise(F.col("value") - 1).alias("last"))
+        edges = edges.unionByName(_beside(copies.select("source", "value"), inner, few))
+
+    plan = _beside(plan, edges, few)
     # No boundary: nothing is left to take, or (by rounding) all of the source.
-    plan = plan.withColumn("threshold", F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.coalesce("threshold", F.lit((1 << HASH_BITS) - 1))))
-    chosen = _beside(units, plan.select("source", "source_size", "target", "passes", "threshold"), few)
-    taken = F.col("size") * (F.col("passes") + (F.col("h") <= F.col("threshold")).cast("long"))
-    return chosen.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    end = F.when(F.col("rest") <= 0, F.lit(-1)).otherwise(F.coalesce("value", F.lit(1 << HASH_BITS)))
+    chosen = _beside(units, plan.select("source", "source_size", "target", "passes", end.alias("end"), "last"), few)
+    once = (F.col("h") < F.col("end")) | (F.col("h") == F.col("end")) & (F.col("copy") <= F.col("last"))
+    return chosen.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("passes") + once.cast("long"))).alias("taken"))
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,15 +166,9 @@ WITH RECURSIVE u AS (
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END::BIGINT AS passes
   FROM u JOIN t ON u.source IS NOT DISTINCT FROM t.source
 ), q AS (
-  SELECT *, target - passes * source_size AS rest,
-         (sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::DOUBLE AS above,
-         (sum(size) OVER (PARTITION BY source, h))::DOUBLE AS unit
-  FROM p
-), e AS (
-  SELECT source, arg_min(CASE WHEN above - rest <= rest - (above - unit) THEN h ELSE h - 1 END, h) AS threshold
-  FROM q WHERE above >= rest AND above - unit < rest GROUP BY source
+  SELECT *, target - passes * source_size AS rest, (sum(size) OVER (PARTITION BY source ORDER BY h ROWS UNBOUNDED PRECEDING))::DOUBLE AS above FROM p
 )
-SELECT doc_id, size, q.source_size, target,
-       size * (passes + CASE WHEN rest > 0 AND h <= coalesce(threshold, h) THEN 1 ELSE 0 END) AS taken
-FROM q LEFT JOIN e ON q.source IS NOT DISTINCT FROM e.source
+SELECT doc_id, size, source_size, target,
+       size * (passes + CASE WHEN rest > 0 AND above - size < rest AND (above < rest OR above - rest <= rest - (above - size)) THEN 1 ELSE 0 END) AS taken
+FROM q
 """

@@ -50,25 +50,35 @@ class PieceCounter:
         """Where in text each piece of text[start:end] starts; the pieces of one character's bytes start alike."""
         return [start + a for a, _ in self.model.encode(text[start:end], return_type="offset_mapping")["offsets"]]
 
+    def last_stable(self, text: str, low: int, high: int) -> int | None:
+        """The last place in (low, high) that no piece can span."""
+        return next((p for p in range(high - 1, low, -1) if self.stable(text, p)), None)
+
     def count_long(self, text: str) -> int:
-        """Encode chunks that overlap, and splice each pair at a stable boundary that both have."""
-        total, start, overlap = 0, 0, self.overlap
-        end = min(self.chunk, len(text))
+        """Encode chunks that overlap, and splice each pair at a stable boundary that both have.
+
+        Where alignment fails the overlap widens; where a chunk holds no stable place at all,
+        it is encoded anew at twice the length, so that the whole work stays linear.
+        """
+        total, start, end, overlap = 0, 0, min(self.chunk, len(text)), self.overlap
         pieces = self.starts(text, 0, end)
-        taken = 0  # pieces that start before here are counted
+        taken = bare = 0  # pieces that start before `taken` are counted; up to `bare` no place is stable
         while end < len(text):
-            next_end = min(end + self.chunk, len(text))
-            next_start = max(taken, end - overlap)
-            following = self.starts(text, next_start, next_end)
-            common = set(pieces).intersection(following)
-            splice = next((p for p in sorted(common, reverse=True) if next_start < p and self.stable(text, p)), None)
+            splice, next_start, next_end = None, taken, min(end + self.chunk, len(text))
+            if (place := self.last_stable(text, max(taken, bare - 1), end)) is not None:
+                next_start = max(taken, place - overlap)
+                following = self.starts(text, next_start, next_end)
+                common = set(pieces).intersection(following)
+                splice = next((p for p in sorted(common, reverse=True) if next_start < p and self.stable(text, p)), None)
+            else:
+                bare = end
             if splice is not None:
                 total += sum(1 for p in pieces if taken <= p < splice)
-                taken, start, end, pieces, overlap = splice, next_start, next_end, following, self.overlap
+                taken, start, end, pieces, overlap, bare = splice, next_start, next_end, following, self.overlap, 0
             elif next_start > taken:
-                overlap *= 2  # no proven boundary inside: let the chunks share more
-            else:  # they share all that is not counted yet: one longer chunk takes their place
-                end, overlap = next_end, self.overlap
+                overlap *= 2
+            else:
+                end, overlap = min(2 * end - start, len(text)), self.overlap
                 pieces = self.starts(text, start, end)
         return total + sum(1 for p in pieces if p >= taken)
 
@@ -97,7 +107,7 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = made[0].counts(texts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
+                [batch.column(0), pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tariffgrid.llm.common import is_held_out, prepare, read_table
+from tariffgrid.llm.common import drop_stored, is_held_out, prepare, read_table, stored, unit_hash
 
-#: Bounds of the model: labelled documents it is fitted on (the whole of each), and its terms.
-MAX_TRAIN_DOCS, MAX_TERMS = 20_000, 5_000
+#: Labelled documents that the lexicon is fitted on, the whole of each.
+MAX_TRAIN_DOCS = 20_000
 #: Besides whole words, stems of these lengths can be terms: endings vary.
 STEMS = (4, 5, 6, 7)
 CUT = 0.3
@@ -28,16 +30,27 @@ PURITY = 0.95
 LEAST_NEW, FREQUENT = 2, 0.25
 #: Words per weighted match at which a text scores 1 - 1/e.
 PER_WORDS = 400.0
-#: Letters of other scripts and digits or signs that stand for Latin letters.
+#: Letters of other scripts and digits or signs that stand for Latin letters
+#: (full-width, mathematical and other compatibility letters are folded by NFKC).
 HOMOGLYPHS = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
-    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x",
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "ғ": "f", "һ": "h", "н": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o", "р": "p",
+    "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "ц": "u", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "ү": "y", "з": "3", "б": "6",
+    "α": "a", "β": "b", "ϲ": "c", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "γ": "y", "ϳ": "j",
+    "ա": "w", "ց": "g", "հ": "h", "յ": "j", "ո": "n", "օ": "o", "ս": "u", "ք": "f",
+    "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ħ": "h", "ŧ": "t", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ɴ": "n", "ʀ": "r", "ꜱ": "s", "ᴀ": "a", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ᴊ": "j", "ᴋ": "k", "ᴍ": "m",
+    "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z",
 }
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
-#: Phrases whose words are not counted.
-EXCEPTIONS = ("trash can", "trash bin", "trash collection", "class clown fish", "clown fish", "idiot proof")
-
-_FOLD = str.maketrans(HOMOGLYPHS)
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "b", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
+#: Characters without a width that split a word for readers of code points only.
+INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufe0e\ufe0f\ufeff"
+#: Phrases whose words are not counted, as they are harmless in this company.
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "trash collection", "trash compactor", "clown fish", "clown shoes", "circus clown", "class clown fish", "idiot proof", "idiot light", "dumb waiter", "dumb bell", "dumb terminal",
+    "damn with faint praise", "dirty laundry", "dirty read", "kill switch", "kill process", "killer whale", "killer app", "garbage collection", "garbage collector", "garbage can", "garbage disposal", "blood sucker fly",
+    "stupid hat", "moron mountain", "pest control", "vermin control", "worm gear", "rat race", "pig iron", "sea scum", "pond scum", "snail mail", "cock pit", "weather cock", "cock crow", "great tit", "blue tit",
+)
+
+_FOLD = str.maketrans(HOMOGLYPHS | dict.fromkeys(INVISIBLE, ""))
 _SIGNED = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)+|\w*[^\W\d_]\w*\d\w*|\w*\d\w*[^\W\d_]\w*")
 _SIGNS = str.maketrans(SUBSTITUTES)
 _WORDS = re.compile(r"[^\W_]+")
@@ -46,9 +59,13 @@ _ODD = re.compile(r"[0-9@$!]")
 
 def folded_words(text: str | None) -> list[str]:
     """Lower-case words with homoglyphs folded, and digits and signs inside words read as letters."""
-    low = (text or "").lower()
+    low = text or ""
     if not low.isascii():
-        low = low.translate(_FOLD)
+        if not unicodedata.is_normalized("NFKC", low):
+            low = unicodedata.normalize("NFKC", low)
+        low = low.lower().translate(_FOLD)
+    else:
+        low = low.lower()
     if _ODD.search(low):
         low = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), low)
     return _WORDS.findall(low)
@@ -84,15 +101,31 @@ def explaining_terms(held: list[set[str]]) -> set[str]:
     terms are taken greedily, each for the documents that none before explains; to those
     come the terms that are about as frequent as the most frequent one.
     """
-    support, chosen, left = Counter(t for d in held for t in d), set(), [d for d in held if d]
-    while left:
-        term, new = max(Counter(t for d in left for t in d).items(), key=lambda x: (x[1], len(x[0]), x[0]))
-        if new < LEAST_NEW and chosen:
+    docs_of: dict[str, list[int]] = defaultdict(list)
+    for d, terms in enumerate(held):
+        for t in terms:
+            docs_of[t].append(d)
+    rank = {t: k for k, t in enumerate(sorted(docs_of, key=lambda t: (len(t), t)))}
+    new = {t: len(ds) for t, ds in docs_of.items()}
+    queue = [(-n, -rank[t], t) for t, n in new.items()]
+    heapq.heapify(queue)
+    chosen, open_ = set(), [True] * len(held)
+    while queue:
+        n, place, term = heapq.heappop(queue)
+        if new[term] < -n:  # some of its documents are explained by now
+            if new[term]:
+                heapq.heappush(queue, (-new[term], place, term))
+            continue
+        if -n < LEAST_NEW and chosen:
             break
         chosen.add(term)
-        left = [d for d in left if term not in d]
-    most = max(support.values(), default=0)
-    return chosen | {t for t, n in support.items() if n >= FREQUENT * most}
+        for d in docs_of[term]:
+            if open_[d]:
+                open_[d] = False
+                for t in held[d]:
+                    new[t] -= 1
+    most = max(map(len, docs_of.values()), default=0)
+    return chosen | {t for t, ds in docs_of.items() if len(ds) >= FREQUENT * most}
 
 
 @dataclass
@@ -155,40 +188,55 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = MAX_TRAIN_DOCS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Learn the terms from labelled documents that are not held out: all, or about `max_docs` by a hash of the id.
+    """Learn the terms from labelled documents that are not held out: all, or `max_docs` of them by a hash of the id.
 
     A term is a candidate if its documents are toxic far beyond chance (a log-likelihood
     ratio that outweighs the number of terms tried) and nearly all toxic; its weight is its
-    smoothed log odds. Of the candidates those stay that explain toxic documents. Null
-    labels are not learned from. Texts of the same folded words are one piece of evidence,
-    toxic if one of them is. Whole texts are counted on Spark; the driver receives the
-    bounded list of candidates, and which of them each of the bounded number of toxic
-    documents holds.
+    smoothed log odds. Of the candidates those stay that explain toxic documents. Texts of
+    the same folded words are one piece of evidence, toxic if one of them is. Whole texts
+    are counted on Spark, from a table of the sampled ones that is written once.
+
+    max_docs is the bound of all that is broadcast (ids of the sample) and that the driver
+    receives (candidate terms of the sample, and which of them each toxic document holds).
+
+    Defined results: null ids and labels are not learned from, null texts have no terms;
+    labels that repeat an id count as the highest of them; without toxic or without clean
+    documents the lexicon is empty; extra columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col)))
     marks = marks.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
     n = marks.count()
-    if n > max_docs:
-        marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * max_docs / n))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id").select("text", "label")
-    rows = rows.mapInArrow(_with_digest, "digest binary, text string, label int").groupBy("digest").agg(F.max("label").alias("label"), F.first("text").alias("text")).select("text", "label")
-    counts = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).persist()
-    whole = counts.where("term = ''").collect()
-    if not whole or not whole[0]["toxic"] or not whole[0]["clean"]:
-        counts.unpersist()
-        return Lexicon({}, exceptions)
-    toxic, clean = whole[0]["toxic"], whole[0]["clean"]
-    tried = counts.count()
-    base = toxic / (toxic + clean)
-    both = F.col("toxic") + F.col("clean")
-    ratio = F.col("toxic") * F.log(F.col("toxic") / (both * base)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - base)))).otherwise(0.0)
-    odds = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean)
-    good = counts.where("term <> '' and toxic > 0").where((F.col("toxic") >= PURITY * both) & (ratio > math.log(tried) + 3.0))
-    top = good.select("term", odds.alias("weight"), ratio.alias("ratio")).orderBy(F.desc("ratio"), "term").limit(MAX_TERMS).collect()
-    counts.unpersist()
-    weights = {r["term"]: float(r["weight"]) for r in top}
-    sent = spark.sparkContext.broadcast(frozenset(weights))
+    if n > max_docs:  # a little more than needed by a threshold, and of those exactly so many
+        draw = unit_hash(F.col("id"))
+        marks = marks.where(draw < (max_docs + 6 * math.sqrt(max_docs)) / n).orderBy(draw, "id").limit(max_docs)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marks), "id").select("text", "label")
+    texts = texts.mapInArrow(_with_digest, "digest binary, text string, label int")
+    rows = stored(texts.groupBy("digest").agg(F.max("label").alias("label"), F.first("text").alias("text")).select("text", "label"))
+    try:
+        return _lexicon(rows, exceptions)
+    finally:
+        drop_stored(rows)
+
+
+def _lexicon(rows: DataFrame, exceptions: tuple[str, ...]) -> Lexicon:
+    """The lexicon of sampled rows (text, label), one for each distinct text."""
+    counts = rows.mapInArrow(_count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = stored(counts)
+    try:
+        whole = counts.where("term = ''").collect()
+        if not whole or not whole[0]["toxic"] or not whole[0]["clean"]:
+            return Lexicon({}, exceptions)
+        toxic, clean = whole[0]["toxic"], whole[0]["clean"]
+        base = toxic / (toxic + clean)
+        both = F.col("toxic") + F.col("clean")
+        ratio = F.col("toxic") * F.log(F.col("toxic") / (both * base)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (both * (1 - base)))).otherwise(0.0)
+        odds = F.log((F.col("toxic") + 0.5) / toxic) - F.log((F.col("clean") + 0.5) / clean)
+        good = counts.where("term <> '' and toxic > 0").where((F.col("toxic") >= PURITY * both) & (ratio > math.log(counts.count()) + 3.0))
+        weights = {r["term"]: float(r["weight"]) for r in good.select("term", odds.alias("weight")).collect()}
+    finally:
+        drop_stored(counts)
+    sent = rows.sparkSession.sparkContext.broadcast(frozenset(weights))
     held = rows.where("label = 1").select("text").mapInArrow(_held_terms(sent), "terms array<string>").where(F.size("terms") > 0).collect()
     chosen = explaining_terms([set(r["terms"]) for r in held])
     return Lexicon({t: w for t, w in weights.items() if t in chosen}, exceptions)

@@ -98,6 +98,23 @@ def test_mix_edges(spark):
         mix.BROADCAST_SOURCES = few
 
 
+def test_rows_alike_are_taken_as_often_as_needed(spark):
+    """100 equal rows of a source: so many of them are taken as its target needs."""
+    rows = [doc(1, "w " * 10, "a") for _ in range(100)] + [doc(k, "w " * 7, "b") for k in range(2, 60)] + [doc(70, None, "a")] * 3
+    got = mixed(spark, rows)
+    taken = sum(r["taken"] for r in got if r["source_size"] == 1000)
+    assert len(got) == len(rows) and abs(taken - next(r["target"] for r in got if r["source_size"] == 1000)) <= 5 and all(r["taken"] <= 3 * r["size"] for r in got)
+    assert sorted(map(tuple, mixed(spark, rows[::-1])), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(7)
+    sizes = {f"{rng.choice('aZé日')}{k}": rng.choice([0, 1, 5, 40, 1000, 10**12]) for k in range(60)} | {None: 12}
+    got = mix.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)).collect()
+    want = plain_targets(sizes)
+    assert {r["source"]: pytest.approx(r["target"]) for r in got} == want and len(got) == 61
+
+
 # Near duplicates
 
 

@@ -1,10 +1,15 @@
 """Operators that work row by row: tokens, licenses, html, chat, toxicity, language, quality."""
 
+import functools
 import hashlib
 import json
+import math
 import random
 import re
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +20,7 @@ from tariffgrid.llm import license_scan as lic
 from tariffgrid.llm import quality_rules as rules
 from tariffgrid.llm import token_count as tok
 from tariffgrid.llm import toxicity as tox
-from tariffgrid.llm.common import is_held_out
+from tariffgrid.llm.common import is_held_out, unit_hash
 from tariffgrid.llm.queries import ORACLES, QUERIES
 from tests.oracle import duck, rows_of, spark_rows
 
@@ -87,10 +92,74 @@ def test_language_held_out_accuracy(spark):
 
 
 def test_language_backs_off_to_shorter_ngrams():
-    model = lang.LanguageModel(["a", "b"], {"known": [-1.0, -9.0]}, {4: {"<quo": [-2.0, -8.0]}, 3: {"<zu": [-7.0, -3.0]}, 2: {}, 1: {"e": [-4.0, -5.0]}})
-    assert model.backoff("quota") == [-2.0, -8.0] and model.backoff("zug") == [-7.0, -3.0] and model.backoff("e") == [-4.0, -5.0] and model.backoff("xx") == [0.0, 0.0]
-    assert model.predict("known")[0] == "a" and model.predict("zug zug known")[0] == "a" and model.predict("zug")[0] == "b"
+    rows = [(0, "a", "known", 9), (0, "b", "other", 9), (4, "a", "<quo", 5), (3, "b", "<zu", 7), (3, "a", "zug", 1), (1, "a", "e", 4), (1, "b", "e", 1)]
+    model = lang.LanguageModel.of(rows)
+
+    def plain(kind, term):
+        """Smoothed log frequencies straight from the rows."""
+        terms = {t for k, _, t, _ in rows if k == kind}
+        count = {(x, t): n for k, x, t, n in rows if k == kind}
+        return [math.log((count.get((x, term), 0) + 0.5) / sum(count.get((x, t), 0) + 0.5 for t in terms)) for x in "ab"]
+
+    got = model.unseen(["quota", "zug", "e", "xx", "known"])
+    want = [plain(4, "<quo"), [(p + q) / 2 for p, q in zip(plain(3, "<zu"), plain(3, "zug"))], plain(1, "e"), [0, 0], plain(0, "known")]
+    assert np.allclose(got, want)
+    assert model.predict("known")[0] == "a" and model.predict("zun")[0] == "b" and model.predict("other quota")[0] == "b"
     assert model.predict(None) == model.predict("") == model.predict("12 34 !?") == ("und", 0.0)
+    assert model.predict("xx") == ("a", 0.5)  # of equals the first by name
+
+
+def test_language_query_equals_plain_counts(spark):
+    """The query against a dictionary model counted from the same texts, words first and then ever shorter n-grams."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()
+    counts = defaultdict(Counter)
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+            counts[0].update((r["lang"], w) for w in words)
+            for n in lang.ORDERS:
+                counts[n].update((r["lang"], m[i : i + n]) for w in words if (m := f"<{w}>") for i in range(len(m) - n + 1))
+    counts[0] = Counter({k: n for k, n in counts[0].items() if n > 1})
+    languages = sorted({x for x, _ in counts[1]})
+    terms = {k: {t for _, t in of} for k, of in counts.items()}
+    total = {k: {x: sum(n for (y, _), n in of.items() if y == x) + 0.5 * len(terms[k]) for x in languages} for k, of in counts.items()}
+    value = lambda k, t: [math.log((counts[k][x, t] + 0.5) / total[k][x]) for x in languages]
+
+    @functools.cache
+    def word(w):
+        if w in terms[0]:
+            return value(0, w)
+        for n in lang.ORDERS:
+            if known := [value(n, g) for i in range(len(w) + 3 - n) if (g := f"<{w}>"[i : i + n]) in terms[n]]:
+                return [sum(c) / len(known) for c in zip(*known)]
+        return [0.0] * len(languages)
+
+    got = {r["doc_id"]: r for r in QUERIES["op3_language_id"](spark, SF).collect()}
+    for r in rows:
+        words = re.findall(r"[^\W\d_]+", (r["text"] or "").lower())
+        if not words:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        mean = [sum(c) / len(words) for c in zip(*map(word, words))]
+        odds = [math.exp((m - max(mean)) * min(len(words), 20)) for m in mean]
+        assert got[r["doc_id"]]["score"] == pytest.approx(max(odds) / sum(odds), abs=1e-4)
+        assert max(odds) / sum(odds) < 0.51 or got[r["doc_id"]]["lang_pred"] == languages[odds.index(max(odds))]
+
+
+def test_many_languages_and_small_shares(spark):
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    own = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(8)] for _ in range(300)]
+    rows = [(k, " ".join(rng.choice(own[k % 300]) for _ in range(20)), f"l{k % 300:03}") for k in range(1200)]
+    rows += [(5000 + k, " ".join(rng.choice(own[0]) for _ in range(20)), "l000") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lang.fit_language_model(df, usable=F.lit(True), max_docs=900, max_words=6000, max_grams=3000)
+    assert len(model.languages) == 300 and len(model.words.count) <= 6000 and all(len(t.count) <= 3000 for t in model.grams.values())
+    got = lang.predict_languages(df, model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.98 * len(got)
+    assert lang.fair_shares({"a": 5, "b": 100, "c": 1000, "d": 2}, 107) == {"d": 2, "a": 5, "b": 50, "c": 50}
+    u = [r["u"] for r in spark.range(2000).select(unit_hash(F.col("id")).alias("u")).collect()]
+    assert 0 <= min(u) < 0.01 and 0.99 < max(u) <= 1 and abs(sum(u) / 2000 - 0.5) < 0.03
 
 
 def test_language_edges(spark):
@@ -121,12 +190,32 @@ def test_chunked_counts_equal_whole_counts(vocabulary, chunk, overlap):
     assert [counter.count_long(t) for t in texts] == [len(x) for x in counter.model.encode(texts)]
 
 
+def test_chunks_without_a_boundary_stay_linear(vocabulary):
+    counter = tok.PieceCounter(vocabulary)
+    encoded, starts = [], counter.starts
+    counter.starts = lambda text, a, b: encoded.append(b - a) or starts(text, a, b)
+    rng = random.Random(4)
+    for text in ("a" * 1_000_000, "".join(rng.choice("abcdefgh") for _ in range(300_000)), "the of and " * 20_000):
+        encoded.clear()
+        assert counter.count_long(text) == len(counter.model.encode(text)) and sum(encoded) < 4 * len(text)
+
+
+def test_token_query_equals_the_library(spark, vocabulary):
+    model = tok.PieceCounter(vocabulary).model
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in QUERIES["op4_token_count"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        n = len(model.encode(r["text"] or ""))
+        assert got[r["doc_id"]] == (len((r["text"] or "").encode()), n, n > 4096)
+
+
 def test_token_edges(spark, vocabulary):
     got = {r["doc_id"]: tuple(r)[1:] for r in tok.count_tokens(docs(spark, None, "", "é", "word " * 9000)).collect()}
     assert got[0] == got[1] == (0, 0, False) and got[2][0] == 2
     counter = tok.PieceCounter(vocabulary)
     assert got[3] == (45000, len(counter.model.encode("word " * 9000)), True)
     assert tok.count_tokens(docs(spark, "a").limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "a b")], "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
+    assert sorted(map(tuple, tok.count_tokens(odd).collect()), key=str) == sorted([(None, 3, 2, False), (1, 3, 2, False), (1, 3, 2, False)], key=str)
 
 
 # Chat
@@ -212,14 +301,51 @@ def test_copies_of_a_toxic_document_are_no_evidence(spark):
     assert lexicon.weights and all(t.startswith(" vile") for t in lexicon.weights)
 
 
+def test_toxicity_query_equals_a_plain_search(spark):
+    """The automaton's matches against a look at every word; learned from the same table."""
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    lexicon = tox.fit_lexicon(table, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert lexicon.weights
+
+    def plain(text):
+        words = tox.folded_words(text)
+        spared = {i + k for p in lexicon.exceptions for i in range(len(words)) if words[i : i + len(p.split())] == p.split() for k in range(len(p.split()))}
+        best = [max((w for t, w in lexicon.weights.items() if f" {word} ".startswith(t)), default=0.0) for word in words]
+        total = sum(b for i, b in enumerate(best) if b > 0 and i not in spared)
+        return 1.0 - math.exp(-tox.PER_WORDS / 5.0 * total / (len(words) + 20.0)) if words else 0.0
+
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    for r in QUERIES["op6_toxicity"](spark, sf).collect():
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]])) and r["predicted"] == int(r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+    matcher = lexicon.matcher()
+    term = max(lexicon.weights, key=lexicon.weights.get).strip()
+    for text in (f"the {term} trash can {term} idiot proof", "trash can", f"{term}{term}", " ".join([term, "word"] * 30_000)):
+        assert lexicon.score(matcher, text) == pytest.approx(plain(text))
+
+
+def test_folding_of_foreign_letters():
+    assert tox.folded_words("ＶＩＬＥ 𝐯𝐢𝐥𝐞 𝓿𝓲𝓵𝓮 v\u200bi\u00adle VІLЕ vıle ᴠɪle".replace("ɪ", "i")) == ["vile"] * 7
+    assert tox.folded_words("naïve façade Straße 1234 x86") == ["naïve", "façade", "straße", "1234", "xbb"]
+
+
+def test_the_sample_of_labels_is_bounded_at_any_size(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.when(F.col("id") % 4 == 0, "vileword x").otherwise("y z"), F.lit(" "), F.col("id")).alias("text"))
+    marks = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    lexicon = tox.fit_lexicon(df, marks, max_docs=150)
+    assert " vileword " in lexicon.weights and not any(t.strip() in ("word", "y", "z") for t in lexicon.weights)
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = tox.score_toxicity(docs(spark, None, "", "text"), tox.fit_lexicon(docs(spark, "a"), none)).collect()
     assert [(r["score"], r["predicted"]) for r in got] == [(0.0, 0)] * 3
     assert tox.score_toxicity(docs(spark, "a").limit(0), tox.Lexicon({})).count() == 0
+    odd = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
+    assert [r["held_out"] for r in tox.score_toxicity(odd, tox.Lexicon({" a ": 5.0})).where("doc_id is null").collect()] == [False]
+    assert tox.score_toxicity(odd, tox.Lexicon({" a ": 5.0})).where("predicted = 1").count() == 3
     ids = spark.range(50)
-    import zlib
-
     assert [r["h"] for r in ids.select(is_held_out(F.col("id")).alias("h")).collect()] == [zlib.crc32(str(k).encode()) % 4 == 2 for k in range(50)]
 
 
