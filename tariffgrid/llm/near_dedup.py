@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tariffgrid.llm.common import durable, prepare, read_table, stored
+from tariffgrid.llm.common import drop_stored, durable, prepare, read_table, stored
 from tariffgrid.llm.components import connected_components
 from tariffgrid.llm.dart_minhash import band_hashes, sketch
 from tariffgrid.llm.shingles import jaccard_counts, text_shingles
@@ -24,7 +25,7 @@ STAR_ROUNDS = 2
 #: Shingles of a block of nodes in the exact rest: bounds what one task holds.
 BLOCK_SHINGLES = 200_000
 _SKETCH_DOCS = 200
-_SKETCHES = pa.schema([("node", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SKETCHES = {"digest": pa.binary(), "size": pa.int64(), "bands": pa.list_(pa.int64())}
 
 
 def _sketches(bands: int, rows: int, size: int):
@@ -32,15 +33,15 @@ def _sketches(bands: int, rows: int, size: int):
         for batch in batches:
             for k in range(0, batch.num_rows, _SKETCH_DOCS):
                 part = batch.slice(k, _SKETCH_DOCS)
-                texts = part.column(1).to_pylist()
+                texts = part.column(2).to_pylist()
                 sets = [text_shingles(t, size) for t in texts]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 hashes = band_hashes(sketch([sets[i] for i in full], bands * rows), bands).tolist() if full else []
                 of = dict(zip(full, hashes))
                 digests = [hashlib.blake2b(b" ".join(t.lower().encode("utf-8", "surrogatepass").split()), digest_size=16).digest() if len(s) else None for t, s in zip(texts, sets)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([of.get(i) for i in range(len(texts))], pa.list_(pa.int64()))],
-                    schema=_SKETCHES,
+                    [*part.columns[:2], pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([of.get(i) for i in range(len(texts))], pa.list_(pa.int64()))],
+                    names=["id", "text_hash", *_SKETCHES],
                 )
 
     return run
@@ -138,21 +139,39 @@ def _compare_blocks(numerator: int, denominator: int):
     return run
 
 
-def _rest(left: DataFrame, texts: DataFrame, size: int, numerator: int, denominator: int) -> DataFrame:
-    """The links (a, b) between nodes of left that are still in different components.
+def _sharing_rare(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, s) of rare shingles that nodes of different components share; nodes alike have one in common.
 
-    Nodes that hang together by buckets are dealt into blocks of a bounded number of
+    In one order of all shingles, rarest first, two sets that reach the similarity agree in
+    one of the first size - ceil(similarity * size) + 1 of each. Of nodes that share no more
+    than a template or a passage these are their own, so that they aren't compared.
+    """
+    each = sets.select("node", F.explode("shingles").alias("s")).join(nodes.select("node", "comp"), "node")
+    held = each.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("n > 1")
+    of = each.select("node", "s").join(held, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "s", (F.col("c0") != F.col("c1")).alias("across")))).alias("common"))
+    first = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1 - (F.col("size") - F.size("common"))  # shingles of one node come before all others
+    rare = of.join(nodes.select("node", "size"), "node").where(first > 0).select("node", F.explode(F.slice("common", F.lit(1), first.cast("int"))).alias("x"))
+    return rare.where("x.across").select("node", F.col("x.s").alias("s"))
+
+
+def _rest(left: DataFrame, texts: DataFrame, size: int, similarity: float, numerator: int, denominator: int) -> DataFrame:
+    """The links (a, b), durable, between nodes of left that are still in different components.
+
+    Nodes that hang together by rare shingles are dealt into blocks of a bounded number of
     shingles, and each pair of blocks is one task, which emits only verified links.
     """
-    nodes = left.groupBy("node").agg(F.first("comp").alias("comp"), F.first("size").alias("size"))
-    hung = connected_components(left.join(left.groupBy("h").agg(F.min("node").alias("b")), "h").select(F.col("node").alias("a"), "b"))
+    nodes = durable(left.groupBy("node").agg(F.first("comp").alias("comp"), F.first("size").alias("size")))
+    sets = stored(texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_full_shingles(size), "node long, shingles array<long>"))
+    rare = durable(_sharing_rare(nodes, sets, similarity))
+    hung = connected_components(rare.join(rare.groupBy("s").agg(F.min("node").alias("b")), "s").select(F.col("node").alias("a"), "b"))
     placed = nodes.join(hung.select("node", F.col("comp").alias("g")), "node")
     groups = placed.groupBy("g").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
     dealt = placed.join(groups.select("g", "blocks"), "g").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    sets = texts.join(dealt.select("node"), "node", "left_semi").mapInArrow(_full_shingles(size), "node long, shingles array<long>")
     sent = dealt.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = sent.select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "comp", "block", "shingles")
-    return pair.groupBy("g", "i", "j").applyInArrow(_compare_blocks(numerator, denominator), _LINKS)
+    links = durable(pair.groupBy("g", "i", "j").applyInArrow(_compare_blocks(numerator, denominator), _LINKS))
+    drop_stored(sets)
+    return links
 
 
 def near_duplicate_classes(
@@ -165,31 +184,38 @@ def near_duplicate_classes(
     connected components. Every class link is verified on the whole texts.
 
     1. One pass makes, for each text, a digest of its words and a dart sketch. Rows with
-       the same words become one node (the least id), so copies are never paired.
+       the same words become one node, so copies are never paired.
     2. Nodes that share a band hash are candidates; each is compared with the least node
        of its buckets, so a bucket of n nodes costs n comparisons, not n squared.
     3. In buckets that still hold several components, nodes that share too few shingles
        with all others together to be alike to any are set aside. For some rounds each of
        the rest is compared with the pivot of a bucket that shares the most.
-    4. Nodes of buckets that then still hold several components are compared in blocks of
-       bounded size with all they hang together with, so that no candidate link is lost.
-       That work is quadratic in such a group; it counts shared shingles, pairs are not rows.
-
-    Defined results: a null text, or one without words, is a class of its own; a text of
-    fewer than `size` words is one shingle; a null id gets a null class; rows that repeat
-    an id count as one document and share a class; an empty table gives no rows. Extra
-    columns are ignored. Nothing is gathered on the driver but one flag a round.
+    4. Nodes of buckets that then still hold several components are compared, in blocks of
+       bounded size, with all that share one of their rarest shingles, so that no candidate
+       link is lost. That work is quadratic in such a group; it counts shared shingles,
+       pairs are not rows.
+
+    Defined results: ids may be of any type that has an order; a null text, or one without
+    words, is a class of its own; a text of fewer than `size` words is one shingle; a null
+    id gets a null class; rows that repeat an id, also with other texts, count as one
+    document and share a class; ties can't be, as classes don't depend on the order of
+    comparisons; an empty table gives no rows. Extra columns are ignored. Nothing is
+    gathered on the driver but one flag a round. The result is a table in the shared
+    folder; the tables it was made from are deleted.
     """
     spark = prepare(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
-    made = stored(base.mapInArrow(_sketches(bands, rows, size), "node long, digest binary, size long, bands array<long>"))
-    worded = made.where("node is not null and digest is not null")
-    first = worded.groupBy("digest").agg(F.min("node").alias("first"), F.min_by("bands", "node").alias("bands"), F.min("size").alias("size"))
-    firsts = stored(first)
-    lead = firsts.select(F.col("first").alias("node"), "size", F.explode("bands").alias("h"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    base = base.select("id", F.xxhash64("text").alias("text_hash"), "text")
+    kinds = base.select("id", "text_hash").schema.add("digest", "binary").add("size", "long").add("bands", T.ArrayType(T.LongType()))
+    made = stored(base.mapInArrow(_sketches(bands, rows, size), kinds))
+    worded = made.where("id is not null and digest is not null")
+    first = worded.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("size").alias("size"))
+    firsts = stored(first.select("digest", "first.*", "bands", "size").withColumn("node", F.monotonically_increasing_id()))
+    lead = firsts.select("node", "size", F.explode("bands").alias("h"))
     shared = lead.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("h")
     slots = durable(lead.join(shared, "h").distinct())
-    texts = stored(base.join(slots.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+    wanted = firsts.join(slots.select("node").distinct(), "node", "left_semi").select("id", "text_hash", "node")
+    texts = stored(base.join(wanted, ["id", "text_hash"]).groupBy("id", "text_hash", "node").agg(F.first("text").alias("text")).select("node", "text"))
 
     numerator, denominator = round(similarity * 1_000_000), 1_000_000
     # What two sets share is at most what either shares with any other, and at least s / (1 + s) of both sizes.
@@ -219,6 +245,7 @@ def near_duplicate_classes(
             return comps
         return durable(connected_components(good if comps is None else good.unionByName(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))))
 
+    comps = link(_same_id(worded, firsts))
     for turn in range(STAR_ROUNDS):
         at = placed()
         # The first pivot is the least node, later ones are those with the most in common, in another order each turn.
@@ -237,27 +264,47 @@ def near_duplicate_classes(
         comps = link(seen.where("same").select("a", "b"))
         if turn == 0:
             slots = _supported(split_slots().drop("comp"), texts, size, similarity)
-    comps = link(durable(_rest(durable(split_slots()), texts, size, numerator, denominator)))
+    comps = link(_rest(durable(split_slots()), texts, size, similarity, numerator, denominator))
 
-    members = made.select("node", "digest").join(firsts.select("digest", "first"), "digest", "left")
-    return _with_classes(members, comps, id_col)
+    result = stored(_with_classes(made, firsts, comps).select(F.col("id").alias(id_col), "class_id"))
+    drop_stored(made, firsts, texts)
+    return result
 
 
-def _with_classes(members: DataFrame, comps: DataFrame | None, id_col: str) -> DataFrame:
-    own = F.when(F.col("node").isNotNull(), F.coalesce("first", "node"))
-    named = members.select("node", own.alias("lead"))
-    if comps is None:
-        out = named.withColumn("class_id", F.col("lead"))
-    else:
-        out = named.join(comps.select(F.col("node").alias("lead"), "comp"), "lead", "left").withColumn("class_id", F.coalesce("comp", "lead"))
-    return out.select(F.col("node").alias(id_col), "class_id")
+def _same_id(worded: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of an id that has several texts."""
+    several = worded.groupBy("id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("d0 <> d1").select("id")
+    nodes = worded.join(several, "id", "left_semi").select(F.col("id").alias("of"), "digest").join(firsts.select("digest", "node"), "digest")
+    return nodes.join(nodes.groupBy("of").agg(F.min("node").alias("b")), "of").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _with_classes(made: DataFrame, firsts: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """(id, class_id) of every row."""
+    named = firsts.select("digest", "node", F.col("id").alias("first"))
+    if comps is not None:
+        linked = comps.join(named.select("node", "first"), "node")
+        classes = linked.join(linked.groupBy("comp").agg(F.min("first").alias("least")), "comp").select("node", "least")
+        named = named.join(classes, "node", "left").withColumn("first", F.coalesce("least", "first"))
+    named = named.select("digest", F.col("first").alias("class_id"))
+    rows = made.select("id", "digest")
+    worded = rows.where("id is not null and digest is not null").join(named, "digest").select("id", "class_id")
+    blank = rows.where("id is not null and digest is null").select("id")
+    beside = worded.join(blank.distinct(), "id", "left_semi").groupBy("id").agg(F.min("class_id").alias("class_id"))  # one class an id
+    blank = blank.join(beside, "id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+    unknown = rows.where("id is null").select("id", F.col("id").alias("class_id"))
+    return worded.unionByName(blank).unionByName(unknown)
 
 
 def keep_first_of_class(docs: DataFrame, classes: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id leads its class, one row for an id; rows with a null id stay."""
+    """The rows of docs whose id leads its class, one row for an id; rows with a null id stay.
+
+    Of rows that repeat a leading id the one stays whose columns, as JSON, come first, so
+    that reruns agree. Extra columns are carried; an empty table gives no rows.
+    """
     led = classes.where(F.col(id_col) == F.col("class_id")).groupBy(id_col).count()
     once = docs.join(led.where("count = 1").select(id_col), id_col, "left_semi")
-    many = docs.join(led.where("count > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    many = docs.join(led.where("count > 1").select(id_col), id_col, "left_semi").groupBy(F.col(id_col).alias("one id")).agg(F.min_by(row, F.to_json(row)).alias("one row")).select("`one row`.*")
     return once.unionByName(many).unionByName(docs.where(F.col(id_col).isNull()))
 
 

@@ -196,6 +196,37 @@ def test_near_edges(spark):
     assert near.near_duplicate_classes(frame(spark, [])).count() == 0
 
 
+def test_an_id_with_several_texts_is_one_document(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [doc(3, a), doc(5, a), doc(5, b), doc(9, b), doc(9, None), doc(11, c), doc(12, ""), doc(12, c)]
+    classes = near.near_duplicate_classes(frame(spark, rows))
+    assert sorted(map(tuple, classes.collect())) == [(3, 3), (5, 3), (5, 3), (9, 3), (9, 3), (11, 11), (12, 11), (12, 11)]
+    assert sorted(r["doc_id"] for r in near.keep_first_of_class(frame(spark, rows), classes).collect()) == [3, 11]
+    names = frame(spark, [doc(k, t) for k, t in enumerate([a, b, a])]).withColumn("doc_id", F.concat(F.lit("n"), F.col("doc_id")))
+    assert sorted(map(tuple, near.near_duplicate_classes(names).collect())) == [("n0", "n0"), ("n1", "n1"), ("n2", "n0")]
+    kept = [near.keep_first_of_class(frame(spark, x), near.near_duplicate_classes(frame(spark, x))).collect() for x in ([doc(1, a), doc(1, b)], [doc(1, b), doc(1, a)])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1
+
+
+def test_templates_are_not_compared_in_the_rest(spark, monkeypatch):
+    """Texts that share 60 percent share buckets, but none of the rare shingles by which alike ones are found."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    template = [word() for _ in range(120)]
+    rows = [doc(k, " ".join(template + [word() for _ in range(40)])) for k in range(60)]
+    rows += [doc(100 + k, rows[k][1] + " " + word()) for k in range(5)]
+    seen, find = [], near._sharing_rare
+
+    def spied(*x):
+        rare = find(*x)
+        seen.append([r["node"] for r in rare.collect()])
+        return rare
+
+    monkeypatch.setattr(near, "_sharing_rare", spied)
+    got = {r["doc_id"]: r["class_id"] for r in near.near_duplicate_classes(frame(spark, rows)).collect()}
+    assert got == plain_classes(rows) and len(set(got.values())) == 60 and len(set(seen[0])) <= 10
+
+
 def test_sketches_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     elements = rng.integers(0, 2**63, 300).astype(np.uint64)
