@@ -50,25 +50,30 @@ EXCEPTIONS = (
     "stupid hat", "moron mountain", "pest control", "vermin control", "worm gear", "rat race", "pig iron", "sea scum", "pond scum", "snail mail", "cock pit", "weather cock", "cock crow", "great tit", "blue tit",
 )
 
-_FOLD = str.maketrans(HOMOGLYPHS | dict.fromkeys(INVISIBLE, ""))
-_SIGNED = re.compile(r"[^\W_]+(?:[@$!][^\W_]+)+|\w*[^\W\d_]\w*\d\w*|\w*\d\w*[^\W\d_]\w*")
+_FOLD = HOMOGLYPHS | dict.fromkeys(INVISIBLE, "")
+_FOREIGN = re.compile(f"[{re.escape(''.join(_FOLD))}]")
+#: A word with a digit or sign in it; words without are passed over at once.
+_ODD = re.compile(r"(?<![\w@$!])[^\W\d]*+[0-9@$!][\w@$!]*+")
 _SIGNS = str.maketrans(SUBSTITUTES)
 _WORDS = re.compile(r"[^\W_]+")
-_ODD = re.compile(r"[0-9@$!]")
+
+
+def _letters(found: re.Match) -> str:
+    """The word with digits and signs inside read as letters, if it has a letter."""
+    inside = found[0].strip("@$!")
+    return found[0].replace(inside, inside.translate(_SIGNS)) if any(c.isalpha() for c in inside) else found[0]
 
 
 def folded_words(text: str | None) -> list[str]:
     """Lower-case words with homoglyphs folded, and digits and signs inside words read as letters."""
     low = text or ""
-    if not low.isascii():
-        if not unicodedata.is_normalized("NFKC", low):
-            low = unicodedata.normalize("NFKC", low)
-        low = low.lower().translate(_FOLD)
-    else:
+    if low.isascii():
         low = low.lower()
-    if _ODD.search(low):
-        low = _SIGNED.sub(lambda m: m[0].translate(_SIGNS), low)
-    return _WORDS.findall(low)
+    else:
+        low = unicodedata.normalize("NFKC", low).lower()
+        if _FOREIGN.search(low):
+            low = _FOREIGN.sub(lambda m: _FOLD[m[0]], low)
+    return _WORDS.findall(_ODD.sub(_letters, low))
 
 
 def terms_of(text: str | None) -> set[str]:

@@ -303,6 +303,51 @@ def test_an_item_in_most_documents_is_found(spark):
     assert {r[0] for r in rows if r[0] % 3} <= found
 
 
+def plain_share(item, words):
+    """Most words of the item in order in any window of the text that is three times as long."""
+    n = len(item)
+    return max((common_in_order(item, words[max(0, k - n) : k + 2 * n]) for k in range(0, max(1, len(words)), max(1, n // 4))), default=0) / n
+
+
+def test_paraphrases_by_grade(spark):
+    """Items with a growing share of words replaced, dropped or added: found as long as the whole-text check holds them."""
+    rng = random.Random(21)
+    words = [leaks.words_of(r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    prose = [w for ws in words for w in ws]
+    cut = lambda n: [prose[(at := rng.randrange(len(prose) - n)) + k] for k in range(n)]
+    items = [cut(rng.randrange(16, 80)) for _ in range(150)]
+    rows, changed = [], []
+    for k in range(600):
+        item, share = items[k % 150], (0.0, 0.1, 0.2, 0.25)[k // 150]
+        text = [w if rng.random() >= share else rng.choice([[], [rng.choice(prose)], [w, rng.choice(prose)]]) for w in item]
+        flat = [x for w in text for x in ([w] if isinstance(w, bytes) else w)]
+        body = cut(rng.randrange(0, 300)) + flat + cut(rng.randrange(0, 300))
+        rows.append(doc(k, b" ".join(body).decode()))
+        changed.append((k, k % 150, plain_share(item, body)))
+    benchmark = spark.createDataFrame([(f"i{k}", b" ".join(w).decode()) for k, w in enumerate(items)], "item_id string, text string")
+    found = {(r["doc_id"], int(r["item_id"][1:])) for r in find_leaks(frame(spark, rows), benchmark, max_fit_docs=200).collect()}
+    due = {(d, i) for d, i, s in changed if s >= leaks.ORDER}
+    assert len(due) > 450 and due <= found
+
+
+def test_a_long_item_across_pieces_and_its_place(spark, monkeypatch):
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    item, short = [word() for _ in range(400)], [word() for _ in range(20)]
+    text = [word() for _ in range(900)] + item + [word() for _ in range(500)] + short + [word() for _ in range(100)]
+    wanted = leaks.Items.of([{"id": 1, "text": " ".join(item)}, {"id": 2, "text": " ".join(short)}], None)
+    vectors = np.random.default_rng(1).standard_normal((len(wanted.vocabulary()), 8)).astype(np.float32)
+    whole = sorted(leaks.Search(wanted, wanted.vocabulary(), vectors, 0.45, 0.7, 0.6, 0.8).hits([" ".join(text)]))
+    assert [(i, share, first) for _, i, _, share, _, first in whole] == [(0, 1.0, 900), (1, 1.0, 1800)]
+    for chars in (300, 2000, 6500, 7001):
+        monkeypatch.setattr(leaks, "_PIECE_CHARS", chars)
+        pieces = list(leaks.pieces_of(" ".join(text), 70))
+        assert len(pieces) > 1 and all(ws == [w.encode() for w in text[at : at + len(ws)]] for at, ws in pieces)
+        got = sorted(leaks.Search(wanted, wanted.vocabulary(), vectors, 0.45, 0.7, 0.6, 0.8).hits([" ".join(text)]))
+        assert [(i, share, first) for _, i, _, share, _, first in got] == [(0, 1.0, 900), (1, 1.0, 1800)]
+    assert leaks.last_start([b"a", b"b"], [b"a", b"x", b"a", b"y", b"b", b"z"]) == 2
+
+
 def test_leak_edges(spark):
     benchmark = spark.createDataFrame([(1, "some words of an item that is here for the test to find them all."), (2, None), (3, ""), (None, "x y z"), (1, "some words")], "item_id long, text string")
     text = "Before. Some words of an item, that is here for the test to find them all; after."
