@@ -15,21 +15,93 @@ from tariffgrid.llm.common import prepare, read_table
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: The wording of notices and licenses. <<opt>> ... <</opt>> may be missing;
 #: <<var N>> stands for up to N words of any kind; the rest must be there, word for word.
-TEMPLATES = {
-    "cc-by-nc-4.0": "<<opt>>this work is<</opt>> licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by nc 4 0 <<opt>>international<</opt>> <<opt>>license<</opt>>",
-    "cc-by-4.0": "<<opt>>this work is<</opt>> licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> cc by 4 0 <<opt>>international<</opt>> <<opt>>license<</opt>>",
-    "gpl-3.0": "<<opt>>this <<var 3>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3",
-    "gpl-2.0": "<<opt>>this <<var 3>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 2",
-    "apache-2.0": "licensed under the apache license version 2 0 <<opt>>the license<</opt>>",
-    "mit": "<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> to deal in the software without restriction "
-    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
-    "subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice "
+_AS_IS = (
+    "this software is provided by <<var 12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall <<var 12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+    "even if advised of the possibility of such damage"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice "
     "this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
-    "and or other materials provided with the distribution",
-    "copyright-notice": "copyright <<opt>>c<</opt>> <<var 12>> all rights reserved",
-}
+    "and or other materials provided with the distribution"
+)
+_UNDER = "<<opt>>released<</opt>> <<opt>>distributed<</opt>> <<opt>>licensed<</opt>> <<opt>>available<</opt>> under <<opt>>the<</opt>> <<opt>>terms of the<</opt>>"
+_LINK = "<<opt>>http<</opt>> <<opt>>https<</opt>> <<opt>>www<</opt>>"
+TEMPLATES = {
+    "mit": (
+        "<<opt>>released<</opt>> <<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> mit license",
+        "the mit license <<opt>>mit<</opt>> <<opt>>copyright<</opt>>",
+    ),
+    "mit-text": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files <<opt>>the software<</opt>> to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall <<var 12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+        "or the use or other dealings in the software",
+    ),
+    "bsd-2-clause-text": (f"{_BSD} {_AS_IS}",),
+    "bsd-3-clause-text": (
+        f"{_BSD} <<opt>>3<</opt>> neither the name of <<var 12>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission {_AS_IS}",
+    ),
+    "isc-text": (
+        "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and <<var 8>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall <<var 8>> be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use "
+        "or performance of this software",
+    ),
+    "apache-2.0": (
+        "licensed under the apache license version 2 0 <<opt>>the license<</opt>>",
+        f"apache license version 2 0 january 2004 {_LINK} apache org licenses terms and conditions for use reproduction and distribution",
+        f"{_UNDER} apache license 2 0",
+    ),
+    "apache-2.0-notice": (
+        "licensed under the apache license version 2 0 <<opt>>the license<</opt>> you may not use this <<var 3>> except in compliance with the license you may obtain a copy of the license at "
+        f"{_LINK} apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind "
+        "either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "mpl-2.0": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        f"{_UNDER} mozilla public license <<opt>>version<</opt>> <<opt>>v<</opt>> 2 0",
+    ),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary "
+        "for any purpose commercial or non commercial and by any means",
+        f"{_UNDER} unlicense",
+    ),
+    "cc0-1.0": (
+        "to the extent possible under law <<var 20>> has waived all copyright and related or neighboring rights to",
+        f"{_UNDER} cc0 1 0 <<opt>>universal<</opt>>",
+    ),
+    "copyright-notice": ("copyright <<opt>>c<</opt>> <<var 12>> all rights reserved",),
+}
+#: The GNU licenses, each by name and version: a notice in short, and the notice of a program.
+for _label, _name, _version in (
+    ("gpl-2.0", "general public license", "2"), ("gpl-3.0", "general public license", "3"), ("lgpl-2.1", "lesser general public license", "2 1"), ("lgpl-3.0", "lesser general public license", "3"),
+    ("agpl-3.0", "affero general public license", "3"),
+):
+    TEMPLATES[_label] = (
+        f"<<opt>>this <<var 3>> is<</opt>> licensed under the <<opt>>terms of the<</opt>> gnu {_name} <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version {_version}",
+        f"redistribute it and or modify it under the terms of the gnu {_name} as published by the free software foundation either version {_version} of the license",
+        f"gnu {_name} version {_version} <<var 3>> copyright <<opt>>c<</opt>> <<var 3>> free software foundation",
+    )
+#: The Creative Commons licenses, by their parts and version: in short and in full.
+for _label, _parts in (
+    ("cc-by", ()), ("cc-by-sa", ("share alike",)), ("cc-by-nc", ("non commercial",)), ("cc-by-nd", ("no derivatives",)),
+    ("cc-by-nc-sa", ("non commercial", "share alike")), ("cc-by-nc-nd", ("non commercial", "no derivatives")),
+):
+    _names = {" ".join(("attribution", *_parts)), " ".join(("attribution", *(p.replace(" ", "") for p in _parts)))}
+    for _version in ("2.0", "3.0", "4.0"):
+        _number, _start = _version.replace(".", " "), "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>>"
+        TEMPLATES[f"{_label}-{_version}"] = (
+            f"<<opt>>this work is<</opt>> {_start} {_label.replace('-', ' ')} {_number} <<opt>>international<</opt>> <<opt>>license<</opt>>",
+            *(f"{_start} creative commons {name} {_number}" for name in sorted(_names)),
+        )
+#: Tags that name a license by its identifier.
+for _label in ("mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "agpl-3.0", "mpl-2.0", "isc", "unlicense", "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "cc-by-nc-4.0"):
+    TEMPLATES[_label] = (*TEMPLATES.get(_label, ()), "spdx license identifier " + " ".join(re.findall("[a-z]+[0-9]*|[0-9]+", _label)))
+
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARKUP = re.compile(r"<<(/?opt|var \d+)>>")
 
@@ -107,9 +179,13 @@ class TokenAutomaton:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES):
+    def __init__(self, phrases: dict[str, str] = PHRASES, templates: dict[str, str | tuple[str, ...]] = TEMPLATES):
         self.phrases = [(p.encode().split(), label) for p, label in phrases.items()]
-        self.automata = {label: TokenAutomaton(t) for label, t in templates.items()}
+        self.automata: dict[bytes, list[tuple[str, TokenAutomaton]]] = {}
+        for label, of in templates.items():
+            for template in (of,) if isinstance(of, str) else of:
+                automaton = TokenAutomaton(template)
+                self.automata.setdefault(automaton.anchor, []).append((label, automaton))
 
     def scan(self, text: str | None) -> tuple[int, int, int | None, int | None, str, str, float]:
         """n_words, n_base, first_word, last_word, base_labels, labels, score."""
@@ -122,7 +198,10 @@ class Scanner:
                 at = [k for k, w in enumerate(words) if w == phrase[0] and words[k : k + n] == phrase]
                 starts += at
                 base |= {label} if at else set()
-        exact = {label for label, a in self.automata.items() if a.anchor in low and a.found_in(words)}
+        exact: set[str] = set()
+        for anchor, automata in self.automata.items():
+            if anchor in low:
+                exact |= {label for label, a in automata if label not in exact and a.found_in(words)}
         score = 1.0 if exact else 0.5 if base else 0.0
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | exact)), score
 
@@ -130,11 +209,13 @@ class Scanner:
 _TYPES = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] | None = None, templates: dict[str, str | tuple[str, ...]] | None = None) -> DataFrame:
     """Words, base phrases and accepted templates of every row of docs, over whole texts.
 
     score: 1 if a template's mandatory wording is matched exactly, 0.5 if only base
-    phrases are found, else 0.
+    phrases are found, else 0. templates: by label one template or several, of which one
+    is enough; labels that end in -text or -notice stand for the whole wording, the others
+    for a clause that names the license.
 
     Defined results: a null text is an empty one (no words, no labels, null places);
     repeated rows are each scanned; a null id is carried; extra columns are ignored; an

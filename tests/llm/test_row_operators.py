@@ -432,8 +432,62 @@ def test_template_automata(template, text, found):
     assert lic.TokenAutomaton(template).found_in(text.encode().split()) is found
 
 
+def plain_template(template):
+    """The template as a regular expression over words joined by single spaces."""
+    out = ""
+    for part in re.findall(r"<<[^>]*>>|[^<\s]+", template):
+        if part == "<<opt>>":
+            out += "(?:"
+        elif part == "<</opt>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            out += r"(?: [^ ]+){0,%s}" % part[6:-2]
+        else:
+            out += " " + re.escape(part)
+    return re.compile(out + "(?= |$)")
+
+
+def test_license_labels_equal_regular_expressions(spark):
+    """Texts made from each template, as they are and with a word changed, by another matcher."""
+    rng = random.Random(9)
+    texts = []
+    for of in lic.TEMPLATES.values():
+        for template in of:
+            words = [w for part in re.findall(r"<<[^>]*>>|[^<\s]+", template) for w in (["any", "one"] if part.startswith("<<var") else [] if part.startswith("<<") else [part])]
+            short = re.sub(r"<<opt>>[^<]*<</opt>>", "", template)
+            texts += [" ".join(words), re.sub(r"<<var \d+>>", "x", short) if "<<opt" not in short else " ".join(words)]
+            changed = list(words)
+            changed[rng.randrange(len(changed))] = "other"
+            texts.append("Before, " + " ".join(changed).upper() + "; after")
+    texts += [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    patterns = {label: [plain_template(t) for t in of] for label, of in lic.TEMPLATES.items()}
+    found = set()
+    for r in lic.scan_licenses(docs(spark, *texts)).collect():
+        joined = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].lower()))
+        want = {label for label, of in patterns.items() if any(p.search(joined) for p in of)}
+        base = set(filter(None, r["base_labels"].split(",")))
+        assert set(filter(None, r["labels"].split(","))) == want | base, texts[r["doc_id"]][:200]
+        assert r["score"] == (1.0 if want else 0.5 if base else 0.0)
+        found |= want
+    assert found == set(lic.TEMPLATES)
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\n TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION", "apache-2.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl-3.0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl-2.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"), ("licensed under CC BY-NC-SA 3.0", "cc-by-nc-sa-3.0"),
+    ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "unlicense"),
+])
+def test_common_notices(text, label):
+    assert label in lic.Scanner().scan(text)[5].split(",")
+
+
 def test_license_labels_and_edges(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
     got = [r["labels"] for r in lic.scan_licenses(docs(spark, "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License.", mit)).orderBy("doc_id").collect()]
     assert got == ["cc-by,cc-by-nc-4.0", "gpl,gpl-3.0", "mit", ""]
     assert lic.scan_licenses(docs(spark, "a").limit(0)).count() == 0 and json.dumps(got)
+    odd = spark.createDataFrame([(None, "cc by"), (1, "cc by"), (1, "cc by"), (2, "pad " * 100_000 + "cc by")], "doc_id long, text string").withColumn("labels", F.lit("x"))
+    assert sorted((r["n_words"], r["first_word"], r["labels"]) for r in lic.scan_licenses(odd).collect()) == [(2, 0, "cc-by")] * 3 + [(100_002, 100_000, "cc-by")]
