@@ -16,7 +16,7 @@ from tariffgrid.llm.common import prepare, read_table
 from tariffgrid.llm.quality_rules import STOP_WORDS
 
 #: Elements whose content is never text; that start and end a block; that are no part of an article.
-SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title select option button textarea datalist".split())
+SILENT = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas audio video head title select option button textarea datalist".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html "
@@ -38,6 +38,12 @@ PARTS = frozenset(
     "law leaderboard left link links list lists menu message nav notice outer panel placement policy popup post posts preferences right row section settings slot stories text thread title toggle tools top unit widget widgets wrap wrapper".split()
 )
 NOT = frozenset("has have hide is no non not with without".split())
+#: Letters that are not Latin ones; those of scripts without spaces, two of which count as a word; ends and joints of sentences.
+_OTHER = re.compile(r"[\u0370-\u1dff\u2c00-\u2dff\u3040-\ud7ff\uf900-\ufdff\ufe70-\ufeff\uff66-\uffdc\U00010000-\U0001e8ff\U00020000-\U0003ffff]")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+_SENTENCE = re.compile(r"[.!?,;:](?=[\s\"')\]]|$)|[。！？、，．；։؟،۔।॥።…]")
+#: Words for each of which prose in a language without known stop words has an end or a joint of a sentence.
+SENTENCE_WORDS = 20
 #: Words and densities of the first pass.
 LONG, SHORT, LINKS, STOPS = 25, 10, 0.5, 0.08
 _STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws)
@@ -59,6 +65,21 @@ def hint_of(value: str) -> str | None:
     return None
 
 
+def prose_figures(text: str) -> tuple[int, float]:
+    """Words of a text and the share of stop words among them.
+
+    Scripts without spaces have a word for two letters. Where few of the words are known,
+    as in another language, ends and joints of sentences stand in for stop words.
+    """
+    words = text.lower().split()
+    n, stops = len(words), sum(w.strip(".,;:!?\"'()") in _STOP for w in words)
+    if not text.isascii() and 2 * len(_OTHER.findall(text)) > len(text) - n:
+        n = max(n, len(_UNSPACED.findall(text)) // 2)
+    if stops < STOPS * n and n >= LONG and len(_SENTENCE.findall(text)) * SENTENCE_WORDS >= n:
+        return n, STOPS
+    return n, stops / n
+
+
 def _hint(tag: str, attributes: str, in_article: bool) -> str | None:
     """As hint_of, for an element; ids of headings, and of sections of an article, are anchors named for what they hold."""
     for name, *values in _ATTRIBUTE.findall(attributes):
@@ -119,10 +140,9 @@ class _Reader:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                words = text.lower().split()
-                stops = sum(w.strip(".,;:!?\"'()") in _STOP for w in words)
+                words, stops = prose_figures(text)
                 at = self.top()
-                self.blocks.append(Block(text, len(words), min(1.0, self.links / len(text)), stops / len(words), at.outside, at.content, hints=at.hints))
+                self.blocks.append(Block(text, words, min(1.0, self.links / len(text)), stops, at.outside, at.content, hints=at.hints))
         self.parts, self.links = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -136,7 +156,7 @@ class _Reader:
             self.imply(tag)
         up = self.top()
         hints = up.hints
-        if attributes and tag not in ("html", "body", "article", "main") and (word := _hint(tag, attributes, up.in_article)):
+        if attributes and tag not in ("html", "body", "article", "main") and not (tag == "header" and up.content) and (word := _hint(tag, attributes, up.in_article)):
             hints = (*hints, len(self.hinted))
             self.hinted.append(word)
         outside = up.outside or tag in OUTSIDE or (tag == "header" and not up.content) or bool(attributes and _HIDDEN.search(attributes))

@@ -385,6 +385,24 @@ def test_odd_pages(page, text):
     assert pages.main_text(page) == text
 
 
+PROSE = "It was the best of the days for a walk in the park with the dog, and the sun was out over the hill as the bells of the town rang for noon."
+CAT = "吾輩は猫である。名前はまだ無い。どこで生れたかとんと見当がつかぬ。何でも薄暗いじめじめした所でニャーニャー泣いていた事だけは記憶している。"
+DAY = "Это был лучший из дней для прогулки в парке с собакой, и солнце светило над холмом, когда колокола города пробили полдень для всех жителей этого места."
+DZIEN = "Był to najlepszy dzień na spacer po parku z psem, słońce świeciło nad wzgórzem, gdy dzwony miasta wybiły południe, a wszyscy mieszkańcy tego miejsca szli razem drogą nad rzeką."
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f'<article><header class="entry-header"><h1>Title</h1><p class="meta">By me</p></header><p>{PROSE}</p></article>', f"Title\n\nBy me\n\n{PROSE}"),
+    (f'<div id="search-results-page"><main><p>{PROSE}</p></main></div>', PROSE), (f'<section class="social-science"><article><p>{PROSE}</p></article></section>', PROSE),
+    ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2 in tex</annotation></math> then.</p></article>", "So x=2 then."),
+    (f'<nav><a href="/">家</a></nav><div class="text"><p>{CAT}</p><p>短い。</p><p>{CAT}</p></div><div class="comments"><p>{CAT}</p></div><footer>{CAT}</footer>', f"{CAT}\n\n短い。\n\n{CAT}"),
+    (f"<p>{DAY}</p><p>{DAY}</p>", f"{DAY}\n\n{DAY}"), (f"<p>{DZIEN}</p>", DZIEN), (f"<p>{' '.join(f'key{k}' for k in range(60))}</p><p>{PROSE}</p>", PROSE),
+    ("<article><p>" + "word of it " * 60_000 + "</p></article>", ("word of it " * 60_000).strip()),
+])
+def test_pages_of_other_makes(page, text):
+    assert pages.main_text(page) == text
+
+
 def test_ambiguous_blocks_follow_their_neighbours():
     good = "It was the best of the days for a walk in the park with the dog, and the sun was out over the hill as the bells of the town rang for noon."
     bad = " ".join(f"<a href={k}>Link number {k}</a>" for k in range(9))
