@@ -75,12 +75,6 @@ def page_tables(pages: DataFrame) -> DataFrame:
     return pages.select("source_id", "body").mapInArrow(_parse, _ROWS)
 
 
-def with_nearest(rows: DataFrame, value, name: str, group: str = "source_id", pos: str = "pos") -> DataFrame:
-    """rows with the last non-null value at or before each place of its group."""
-    before = W.partitionBy(group).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(before))
-
-
 def markdown_lines(pages: DataFrame) -> DataFrame:
     """(source_id, pos, line) of each line of each page."""
     return pages.select("source_id", F.posexplode(F.split("body", r"\r\n|\r|\n")).alias("pos", "line"))

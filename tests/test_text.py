@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tariffgrid.functions import amounts as A
 from tariffgrid.functions import pricing as P
 from tariffgrid.functions import text as X
 
@@ -21,14 +22,24 @@ def test_visible_text_drops_hidden_parts_and_tags(spark):
     ("Pro $20 per month", 20.0), ("US$ 19.5/mo", 19.5), ("每月 30 美元", 30.0), ("12 USD / 月", 12.0), ("monthly price: $7", 7.0), ("$8 a month", 8.0), ("$39 USD per user per month", 39.0), ("soon", None),
 ])
 def test_monthly_usd(spark, text, price):
-    assert one(spark, X.monthly_price(F.col("a"), F.lit("USD"), F.lit(False)), text) == price
+    assert one(spark, A.monthly_price(F.col("a"), F.lit("USD"), F.lit(False)), text) == price
 
 
 def test_monthly_cny_free_and_unknown_currency(spark):
-    assert one(spark, X.monthly_price(F.col("a"), F.lit("CNY"), F.lit(False)), "¥ 49 /月") == 49.0
-    assert one(spark, X.monthly_price(F.col("a"), F.lit("CNY"), F.lit(True)), "anything") == 0.0
+    assert one(spark, A.monthly_price(F.col("a"), F.lit("CNY"), F.lit(False)), "¥ 49 /月") == 49.0
+    assert one(spark, A.monthly_price(F.col("a"), F.lit("CNY"), F.lit(True)), "anything") == 0.0
     with pytest.raises(Exception, match="no price patterns"):
-        one(spark, X.monthly_price(F.col("a"), F.lit("GBP"), F.lit(False)), "£5")
+        one(spark, A.monthly_price(F.col("a"), F.lit("GBP"), F.lit(False)), "£5")
+
+
+def test_mentions_of_a_text(spark):
+    text = "Was US$1,200 in all, now $99.5 per seat per month or 每月 ¥ 680; S$7/mo, 12 元, 5x as much, monthly: 3 USD"
+    got = [tuple(m) for m in one(spark, A.mentions(F.col("a")), text)]
+    assert got == [(1200.0, "USD", False), (99.5, "USD", True), (680.0, "CNY", True), (7.0, "SGD", True), (12.0, "CNY", False), (5.0, None, False), (3.0, "USD", True)]
+    assert one(spark, A.amounts(F.col("a"), "CNY"), text) == [680.0, 12.0] and one(spark, A.amounts(F.col("a"), "USD", monthly=True), text) == [99.5, 3.0]
+    assert one(spark, A.labelled(F.col("a"), ("Pro", "Pro X")), "Pro Plus $3/mo, Pro X at $4 / mo") == "Pro X at $4 / mo"
+    assert one(spark, A.counted(F.col("a"), "credit"), "has 12,500 credits") == 12500.0 and one(spark, A.mentions(F.col("a")), "") == []
+    assert one(spark, A.cell_words(F.col("a"), "qwen"), "new Qwen-Max.2 (beta)") == "qwen-max.2"
 
 
 def test_product_window_stops_at_the_next_heading_or_the_width(spark):
@@ -52,11 +63,11 @@ def test_markdown_cells(spark):
 
 
 def test_cell_prices(spark):
-    assert one(spark, X.last_amount(F.col("a")), "~~¥4~~ ¥3.5") == 3.5
-    assert one(spark, X.last_amount(F.col("a")), " **2.1** ") == 2.1
-    assert one(spark, X.last_amount(F.col("a")), "128K context") is None
-    assert one(spark, X.free_or_amount(F.col("a")), "Free") == 0.0
-    assert one(spark, X.free_or_amount(F.col("a")), "\\$0.6") == 0.6
+    assert one(spark, A.last_amount(F.col("a"), X.plain_cell(F.col("a"))), "~~¥4~~ ¥3.5") == 3.5
+    assert one(spark, A.last_amount(F.col("a"), X.plain_cell(F.col("a"))), " **2.1** ") == 2.1
+    assert one(spark, A.last_amount(F.col("a"), X.plain_cell(F.col("a"))), "128K context") is None
+    assert one(spark, A.free_or_amount(F.col("a")), "Free") == 0.0
+    assert one(spark, A.free_or_amount(F.col("a")), "\\$0.6") == 0.6
 
 
 def test_brackets(spark):
@@ -68,7 +79,7 @@ def test_brackets(spark):
 def test_json_rows_and_regional_price(spark):
     assert one(spark, X.json_rows(F.col("a")), '<T rows={[["m", "1M tokens"],]} />') == [["m", "1M tokens"]]
     assert one(spark, X.json_rows(F.col("a")), "nothing") is None
-    assert one(spark, X.regional_price(F.col("a")), "From $ 9.90 SGD / mo, $7 /mo").asDict() == {"price": 9.9, "currency": "SGD"}
+    assert one(spark, A.regional_price(F.col("a")), "From $ 9.90 SGD / mo, $7 /mo").asDict() == {"price": 9.9, "currency": "SGD"}
 
 
 def test_numbers(spark):
