@@ -8,22 +8,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tariffgrid.functions.pricing import SAME_PRICE, compare_price
+from tariffgrid.functions.pricing import SAME_PRICE, compare_price, quota_type
 
 COLLATION = "zh"
 CONTEXT_BUCKETS = {"gte1000k": (1_000_000, None), "gte200k": (200_000, None), "gte128k": (128_000, None), "lt128k": (None, 128_000)}
 PRICE_BUCKETS = {"lt10": (None, 10), "10to50": (10, 50), "50to200": (50, 200), "gte200": (200, None)}
 PLAN_BUCKETS = {"lt50": (None, 50), "50to150": (50, 150), "150to500": (150, 500), "gte500": (500, None)}
 BILLING_ORDER = ("per_token", "subscription", "coding_plan")
+PLAN_TYPES = ("subscription", "coding_plan")
 CODING_PROVIDERS = ("cursor", "githubcopilot", "kiro", "opencode")
-#: Flagship lines of each maker, in order of preference.
-FLAGSHIPS = (
-    ("openai", 0, r"(?i)^GPT-\d+(?:\.\d+)? Sol$"), ("openai", 1, r"(?i)^GPT-\d+(?:\.\d+)?$"), ("anthropic", 0, r"(?i)^Claude Opus\b"), ("google", 0, r"(?i)^Gemini\b.*\bPro\b"),
-    ("qwen", 0, r"(?i)^Qwen.*\bMax\b"), ("deepseek", 0, r"(?i)^DeepSeek\b.*\bPro\b"), ("deepseek", 1, r"(?i)^DeepSeek(?!.*\bFlash\b)"), ("moonshot", 0, r"(?i)^Kimi K\d+(?:\.\d+)?$"),
-    ("zhipu", 0, r"(?i)^GLM-\d+(?:\.\d+)?$"), ("minimax", 0, r"(?i)^MiniMax-M\d+(?:\.\d+)?$"),
+#: Rows that a search suggests, and that a picker of models or of plans offers.
+SUGGESTIONS, PICKER_ROWS, COMPARE_ROWS = 8, 60, 40
+#: Rows of a table made of a list of ids, up to which it is broadcast.
+BROADCAST_IDS = 10_000
+#: Flagship lines of each maker, in order of preference: words that the name starts with, whether a version number ends
+#: the name, and words that must or must not follow.
+FLAGSHIP_LINES = (
+    ("openai", 0, "GPT-", "number Sol", (), ()), ("openai", 1, "GPT-", "number", (), ()), ("anthropic", 0, "Claude Opus", "", (), ()), ("google", 0, "Gemini", "", ("Pro",), ()), ("qwen", 0, "Qwen", "", ("Max",), ()),
+    ("deepseek", 0, "DeepSeek", "", ("Pro",), ()), ("deepseek", 1, "DeepSeek", "", (), ("Flash",)), ("moonshot", 0, "Kimi K", "number", (), ()), ("zhipu", 0, "GLM-", "number", (), ()), ("minimax", 0, "MiniMax-M", "number", (), ()),
 )
 
 
+def line_pattern(start: str, rest: str, words: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> str:
+    """A pattern of the names of one line; `number` in rest stands for a version, and then the name ends."""
+    has = "".join(rf"(?=.*\b{w}\b)" for w in words) + "".join(rf"(?!.*\b{w}\b)" for w in without)
+    tail = rest.replace("number", r"\d+([.]\d+)?").replace(" ", r"\s+") + "$" if rest else "" if start[-1] == "-" or start == "Qwen" else r"\b"
+    return rf"(?i)^{has}{start}{tail}"
+
+
+FLAGSHIPS = tuple((provider, rank, line_pattern(*line)) for provider, rank, *line in FLAGSHIP_LINES)
+
+
 def view_rows(offers: DataFrame, plans: DataFrame) -> DataFrame:
     """Offers and plans as one table, told apart by billing_type; columns that one lacks are null."""
     a = offers.select(
@@ -35,7 +50,18 @@ def view_rows(offers: DataFrame, plans: DataFrame) -> DataFrame:
         F.col("plan_id").alias("id"), "billing_type", "provider_id", "provider_name", F.col("product_name").alias("model"), "market", "currency", "price_amount", "monthly_equivalent", "included_quota", "quota_unit",
         "featured_on_home", compare_price(F.col("comparison_monthly_amount"), F.col("currency"), F.col("monthly_equivalent")).alias("compare_monthly"),
     )
-    return a.unionByName(b, allowMissingColumns=True)
+    return a.unionByName(b, allowMissingColumns=True).withColumn("row_id", F.concat_ws(":", "provider_id", "id"))
+
+
+def with_status(rows: DataFrame, statuses: DataFrame) -> DataFrame:
+    """rows with their provider's status, error and whether it is stale; a provider without a status is not stale."""
+    known = statuses.select("provider_id", F.col("status").alias("provider_status"), F.coalesce("stale", F.lit(False)).alias("stale"))
+    return rows.join(known, "provider_id", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
+
+
+def is_fresh(rows: DataFrame) -> Column:
+    """Not stale; rows without a status are not."""
+    return ~F.coalesce(F.col("stale"), F.lit(False)) if "stale" in rows.columns else F.lit(True)
 
 
 def contains(text: str, *columns: str) -> Column:
@@ -111,6 +137,101 @@ class CatalogQuery:
         return page(rows.where(self.where()), self.order(), self.page, self.page_size)
 
 
+@dataclass(frozen=True)
+class PlanQuery:
+    """Parameters of the plans' page of one billing type; unset ones don't restrict."""
+
+    billing_type: str = "subscription"
+    search: str = ""
+    providers: tuple[str, ...] = ()
+    kind: str = ""
+    price: str = ""
+    quota: str = ""
+    descending: bool = False
+
+    def where(self) -> Column:
+        ok = (F.col("billing_type") == self.billing_type) & contains(self.search, "model", "provider_name") & one_of("provider_id", list(self.providers))
+        if self.kind:
+            ok = ok & plan_kind(self.kind)
+        if self.price:
+            ok = ok & in_bucket(F.col("compare_monthly"), PLAN_BUCKETS[self.price])
+        if self.quota:
+            ok = ok & (quota_type(F.col("quota_unit")) == self.quota)
+        return ok
+
+    def order(self) -> list[Column]:
+        """By monthly price, plans without one last either way; of equals by name and id."""
+        price = F.col("compare_monthly")
+        return [price.desc_nulls_last() if self.descending else price.asc_nulls_last(), F.collate("model", COLLATION), F.col("id").asc()]
+
+    def run(self, rows: DataFrame) -> DataFrame:
+        return rows.where(self.where()).orderBy(*self.order())
+
+
+def plan_providers(rows: DataFrame, billing_type: str) -> DataFrame:
+    """Providers of the plans of a billing type, most plans first."""
+    return rows.where(F.col("billing_type") == billing_type).groupBy("provider_id", "provider_name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "provider_name", "provider_id")
+
+
+def billing_order() -> list[Column]:
+    """Products as the billing pages list them: by provider, then by monthly price, without one last."""
+    return [F.collate("provider_name", COLLATION), F.col("monthly_equivalent").asc_nulls_last(), F.col("id").asc()]
+
+
+def candidate_order() -> list[Column]:
+    """Models that can be compared: newest first, then by provider and model."""
+    return [F.coalesce("release_date", F.lit("")).desc(), F.collate("provider_name", COLLATION), F.collate("model", COLLATION), F.col("id").asc()]
+
+
+def candidates(rows: DataFrame, search: str = "", without: tuple[str, ...] = (), most: int = PICKER_ROWS) -> DataFrame:
+    """Fresh models with a price that a picker offers, without those selected elsewhere."""
+    priced = rows.where((F.col("billing_type") == "per_token") & F.col("model").isNotNull() & is_fresh(rows) & contains(search, "model", "provider_name"))
+    return (not_selected(priced, list(without)) if without else priced).orderBy(*candidate_order()).limit(most)
+
+
+def featured_plans(rows: DataFrame) -> DataFrame:
+    """Plans that the home page shows: featured ones with a monthly price."""
+    return rows.where(F.col("billing_type").isin(*PLAN_TYPES) & F.coalesce("featured_on_home", F.lit(False)) & F.col("monthly_equivalent").isNotNull())
+
+
+def billing_totals(rows: DataFrame) -> DataFrame:
+    """One row: fresh rows of each billing type, plans of both kinds together, and all rows."""
+    fresh = is_fresh(rows)
+    n = {b: F.count_if((F.col("billing_type") == b) & fresh) for b in BILLING_ORDER}
+    return rows.agg(*(c.alias(b) for b, c in n.items()), (n["subscription"] + n["coding_plan"]).alias("plans"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def status_totals(statuses: DataFrame) -> DataFrame:
+    """One row: providers that are stale, and that are not."""
+    stale = F.coalesce("stale", F.lit(False))
+    return statuses.agg(F.count_if(stale).alias("n_stale"), F.count_if(~stale).alias("n_fresh"))
+
+
+def search_providers(providers: DataFrame, text: str, most: int | None = None) -> DataFrame:
+    """Providers whose name, English name or id holds the text; for suggestions the first few, and none for an empty text."""
+    found = providers.where(contains(text, "name", "name_en", "provider_id"))
+    if most is None:
+        return found
+    return found.where(F.lit(bool(text.strip()))).orderBy("provider_id").limit(most)
+
+
+def by_region(providers: DataFrame) -> DataFrame:
+    """providers with region_group: cn, or intl for all other regions."""
+    return providers.withColumn("region_group", F.when(F.col("region") == "cn", "cn").otherwise("intl"))
+
+
+def toggled(visible: tuple[str, ...], column: str) -> tuple[str, ...]:
+    """The visible columns with one switched on or off; the last one stays on."""
+    if column not in visible:
+        return (*visible, column)
+    return tuple(c for c in visible if c != column) or visible
+
+
+def shown(rows: DataFrame, visible: tuple[str, ...], always: tuple[str, ...] = ("id", "model")) -> DataFrame:
+    """The rows with the visible columns beside those always shown."""
+    return rows.select(*dict.fromkeys((*always, *visible)))
+
+
 def sort_columns(option: str) -> list[Column]:
     """Order for `key:direction`: nulls last either way, ties by id."""
     key, _, direction = option.partition(":")
@@ -178,10 +299,10 @@ def groups_in_order(rows: DataFrame, key: str, ordinal: str, *columns: str) -> D
 
 
 def flagships(rows: DataFrame, rules: tuple = FLAGSHIPS) -> DataFrame:
-    """One row a maker: of its most preferred line that has rows, the newest model. Rules are a small fixed table."""
+    """One row a maker: of its most preferred line that has fresh rows, the newest model. Rules are a small fixed table."""
     spark = rows.sparkSession
     table = spark.createDataFrame(list(rules), "rule_provider string, rule_rank int, pattern string")
-    priced = rows.where("billing_type = 'per_token' and input_per_1m is not null and output_per_1m is not null")
+    priced = rows.where("billing_type = 'per_token' and input_per_1m is not null and output_per_1m is not null").where(is_fresh(rows))
     hit = priced.join(F.broadcast(table), (F.col("provider_id") == F.col("rule_provider")) & F.expr("rlike(model, pattern)"))
     newest = W.partitionBy("provider_id").orderBy("rule_rank", F.coalesce("release_date", F.lit("")).desc(), F.collate("model", COLLATION), "id")
     best = hit.withColumn("place", F.row_number().over(newest)).where("place = 1").drop("rule_provider", "pattern", "place")
@@ -195,16 +316,21 @@ def first_of_each(rows: DataFrame, key: str, order: list[Column], most: int | No
     return first.orderBy(*order).limit(most) if most else first
 
 
+def _listed(table: DataFrame, n: int) -> DataFrame:
+    """A table made of a list of n entries, broadcast if these are few."""
+    return F.broadcast(table) if n <= BROADCAST_IDS else table
+
+
 def selected(rows: DataFrame, ids: list[str], most: int = 4, id_col: str = "id") -> DataFrame:
     """Rows of the selected ids in the order of selection; ids without a row are passed over, `most` are kept."""
     spark: SparkSession = rows.sparkSession
     picks = spark.createDataFrame([(k, x) for k, x in enumerate(dict.fromkeys(ids))], f"pick int, `{id_col}` string")
-    return rows.join(F.broadcast(picks), id_col).orderBy("pick").limit(most)
+    return rows.join(_listed(picks, len(ids)), id_col).orderBy("pick").limit(most)
 
 
 def not_selected(rows: DataFrame, ids: list[str], id_col: str = "id") -> DataFrame:
     spark: SparkSession = rows.sparkSession
-    return rows.join(F.broadcast(spark.createDataFrame([(x,) for x in ids], f"`{id_col}` string")), id_col, "left_anti")
+    return rows.join(_listed(spark.createDataFrame([(x,) for x in ids], f"`{id_col}` string"), len(ids)), id_col, "left_anti")
 
 
 def row_by_id(rows: DataFrame, wanted: str, id_col: str = "id") -> DataFrame:
@@ -231,11 +357,19 @@ def preferred_first(rows: DataFrame, preferred: list[str], label: str, ordinal:
     return first_of_each(ranked, label, order, most, id_col=label)
 
 
-def with_lowest(rows: DataFrame, *columns: str) -> DataFrame:
-    """rows with lowest_<column>: whether it has the least value, if two or more have one. For a small selection."""
-    whole = W.partitionBy(F.lit(0))
-    flag = lambda c: (F.count(c).over(whole) >= 2) & F.coalesce(F.abs(F.col(c) - F.min(c).over(whole)) < SAME_PRICE, F.lit(False))
-    return rows.withColumns({f"lowest_{c}": flag(c) for c in columns})
+def with_lowest(rows: DataFrame, *columns: str, by: str | None = None) -> DataFrame:
+    """rows with lowest_<column>: whether it has the least value (of its group), if two or more have one.
+
+    The least values are one aggregation, joined back as a row for each group.
+    """
+    least = [x for c in columns for x in (F.min(c).alias(f"least {c}"), F.count(c).alias(f"n {c}"))]
+    if by is None:
+        both = rows.crossJoin(F.broadcast(rows.agg(*least)))  # one row
+    else:
+        found = rows.groupBy(F.col(by).alias("least of")).agg(*least)
+        both = rows.join(found, F.col(by).eqNullSafe(F.col("least of")), "left").drop("least of")
+    flag = lambda c: (F.col(f"n {c}") >= 2) & F.coalesce(F.abs(F.col(c) - F.col(f"least {c}")) < SAME_PRICE, F.lit(False))
+    return both.select(*rows.columns, *(flag(c).alias(f"lowest_{c}") for c in columns))
 
 
 def lowest_priced(rows: DataFrame, column: str = "compare_input") -> DataFrame:
@@ -249,12 +383,12 @@ def provider_directory(catalog: DataFrame, statuses: DataFrame, metadata: DataFr
         one = part.select("provider_id", F.lit(rank).alias("rank")).distinct()
         every = one if every is None else every.unionByName(one)
     first = every.groupBy("provider_id").agg(F.min("rank").alias("rank"))
-    return first.where(~F.col("provider_id").isin(*without)).join(F.broadcast(metadata), "provider_id", "left")
+    return first.where(~F.col("provider_id").isin(*without)).join(metadata, "provider_id", "left")
 
 
 def with_provider_info(ids: DataFrame, metadata: DataFrame) -> DataFrame:
     """Provider ids with name, English name, region and website; what the metadata lacks is defaulted."""
-    m = ids.join(F.broadcast(metadata), "provider_id", "left")
+    m = ids.join(metadata, "provider_id", "left")
     name = F.coalesce("name", "provider_id")
     return m.select("provider_id", name.alias("name"), F.coalesce("name_en", name).alias("name_en"), F.coalesce("region", F.lit("unknown")).alias("region"), F.coalesce("website", F.lit("")).alias("website"))
 

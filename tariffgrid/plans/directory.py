@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tariffgrid.functions.pricing import distinct_in_order, integer, number, offer_id, service_tier
+from tariffgrid.operators.selection import known_only
 from tariffgrid.schema import as_offers
 
 #: Directory key, catalog id, name and region of the providers taken, in order.
@@ -43,13 +44,12 @@ def directory_offers(docs: DataFrame, fetched_at: str, source_url: str = "") ->
     catalog orders by provider as listed, then by offer id.
     """
     spark = docs.sparkSession
-    docs.createOrReplaceTempView("directory_docs")
-    providers = spark.sql("select p.key as directory_provider_id, p.value as provider from directory_docs, lateral variant_explode(doc) p where startswith(schema_of_variant(p.value), 'OBJECT')")
-    known = providers.join(F.broadcast(provider_table(spark)), "directory_provider_id")
-    known.createOrReplaceTempView("directory_providers")
+    providers = spark.sql("select p.key as directory_provider_id, p.value as provider from {docs}, lateral variant_explode(doc) p where startswith(schema_of_variant(p.value), 'OBJECT')", docs=docs)
+    known = known_only(providers, F.broadcast(provider_table(spark)), "directory_provider_id")  # ten rows
     models = spark.sql(
-        "select d.*, m.key as model_key, m.value as model from directory_providers d, lateral variant_explode_outer(try_variant_get(provider, '$.models', 'variant')) m "
-        "where m.key is not null and startswith(schema_of_variant(m.value), 'OBJECT')"
+        "select d.*, m.key as model_key, m.value as model from {known} d, lateral variant_explode_outer(try_variant_get(provider, '$.models', 'variant')) m "
+        "where m.key is not null and startswith(schema_of_variant(m.value), 'OBJECT')",
+        known=known,
     )
     get = lambda path, kind="string": F.try_variant_get("model", path, kind)
     price = {c: number(get(f"$.cost.{k}")) for c, k in (("input_per_1m", "input"), ("output_per_1m", "output"), ("cache_read_per_1m", "cache_read"), ("cache_write_per_1m", "cache_write"))}

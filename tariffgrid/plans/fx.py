@@ -41,11 +41,11 @@ def read_rates(spark: SparkSession, path: str, base: str = COMPARISON) -> DataFr
 def with_rate(rows: DataFrame, rates: DataFrame, currency: str = "currency") -> DataFrame:
     """rows with comparison_fx_rate and comparison_fx_date of their currency; null where there is no rate.
 
-    rates holds one row a currency (a few hundred at most), so it is broadcast.
+    rates holds one row a currency; how it is joined is left to its size.
     """
     few = rates.where("rate > 0").select(F.col("currency").alias("rate_of"), F.col("rate").alias("comparison_fx_rate"), F.col("published_date").alias("comparison_fx_date"))
     plain = rows.drop("comparison_fx_rate", "comparison_fx_date")
-    return plain.join(F.broadcast(few), F.upper(currency) == F.col("rate_of"), "left").drop("rate_of")
+    return plain.join(few, F.upper(currency) == F.col("rate_of"), "left").drop("rate_of")
 
 
 def compare_offers(offers: DataFrame, rates: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tariffgrid.operators.quality import drop_ratio
+from tariffgrid.operators.selection import among, newest
 from tariffgrid.schema import OFFER_FIELDS, PLAN_FIELDS, as_offers, as_plans, ddl
 
 #: Column types of the tables; later columns may be added, older files then read as null.
 TABLES = {
     "run_events": "run_id string, status string, at string, detail string",
-    "source_snapshots": "run_id string, source_id string, fetched_at string, checksum string, size bigint",
+    "source_snapshots": "run_id string, source_id string, fetched_at string, checksum string, size bigint, etag string, last_modified string",
     "fx_snapshots": "fx_id string, run_id string, published_date string, rates string",
     "catalog_snapshots": "snapshot_id string, run_id string, created_at string, offer_count bigint, plan_count bigint, provider_count bigint",
     "releases": "release_id string, snapshot_id string, published_at string",
@@ -70,7 +71,7 @@ class History:
     def last_good_plans(self, source_id: str) -> DataFrame:
         """A source's plans in the latest release. Found by registry entry, as two entries may share a page."""
         latest = latest_release(self.read("releases"), self.read("catalog_snapshots")).select("snapshot_id")
-        kept = self.read("plans").join(F.broadcast(latest), "snapshot_id", "left_semi")
+        kept = among(self.read("plans"), latest, "snapshot_id")
         return as_plans(kept.where(F.col("source_id") == source_id))
 
 
@@ -85,13 +86,13 @@ def counted(offers: DataFrame, plans: DataFrame) -> DataFrame:
 
 def latest_release(releases: DataFrame, snapshots: DataFrame) -> DataFrame:
     """The newest release with its snapshot's columns."""
-    return releases.join(snapshots, "snapshot_id").orderBy(F.desc("published_at"), F.desc("release_id")).limit(1)
+    return newest(releases.join(snapshots, "snapshot_id"), ["published_at", "release_id"])
 
 
 def with_release_status(releases: DataFrame) -> DataFrame:
     """published for the newest release, superseded for all others."""
-    newest = releases.agg(F.max(F.struct("published_at", "release_id")).alias("m"))
-    marked = releases.crossJoin(F.broadcast(newest))
+    latest = releases.agg(F.max(F.struct("published_at", "release_id")).alias("m"))
+    marked = releases.crossJoin(F.broadcast(latest))  # one row
     return marked.withColumn("status", F.when(F.struct("published_at", "release_id") == F.col("m"), "published").otherwise("superseded")).drop("m")
 
 

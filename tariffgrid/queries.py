@@ -12,6 +12,7 @@ from tariffgrid.functions import pricing as P
 from tariffgrid.functions import text as X
 from tariffgrid.operators import catalog_query as C
 from tariffgrid.operators import quality as Q
+from tariffgrid.operators import selection as S
 from tariffgrid.plans import fx, history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,13 +91,13 @@ def provider_default_lookup(t):
     metadata = known.select(F.col("n_nationkey").cast("string").alias("provider_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("name_en"), F.col("r_name").alias("region"), F.lit("").alias("website"))
     ids = t("customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("provider_id"))
     info = C.with_provider_info(ids.select("provider_id").distinct(), metadata)
-    return ids.join(F.broadcast(info), "provider_id").select("c_custkey", "name", "region")
+    return ids.join(info, "provider_id").select("c_custkey", "name", "region")
 
 
 @query("""SELECT o_orderkey, o_custkey, c_mktsegment FROM orders JOIN (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING') ON o_custkey = c_custkey""")
 def target_provider_filter(t):
     wanted = t("customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_mktsegment")
-    return t("orders").select("o_orderkey", "o_custkey").join(wanted, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "c_mktsegment")
+    return S.known_only(t("orders").select("o_orderkey", "o_custkey"), wanted.withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select("o_orderkey", "o_custkey", "c_mktsegment")
 
 
 def _part_view(t) -> DataFrame:
@@ -159,8 +160,9 @@ def drop_ratio_guard(t):
 @query("""
 SELECT c_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders JOIN customer ON o_custkey = c_custkey) WHERE k = 1""")
 def latest_release_join(t):
-    newest = t("orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("o"))
-    return t("customer").select("c_custkey").join(newest, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o.o_orderkey", "o.o_totalprice")
+    releases = t("orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice")
+    newest = S.newest(releases, ["o_orderdate", "o_orderkey"], by=["o_custkey"])
+    return t("customer").select("c_custkey").join(newest, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
 @query("""
@@ -174,43 +176,40 @@ def supersede_status(t):
 WITH g AS (SELECT user_id, arg_max(value, ts) AS v FROM events WHERE event_type <> 'error' GROUP BY 1), e AS (SELECT user_id, arg_max(value, ts) AS v FROM events GROUP BY 1)
 SELECT e.user_id, coalesce(g.v, e.v) AS value, g.v IS NULL AS is_stale FROM e LEFT JOIN g USING (user_id)""")
 def lkg_fallback(t):
-    good = F.col("event_type") != "error"
-    seen = t("events").groupBy("user_id").agg(F.max_by(F.when(good, F.col("value")), F.when(good, F.col("ts"))).alias("fresh"), F.max_by("value", "ts").alias("old"))
-    return seen.select("user_id", F.coalesce("fresh", "old").alias("value"), F.col("fresh").isNull().alias("is_stale"))
+    return S.with_fallback(t("events"), "user_id", "value", "ts", F.col("event_type") != "error")
 
 
 @query("""
 SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS heading FROM events""")
 def locf_heading(t):
-    before = W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     mark = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    return t("events").select("event_id", F.last(mark, ignorenulls=True).over(before).alias("heading"))
+    return S.with_nearest(t("events"), mark, "heading", "user_id", ("ts", "event_id")).select("event_id", "heading")
 
 
 @query("""
 SELECT event_id, least(coalesce(floor(epoch(lead(ts) OVER w)) - floor(epoch(ts)), 86400), 86400)::BIGINT AS width FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def next_match_window(t):
-    after = F.lead("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    width = F.least(F.coalesce(F.unix_timestamp(after) - F.unix_timestamp("ts"), F.lit(86400)), F.lit(86400))
-    return t("events").select("event_id", width.cast("bigint").alias("width"))
+    rows = t("events").select("event_id", "user_id", "ts", F.unix_timestamp("ts").alias("at"))
+    return S.with_width(rows, F.col("at"), 86400, "width", "user_id", ("ts", "event_id")).select("event_id", F.col("width").cast("bigint").alias("width"))
 
 
 @query("""SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
 def keep_last_dedupe(t):
-    last = t("events").groupBy("user_id", "event_type").agg(F.max(F.struct("event_id", "value")).alias("e"))
-    return last.select("user_id", "event_type", "e.event_id", "e.value")
+    return S.newest(t("events").select("user_id", "event_type", "event_id", "value"), ["event_id"], by=["user_id", "event_type"])
 
 
 @query("""
-SELECT p_brand AS provider_id, id, rule_rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY rule_rank, p_retailprice DESC, p_name COLLATE zh, id) AS k FROM
- (SELECT *, printf('%010d', p_partkey) AS id, CASE WHEN regexp_matches(p_type, '^PROMO') THEN 0 WHEN regexp_matches(p_type, 'STEEL$') THEN 1 END AS rule_rank FROM part) WHERE rule_rank IS NOT NULL) WHERE k = 1""")
+SELECT p_brand AS provider_id, id, rule_rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY rule_rank, p_size DESC, p_type COLLATE zh, id) AS k FROM
+ (SELECT *, printf('%010d', p_partkey) AS id, CASE WHEN regexp_matches(p_type, '(?i)^PROMO') THEN 0 WHEN regexp_matches(p_type, 'STEEL$') THEN 1 END AS rule_rank FROM part) WHERE rule_rank IS NOT NULL) WHERE k = 1""")
 def flagship_per_provider(t):
-    parts = t("part").withColumn("id", F.format_string("%010d", "p_partkey"))
-    rank = F.when(F.col("p_type").rlike("^PROMO"), 0).when(F.col("p_type").rlike("STEEL$"), 1)
-    ranked = parts.withColumn("rule_rank", rank).where("rule_rank is not null")
-    order = [F.col("rule_rank"), F.desc("p_retailprice"), F.collate("p_name", C.COLLATION), F.col("id")]
-    best = ranked.withColumn("k", F.row_number().over(W.partitionBy("p_brand").orderBy(*order))).where("k = 1")
-    return best.select(F.col("p_brand").alias("provider_id"), "id", "rule_rank")
+    rows = t("part").select(
+        F.format_string("%010d", "p_partkey").alias("id"), F.lit("per_token").alias("billing_type"), F.col("p_brand").alias("provider_id"), F.col("p_brand").alias("provider_name"), F.col("p_type").alias("model"),
+        F.col("p_retailprice").alias("input_per_1m"), F.col("p_retailprice").alias("output_per_1m"), F.col("p_retailprice").alias("compare_input"), F.col("p_retailprice").alias("compare_output"),
+        F.format_string("%04d", "p_size").alias("release_date"),
+    )
+    brands = [r[0] for r in rows.select("provider_id").distinct().collect()]  # rules name each maker
+    rules = tuple((b, k, p) for b in brands for k, p in enumerate((C.line_pattern("PROMO", ""), "STEEL$")))
+    return C.flagships(rows, rules).select("provider_id", "id", "rule_rank")
 
 
 @query("""SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey <> 1) WHERE k = 1 ORDER BY p_partkey LIMIT 2""")
@@ -218,9 +217,11 @@ def first_per_provider(t):
     return C.first_of_each(t("part"), "p_brand", [F.col("p_partkey")], 2, [1], "p_partkey").select("p_brand", "p_partkey")
 
 
-@query("""SELECT p_partkey, p_retailprice, count(p_retailprice) OVER () >= 2 AND abs(p_retailprice - min(p_retailprice) OVER ()) < 1e-9 AS lowest_p_retailprice FROM part WHERE p_partkey IN (3, 5, 8, 13)""")
+@query("""
+SELECT p_partkey, p_retailprice, count(p_retailprice) OVER b >= 2 AND abs(p_retailprice - min(p_retailprice) OVER b) < 1e-9 AS lowest_p_retailprice,
+ count(p_size) OVER () >= 2 AND p_size = min(p_size) OVER () AS lowest_p_size FROM part WINDOW b AS (PARTITION BY p_brand)""")
 def lowest_price_flag(t):
-    return C.with_lowest(t("part").where(F.col("p_partkey").isin(3, 5, 8, 13)), "p_retailprice").select("p_partkey", "p_retailprice", "lowest_p_retailprice")
+    return C.with_lowest(C.with_lowest(t("part"), "p_retailprice", by="p_brand"), "p_size").select("p_partkey", "p_retailprice", "lowest_p_retailprice", "lowest_p_size")
 
 
 @query("""SELECT p_brand AS provider_id, bool_or(p_size < 10) AS has_per_token, bool_or(p_size >= 10 AND p_size < 30) AS has_subscription, bool_or(p_size >= 30) AS has_coding_plan, count(*) AS n_products, count(DISTINCT p_name) AS n_models FROM part GROUP BY 1""")
@@ -239,12 +240,12 @@ def order_preserving_groups(t):
 
 @query("""SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
 def semi_selection(t):
-    return t("orders").join(t("customer").where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    return S.among(t("orders").select("o_orderkey", "o_custkey"), t("customer").where("c_acctbal < 0"), "o_custkey", "c_custkey").select("o_orderkey")
 
 
 @query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)""")
 def anti_selection(t):
-    return t("customer").join(t("orders").where("o_totalprice > 250000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return S.not_among(t("customer").select("c_custkey"), t("orders").where("o_totalprice > 250000"), "c_custkey", "o_custkey")
 
 
 @query("""SELECT coalesce(n_nationkey, s_nationkey)::INT AS provider_id, n AS n_rows FROM (SELECT * FROM nation WHERE n_nationkey < 15) FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY 1) ON n_nationkey = s_nationkey WHERE n > 0""")
@@ -338,12 +339,12 @@ def quota_type_map(t):
 
 
 @query("""
-SELECT s_suppkey, row_number() OVER (ORDER BY b DESC NULLS LAST, s_suppkey) AS by_price, row_number() OVER (ORDER BY b DESC NULLS FIRST, s_suppkey) AS by_table FROM
- (SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS b FROM supplier)""")
+SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY b DESC NULLS LAST, s_suppkey) AS by_price, row_number() OVER (PARTITION BY s_nationkey ORDER BY b DESC NULLS FIRST, s_suppkey) AS by_table FROM
+ (SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal > 0 THEN s_acctbal END AS b FROM supplier)""")
 def multi_sort_rank(t):
-    rows = t("supplier").select("s_suppkey", F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("compare_input"))
-    ranked = rows.withColumns({"by_price": F.row_number().over(W.orderBy(*C.sort_columns("inputPrice:desc"))).cast("bigint"), "by_table": F.row_number().over(W.orderBy(*C.table_order("compare_input", "desc"))).cast("bigint")})
-    return ranked.select("s_suppkey", "by_price", "by_table")
+    rows = t("supplier").select("s_suppkey", "s_nationkey", F.col("s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("compare_input"))
+    place = lambda order: F.row_number().over(W.partitionBy("s_nationkey").orderBy(*order)).cast("bigint")
+    return rows.withColumns({"by_price": place(C.sort_columns("inputPrice:desc")), "by_table": place(C.table_order("compare_input", "desc"))}).select("s_suppkey", "by_price", "by_table")
 
 
 @query("""SELECT n_name AS value, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY 1""")
@@ -370,3 +371,83 @@ def source_health(t):
 def default_currency_tab(t):
     rows = t("part").select(F.when(F.col("p_size") % 2 == 0, "CNY").otherwise("USD").alias("currency"))
     return C.default_currency(rows)
+
+
+def _plan_view(t) -> DataFrame:
+    """Customers in the shape of plans: the balance is the monthly price, the nation the provider."""
+    rows = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    kind = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "coding_plan").when(F.col("c_mktsegment") == "HOUSEHOLD", "per_token").otherwise("subscription")
+    monthly = F.when(F.col("c_acctbal") > 0, F.floor(F.col("c_acctbal") / 10)).cast("double")
+    return rows.select(
+        F.format_string("%010d", "c_custkey").alias("id"), kind.alias("billing_type"), F.col("n_nationkey").cast("string").alias("provider_id"), F.col("n_name").alias("provider_name"), F.col("c_name").alias("model"),
+        monthly.alias("compare_monthly"), monthly.alias("monthly_equivalent"), F.when(F.col("c_custkey") % 3 == 0, "USD").when(F.col("c_custkey") % 3 == 1, "prompts").alias("quota_unit"),
+        (F.col("c_custkey") % 7 == 0).alias("featured_on_home"), F.col("c_custkey"),
+    )
+
+
+_PLANS_SQL = """(SELECT printf('%010d', c_custkey) AS id, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'coding_plan' WHEN c_mktsegment = 'HOUSEHOLD' THEN 'per_token' ELSE 'subscription' END AS billing_type,
+ n_nationkey, n_name, n_regionkey, c_name AS model, CASE WHEN c_acctbal > 0 THEN floor(c_acctbal / 10)::DOUBLE END AS monthly, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(f"""
+SELECT id, model, monthly AS compare_monthly FROM {_PLANS_SQL} WHERE billing_type = 'coding_plan' AND contains(lower(n_name) || ' ' || lower(model), 'an') AND monthly > 0 AND monthly >= 150 AND monthly < 500 AND c_custkey % 3 = 0""")
+def plan_page(t):
+    return C.PlanQuery("coding_plan", search="an", kind="paid", price="150to500", quota="monetary").run(_plan_view(t)).select("id", "model", "compare_monthly")
+
+
+@query(f"""
+SELECT id, row_number() OVER (PARTITION BY n_nationkey ORDER BY monthly ASC NULLS LAST, model, id)::BIGINT AS upward, row_number() OVER (PARTITION BY n_nationkey ORDER BY monthly DESC NULLS LAST, model, id)::BIGINT AS downward,
+ row_number() OVER (PARTITION BY n_nationkey ORDER BY n_name, monthly ASC NULLS LAST, id)::BIGINT AS listed FROM {_PLANS_SQL} WHERE billing_type = 'subscription'""")
+def plan_orders(t):
+    place = lambda order: F.row_number().over(W.partitionBy("provider_id").orderBy(*order)).cast("bigint")
+    up, down = C.PlanQuery("subscription"), C.PlanQuery("subscription", descending=True)
+    return _plan_view(t).where(up.where()).select("id", place(up.order()).alias("upward"), place(down.order()).alias("downward"), place(C.billing_order()).alias("listed"))
+
+
+@query(f"""SELECT n_nationkey::VARCHAR AS provider_id, n_name AS provider_name, count(*) AS n FROM {_PLANS_SQL} WHERE billing_type = 'coding_plan' GROUP BY ALL""")
+def plan_provider_options(t):
+    return C.plan_providers(_plan_view(t), "coding_plan")
+
+
+@query(f"""SELECT id, monthly AS monthly_equivalent FROM {_PLANS_SQL} WHERE billing_type <> 'per_token' AND c_custkey % 7 = 0 AND monthly IS NOT NULL""")
+def featured_plans(t):
+    return C.featured_plans(_plan_view(t)).select("id", "monthly_equivalent")
+
+
+def _statuses(t) -> DataFrame:
+    """Nations in the shape of provider statuses; some have none."""
+    return t("nation").where("n_regionkey <> 4").select(F.col("n_nationkey").cast("string").alias("provider_id"), F.lit("ok").alias("status"), F.when(F.col("n_regionkey") != 3, F.col("n_regionkey") == 1).alias("stale"))
+
+
+@query(f"""SELECT id, CASE WHEN n_regionkey <> 4 THEN 'ok' END AS provider_status, n_regionkey = 1 AS stale FROM {_PLANS_SQL}""")
+def provider_status_join(t):
+    return C.with_status(_plan_view(t), _statuses(t)).select("id", "provider_status", "stale")
+
+
+@query(f"""
+SELECT *, subscription + coding_plan AS plans, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS n_stale, (SELECT count(*) FROM nation WHERE n_regionkey NOT IN (1, 4)) AS n_fresh FROM (
+ SELECT count_if(billing_type = 'per_token' AND n_regionkey <> 1)::BIGINT AS per_token, count_if(billing_type = 'subscription' AND n_regionkey <> 1)::BIGINT AS subscription,
+  count_if(billing_type = 'coding_plan' AND n_regionkey <> 1)::BIGINT AS coding_plan, count(*) AS n_rows FROM {_PLANS_SQL})""")
+def billing_totals(t):
+    return C.billing_totals(C.with_status(_plan_view(t), _statuses(t))).crossJoin(C.status_totals(_statuses(t)))
+
+
+@query("""
+SELECT n_nationkey::VARCHAR AS provider_id, n_name AS name, CASE WHEN r_name = 'ASIA' THEN 'cn' ELSE 'intl' END AS region_group FROM nation JOIN region ON n_regionkey = r_regionkey
+WHERE contains(lower(n_name), 'i') OR contains(lower(r_name), 'i') OR contains(n_nationkey::VARCHAR, 'i')""")
+def provider_search_by_region(t):
+    rows = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    providers = rows.select(F.col("n_nationkey").cast("string").alias("provider_id"), F.col("n_name").alias("name"), F.col("r_name").alias("name_en"), F.when(F.col("r_name") == "ASIA", "cn").otherwise("us").alias("region"))
+    return C.by_region(C.search_providers(providers, " I ")).select("provider_id", "name", "region_group")
+
+
+@query("""SELECT n_nationkey::VARCHAR AS provider_id FROM nation WHERE contains(lower(n_name), 'a') ORDER BY n_nationkey::VARCHAR LIMIT 8""")
+def provider_suggestions(t):
+    providers = t("nation").select(F.col("n_nationkey").cast("string").alias("provider_id"), F.col("n_name").alias("name"), F.lit(None).cast("string").alias("name_en"))
+    return C.search_providers(providers, "a", C.SUGGESTIONS).select("provider_id")
+
+
+@query("""SELECT printf('%010d', p_partkey) AS id, p_name AS model FROM part WHERE contains(lower(p_name) || ' ' || lower(p_brand), 'brand#1') AND p_partkey <> 4 ORDER BY p_size DESC, p_brand COLLATE zh, p_name COLLATE zh, id LIMIT 60""")
+def model_picker(t):
+    rows = _part_view(t).drop("release_date").join(t("part").select(F.format_string("%010d", "p_partkey").alias("id"), F.format_string("%04d", "p_size").alias("release_date")), "id")
+    return C.candidates(rows, "brand#1", ("0000000004",)).select("id", "model")
