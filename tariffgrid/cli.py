@@ -8,6 +8,7 @@ import json
 from tariffgrid.plans import catalog
 from tariffgrid.plans.history import History
 from tariffgrid.session import build_session
+from tariffgrid.sources.fetch import land_documents
 from tariffgrid.sources.landing import Config
 
 
@@ -16,8 +17,8 @@ def main(arguments: list[str] | None = None) -> int:
     commands = parser.add_subparsers(dest="command", required=True)
     run = commands.add_parser("run")
     run.add_argument("--dry-run", action="store_true")
-    run.add_argument("--directory-file", required=True)
-    run.add_argument("--fx-file", required=True)
+    run.add_argument("--directory-file", help="a landed file; without it the configured address is fetched")
+    run.add_argument("--fx-file", help="a landed file; without it the configured address is fetched")
     run.add_argument("--pages")
     run.add_argument("--metadata", help="JSON lines of provider_id, name, name_en, region, website")
     run.add_argument("--official-markets", action="store_true")
@@ -36,7 +37,11 @@ def main(arguments: list[str] | None = None) -> int:
         schema = "provider_id string, name string, name_en string, region string, website string"
         metadata = spark.read.schema(schema).json(asked.metadata) if asked.metadata else spark.createDataFrame([], schema)
         pages = None if asked.models_only and not asked.official_markets else asked.pages
-        told = catalog.run(spark, config, catalog.Inputs(asked.directory_file, asked.fx_file, pages, asked.official_markets), metadata, dry_run=asked.dry_run)
+        directory, rates = asked.directory_file, asked.fx_file
+        if not (directory and rates):
+            landed = land_documents(config, f"{config.data_dir}/raw")
+            directory, rates = directory or landed[0], rates or landed[1]
+        told = catalog.run(spark, config, catalog.Inputs(directory, rates, pages, asked.official_markets), metadata, dry_run=asked.dry_run)
         bad = False
     else:
         report, told = catalog.probe(spark, asked.pages, "plans" if asked.command == "probe-plans" else "offers")

@@ -97,13 +97,18 @@ def single_writer(path: str):
 
 @dataclass(frozen=True)
 class Inputs:
-    """Where landed inputs are: directory and rates as JSON files, pages as a folder (or none)."""
+    """Where landed inputs are: directory and rates as JSON files, pages as a folder (or none), or plans made elsewhere."""
 
     directory: str
     rates: str
     pages: str | None = None
     with_offer_pages: bool = False
     experimental: bool = False
+    plans: DataFrame | None = None
+
+    def __post_init__(self):
+        if self.plans is not None and self.pages is not None and not self.with_offer_pages:
+            raise ValueError("give plans or pages, not both")
 
 
 def retained_plans(spark: SparkSession, source: plan_pages.PlanSource, history: History, public_path: str) -> DataFrame:
@@ -120,6 +125,8 @@ def gather_plans(spark: SparkSession, inputs: Inputs, fetched_at: str, history:
     One pass over the pages counts what every source gives.
     """
     empty = as_plans(spark.createDataFrame([], "plan_id string"))
+    if inputs.plans is not None:
+        return as_plans(inputs.plans), {}
     if inputs.pages is None:
         return empty, {}
     sources = plan_pages.registry(inputs.experimental)
@@ -167,7 +174,7 @@ def _run(spark, config, inputs, metadata, history, run_id, at, dry_run) -> dict:
     rates = fx.read_rates(spark, inputs.rates).cache()
     history.add("fx_snapshots", (run_id, run_id, rates.first()["published_date"], json.dumps({r["currency"]: r["rate"] for r in rates.collect()}, sort_keys=True)))
     if inputs.pages:
-        history.append("source_snapshots", snapshot_rows(read_pages(spark, inputs.pages), run_id, at))
+        history.append("source_snapshots", snapshot_rows(read_pages(spark, inputs.pages), run_id, at, inputs.pages))
     offers, offer_status = gather_offers(spark, inputs, at)
     plans, plan_status = gather_plans(spark, inputs, at, history, config.public_path)
     before = history.previous_counts() or (None, None)
@@ -194,7 +201,9 @@ def probe(spark: SparkSession, folder: str, kind: str = "plans", experimental: b
         report = quality.source_report(plan_pages.page_plans(pages, now_text(), plan_pages.registry(experimental)), plan_pages.product_table(spark, experimental), exact=True)
     else:
         expected = spark.createDataFrame([(s.source_id, s.minimum) for s in offer_pages.SOURCES], "source_id string, minimum int")
-        report = quality.source_report(offer_pages.page_offers(pages, now_text()), expected)
+        offers = offer_pages.page_offers(pages, now_text())
+        told = offers.groupBy("source_id").agg(F.sort_array(F.collect_set("market")).alias("markets"), F.sort_array(F.collect_set("currency")).alias("currencies"))
+        report = quality.source_report(offers, expected).join(told, "source_id", "left")
     report = report.cache()
     told = quality.health(report).first().asDict()
     return report, told | {"duration_ms": int((time.monotonic() - began) * 1000)}

@@ -15,7 +15,8 @@ from tariffgrid.schema import PLAN_FIELDS, as_plans, ddl
 
 #: Fetch settings for whoever lands the pages: seconds, and milliseconds for a page to settle without a selector.
 TIMEOUT_S, SETTLE_MS = 45, 1500
-PAGES = "source_id string, source_url string, body string"
+#: Kinds of landed files, and the file in which landing tells of each source.
+SUFFIXES, REPORT = ("html", "htm", "md", "json", "txt"), "landing-report.json"
 
 
 @dataclass(frozen=True)
@@ -38,22 +39,30 @@ class Config:
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_id, body) of every landed page: files <source_id>.html, .md, .json or .gz of them."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.regexp_replace(name, r"\.(html?|md|json|txt)$", "").alias("source_id"), F.decode("content", "UTF-8").alias("body"))
+    """(source_id, body) of every landed page: files <source_id>.html, .md, .json or .txt, or .gz of them."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(SUFFIXES)},gz}}").text(folder, wholetext=True)
+    name = F.regexp_replace("_metadata.file_name", rf"(\.({'|'.join(SUFFIXES)}))?(\.gz)?$", "")
+    return files.select(name.alias("source_id"), F.col("value").alias("body")).where(F.col("source_id") != REPORT.partition(".")[0])
 
 
-def snapshot_rows(pages: DataFrame, run_id: str, fetched_at: str) -> DataFrame:
-    """What the history keeps of each landed page: checksum and size with run and time."""
+def snapshot_rows(pages: DataFrame, run_id: str, fetched_at: str, folder: str | None = None) -> DataFrame:
+    """What the history keeps of each landed page: checksum and size with run and time, and what its server said of its version."""
     raw = F.encode("body", "UTF-8")
-    return pages.select(F.lit(run_id).alias("run_id"), "source_id", F.lit(fetched_at).alias("fetched_at"), F.sha2(raw, 256).alias("checksum"), F.length(raw).cast("bigint").alias("size"))
+    rows = pages.select(F.lit(run_id).alias("run_id"), "source_id", F.lit(fetched_at).alias("fetched_at"), F.sha2(raw, 256).alias("checksum"), F.length(raw).cast("bigint").alias("size"))
+    told = [(r["source_id"], r.get("etag"), r.get("last_modified")) for r in read_report(folder)]
+    return rows.join(pages.sparkSession.createDataFrame(told, "source_id string, etag string, last_modified string"), "source_id", "left").select(*rows.columns, "etag", "last_modified")
 
 
-def land(folder: str, source_id: str, raw: bytes) -> str:
+def read_report(folder: str | None) -> list[dict]:
+    """What landing told of each source of a folder; nothing if it was filled by other means."""
+    path = Path(folder) / REPORT if folder else None
+    return json.loads(path.read_text(encoding="utf-8")) if path and path.is_file() else []
+
+
+def land(folder: str, source_id: str, raw: bytes, suffix: str = "html") -> str:
     """Write one fetched body, compressed, and return where."""
     Path(folder).mkdir(parents=True, exist_ok=True)
-    path = Path(folder) / f"{source_id}.gz"
+    path = Path(folder) / f"{source_id}.{suffix}.gz"
     path.write_bytes(gzip.compress(raw))
     return str(path)
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from tariffgrid.operators import catalog_query as C
@@ -122,3 +124,20 @@ def test_lookups(spark, rows):
 
 def test_page_count():
     assert [C.page_count(n, 50) for n in (0, 1, 50, 51)] == [1, 1, 1, 2]
+
+
+def test_visible_columns_and_flagship_lines():
+    assert C.toggled(("a", "b"), "a") == ("b",) and C.toggled(("b",), "b") == ("b",) and C.toggled(("b",), "a") == ("b", "a")
+    names = {"openai": ["GPT-5.6 Sol", "GPT-5"], "anthropic": ["Claude Opus 5"], "google": ["Gemini 3 Pro Preview"], "qwen": ["Qwen4-Max"], "deepseek": ["DeepSeek V4 Pro", "DeepSeek V4"], "moonshot": ["Kimi K3.1"], "zhipu": ["GLM-5.2"], "minimax": ["MiniMax-M3"]}
+    others = ["GPT-5 mini", "Claude Opusculum", "Gemini Flash", "Qwen4 Plus", "DeepSeek V4 Flash", "Kimi K3 Code", "GLM-5 Air", "MiniMax-M3 fast"]
+    hit = lambda provider, name: any(re.search(p, name) for q, _, p in C.FLAGSHIPS if q == provider)
+    assert all(hit(p, n) for p, ns in names.items() for n in ns)
+    assert not any(hit(p, n) for p, n in zip(names, others))
+
+
+def test_stale_rows_are_no_candidates(spark):
+    rows = spark.createDataFrame([("a", "per_token", "p", "P", "m1", "2025-01-01"), ("b", "per_token", "q", "Q", "m2", "2025-02-01"), ("c", "per_token", "p", "P", "m3", None)], "id string, billing_type string, provider_id string, provider_name string, model string, release_date string")
+    statuses = spark.createDataFrame([("q", "failed", True), ("z", "ok", None)], "provider_id string, status string, stale boolean")
+    marked = C.with_status(rows, statuses)
+    assert [r["id"] for r in C.candidates(marked).collect()] == ["a", "c"] and [r["id"] for r in C.candidates(rows, without=("b",)).collect()] == ["a", "c"]
+    assert C.shown(marked, ("stale",)).columns == ["id", "model", "stale"] and C.status_totals(statuses).first().asDict() == {"n_stale": 1, "n_fresh": 1}

@@ -4,8 +4,8 @@ import pytest
 
 from tariffgrid.plans import catalog, directory, fx
 from tariffgrid.plans.history import History
-from tariffgrid.sources.fetch import Fetched, land_sources
-from tariffgrid.sources.landing import Config, land, published_plans, read_first, read_pages, selection
+from tariffgrid.sources.fetch import Fetched, Page, land_documents, land_sources
+from tariffgrid.sources.landing import Config, land, published_plans, read_first, read_pages, selection, snapshot_rows
 from tariffgrid.streaming.pages import append_snapshots, stream_pages
 
 DIRECTORY = {
@@ -140,6 +140,45 @@ def test_fetched_pages_land_and_failures_are_told(spark, tmp_path):
     assert [tuple(r) for r in read_pages(spark, str(tmp_path)).collect()] == [("a", "<p>http://good</p>")]
 
 
+def test_browser_pages_and_versions(spark, tmp_path):
+    seen = []
+
+    def browse(url, timeout, selector, settle_ms):
+        seen.append((url, selector, settle_ms))
+        return Fetched("<p>é</p>".encode(), 200, {"last-modified": "then"})
+
+    pages = [Page("a", "http://x", "browser", "#prices"), Page("b", "http://y", "browser"), Page("c", "http://z")]
+    land_sources(pages, str(tmp_path), lambda url, timeout: Fetched(b"plain", 200, {"ETag": "v1"}), browse=browse)
+    assert sorted(seen) == [("http://x", "#prices", 1500), ("http://y", None, 1500)]
+    rows = {r["source_id"]: r for r in snapshot_rows(read_pages(spark, str(tmp_path)), "run", "now", str(tmp_path)).collect()}
+    assert {k: (r["etag"], r["last_modified"], r["size"]) for k, r in rows.items()} == {"a": (None, "then", 9), "b": (None, "then", 9), "c": ("v1", None, 5)}
+
+
+def test_directory_and_rates_are_landed_by_address(spark, landed, tmp_path):
+    files = {"http://d": (landed / "dir.json").read_bytes(), "http://f": (landed / "fx.json").read_bytes()}
+    config = Config(data_dir=str(tmp_path), directory_url="http://d", fx_url="http://f")
+    paths = land_documents(config, str(tmp_path / "raw"), lambda url, timeout: Fetched(files[url], 200, {}))
+    assert all(p.endswith(".json.gz") for p in paths)
+    assert directory.directory_offers(directory.read_directory(spark, paths[0]), "now").count() and fx.read_rates(spark, paths[1]).count() == 3
+    with pytest.raises(RuntimeError, match="fx"):
+        land_documents(Config(directory_url="http://d", fx_url="http://gone"), str(tmp_path / "raw"), lambda url, timeout: Fetched(files[url], 200, {}))
+
+
+def test_plans_made_elsewhere(spark):
+    made = spark.createDataFrame([("p", "x")], "plan_id string, provider_id string")
+    plans, told = catalog.gather_plans(spark, catalog.Inputs("d", "f", plans=made), "now", None, "")
+    assert [r["plan_id"] for r in plans.collect()] == ["p"] and told == {}
+    with pytest.raises(ValueError, match="not both"):
+        catalog.Inputs("d", "f", "pages", plans=made)
+
+
+def test_probe_of_offers_tells_markets(spark, tmp_path):
+    (tmp_path / "kimi_official_k26.md").write_text('<T rows={[["Kimi-Z", "1M tokens", "¥1.1", "¥6.5", "¥27.00", "262,144 tokens"]]} />')
+    report, told = catalog.probe(spark, str(tmp_path), "offers")
+    row = report.where("source_id = 'kimi_official_k26'").first()
+    assert (row["markets"], row["currencies"]) == (["cn_mainland"], ["CNY"]) and told["status"] == "degraded"
+
+
 def test_probe(spark, tmp_path):
     (tmp_path / "cursor_plans.html").write_text(CURSOR)
     report, told = catalog.probe(spark, str(tmp_path))
