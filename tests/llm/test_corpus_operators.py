@@ -354,6 +354,9 @@ def test_leak_edges(spark):
     rows = [doc(1, None), doc(2, ""), doc(3, text), doc(3, text), doc(None, text), doc(4, "pad " * 3000 + text)]
     got = find_leaks(frame(spark, rows), benchmark).where("order_share = 1").select("doc_id").collect()
     assert {r["doc_id"] for r in got} == {3, None, 4} and sum(r["doc_id"] == 3 for r in got) >= 2
+    clash = frame(spark, rows).withColumn("cosine", F.lit("x")).withColumn("item_id", F.lit("y")).withColumn("id", F.lit("z"))
+    assert sorted(r["doc_id"] for r in find_leaks(clash, benchmark).where("order_share = 1 and doc_id is not null").collect()) == sorted(r["doc_id"] for r in got if r["doc_id"] is not None)
+    assert drop_leaks(clash, benchmark).columns == clash.columns
     assert find_leaks(frame(spark, []), benchmark).count() == 0 and find_leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
@@ -445,6 +448,23 @@ def test_pipeline_stages_equal_plain_python(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == after
 
 
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows and columns whose names clash with results go through all stages."""
+    import shutil
+
+    shutil.copy(f"{SF}/benchmark.parquet", tmp_path / "benchmark.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, 0), (1, None, "en", None, 0), (2, "", None, "s", 0)], docs.schema)
+    unnamed = docs.where("n_chars > 1000").limit(1).withColumn("doc_id", F.lit(None).cast("long"))
+    every = docs.unionByName(docs.limit(20)).unionByName(odd).unionByName(unnamed)
+    for name in ("lang_pred", "score", "quality", "kept", "class_id", "cosine", "size", "taken", "h", "id", "node"):
+        every = every.withColumn(name, F.lit("clash"))
+    every.write.parquet(str(tmp_path / "documents.parquet"))
+    plain = {r["doc_id"]: r["size"] for r in corpus_pipeline.run(spark, SF).collect()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) and set(plain) - {1, 2} <= {r["doc_id"] for r in got} | {1, 2} and any(r["doc_id"] is None for r in got)
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import shutil
 

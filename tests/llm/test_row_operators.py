@@ -146,6 +146,13 @@ def test_language_query_equals_plain_counts(spark):
         assert max(odds) / sum(odds) < 0.51 or got[r["doc_id"]]["lang_pred"] == languages[odds.index(max(odds))]
 
 
+def test_language_of_odd_rows(spark):
+    rows = [(None, "der Hund und die Katze", "de"), (1, "the cat and the dog", "en"), (1, "the cat and the dog", "en"), (3, None, "en"), (4, "", None), (5, "the cat " * 200_000, None), (6, "12 34", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).withColumn("lang_pred", F.lit("y"))
+    got = [(r["doc_id"], r["lang_pred"]) for r in lang.predict_languages(df, lang.fit_language_model(df, usable=F.lit(True))).collect()]
+    assert sorted(got, key=str) == sorted([(None, "de"), (1, "en"), (1, "en"), (3, "und"), (4, "und"), (5, "en"), (6, "und")], key=str)
+
+
 def test_many_languages_and_small_shares(spark):
     rng = random.Random(2)
     letters = "abcdefghijklmnopqrstuvwxyz"
@@ -246,6 +253,7 @@ def test_conversations_read_back_in_order(spark):
     rows = [(5, 1, "assistant", "B"), (5, 0, "user", "A"), (5, None, "system", None), (None, 0, "assistant", "z"), (5, 2, "assistant", "C"), (5, 2, "assistant", "C")]
     part = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", part)
+    df = df.withColumn("formatted", F.lit("clash")).withColumn("n_turns", F.lit("clash")).withColumn("loss_start", F.lit("clash"))
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert (got[5]["n_turns"], got[5]["loss_chars"], got[5]["loss_sha256"]) == (5, 3, sha("BCC"))
