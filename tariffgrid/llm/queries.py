@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tariffgrid.llm import chat_format, quality_rules, source_mix
+from tariffgrid.llm import chat_format, filter_audit, quality_rules, source_mix
 from tariffgrid.llm.chat_format import op5_chat_format
 from tariffgrid.llm.decontaminate import op9_decontamination
+from tariffgrid.llm.filter_audit import op13_filter_audit
 from tariffgrid.llm.html_extract import op8_html_extract
 from tariffgrid.llm.language_id import op3_language_id
 from tariffgrid.llm.license_scan import op10_license_scan
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_source_mix": source_mix.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
