@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tariffgrid.llm import chat_format, filter_audit, quality_rules, source_mix
+from tariffgrid.llm import chat_format, collocations, filter_audit, quality_rules, source_mix
+from tariffgrid.llm.byte_bpe import op11_byte_bpe
 from tariffgrid.llm.chat_format import op5_chat_format
+from tariffgrid.llm.collocations import op12_collocations
 from tariffgrid.llm.decontaminate import op9_decontamination
 from tariffgrid.llm.filter_audit import op13_filter_audit
 from tariffgrid.llm.html_extract import op8_html_extract
@@ -26,6 +28,8 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -33,5 +37,6 @@ ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_source_mix": source_mix.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
+    "op12_collocations": collocations.ORACLE,
     "op13_filter_audit": filter_audit.ORACLE,
 }
