@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tariffgrid.llm.common import prepare, read_table
 
@@ -152,7 +153,7 @@ def encode_texts(
     narrow = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     schema = narrow.select(id_col).schema
     for name in names:
-        schema = schema.add(name, "array<int>" if name == "ids" else "array<bigint>")
+        schema = schema.add(name, T.ArrayType(T.IntegerType() if name == "ids" else T.LongType()))
     return narrow.mapInArrow(run, schema)
 
 
@@ -180,7 +181,7 @@ def decode_ids(encoded: DataFrame, *, id_col: str = "doc_id", ids_col: str = "id
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.binary()), text], names=[id_col, ids_col, "decoded", "decoded_text"])
 
     narrow = encoded.select(id_col, ids_col)
-    return narrow.mapInArrow(run, narrow.schema.add("decoded", "binary").add("decoded_text", "string"))
+    return narrow.mapInArrow(run, encoded.select(id_col, ids_col).schema.add("decoded", "binary").add("decoded_text", "string"))
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
