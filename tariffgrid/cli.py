@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import argparse
 import json
+import uuid
 
 from tariffgrid.plans import catalog
 from tariffgrid.plans.history import History
 from tariffgrid.session import build_session
 from tariffgrid.sources.fetch import land_documents
 from tariffgrid.sources.landing import Config
+from tariffgrid.sources.registry import fetched_pages, land_pages, page_bodies
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -19,16 +21,17 @@ def main(arguments: list[str] | None = None) -> int:
     run.add_argument("--dry-run", action="store_true")
     run.add_argument("--directory-file", help="a landed file; without it the configured address is fetched")
     run.add_argument("--fx-file", help="a landed file; without it the configured address is fetched")
-    run.add_argument("--pages")
+    run.add_argument("--pages", help="a folder of landed pages; without it the pages of the registries are fetched")
+    run.add_argument("--browser", help="module:function that fetches pages made by scripts")
     run.add_argument("--metadata", help="JSON lines of provider_id, name, name_en, region, website")
     run.add_argument("--official-markets", action="store_true")
     run.add_argument("--models-only", action="store_true")
     commands.add_parser("status")
     for name in ("probe-plans", "probe-official-markets"):
-        commands.add_parser(name).add_argument("--pages", required=True)
+        probe = commands.add_parser(name)
+        probe.add_argument("--pages", help="a folder of landed pages; without it the pages of the registry are fetched")
+        probe.add_argument("--browser", help="module:function that fetches pages made by scripts")
     asked = parser.parse_args(arguments)
-    if asked.command == "run" and asked.models_only and asked.official_markets and not asked.pages:
-        parser.error("--official-markets needs --pages")
     spark, config = build_session(), Config.from_env()
     if asked.command == "status":
         found = History(spark, f"{config.data_dir}/history").runs().orderBy("started_at", ascending=False).first()
@@ -36,15 +39,23 @@ def main(arguments: list[str] | None = None) -> int:
     elif asked.command == "run":
         schema = "provider_id string, name string, name_en string, region string, website string"
         metadata = spark.read.schema(schema).json(asked.metadata) if asked.metadata else spark.createDataFrame([], schema)
-        pages = None if asked.models_only and not asked.official_markets else asked.pages
-        directory, rates = asked.directory_file, asked.fx_file
+        wanted = asked.official_markets or not asked.models_only
+        plans = spark.createDataFrame([], "plan_id string") if asked.models_only else None
+        directory, rates, run_id = asked.directory_file, asked.fx_file, uuid.uuid4().hex
         if not (directory and rates):
-            landed = land_documents(config, f"{config.data_dir}/raw")
+            landed = land_documents(config, f"{config.data_dir}/raw/documents/run_id={run_id}")
             directory, rates = directory or landed[0], rates or landed[1]
-        told = catalog.run(spark, config, catalog.Inputs(directory, rates, pages, asked.official_markets), metadata, dry_run=asked.dry_run)
+        inputs = catalog.Inputs(directory, rates, asked.pages if wanted else None, asked.official_markets, plans=plans, fetch=wanted and not asked.pages, fetching={"browse": asked.browser})
+        told = catalog.run(spark, config, inputs, metadata, dry_run=asked.dry_run, run_id=run_id)
         bad = False
     else:
-        report, told = catalog.probe(spark, asked.pages, "plans" if asked.command == "probe-plans" else "offers")
+        kind = asked.command == "probe-plans"
+        pages = asked.pages
+        if not pages:
+            registry = catalog.registered_pages(plans=kind, offers=not kind, experimental=True)
+            rows = fetched_pages(spark, registry, timeout=config.timeout_s, browse=asked.browser)
+            pages = page_bodies(land_pages(rows, f"{config.data_dir}/raw/probes", uuid.uuid4().hex))
+        report, told = catalog.probe(spark, pages, "plans" if kind else "offers")
         told["sources"] = [r.asDict() for r in report.orderBy("source_id").collect()]
         bad = told["status"] != "healthy"
     print(json.dumps(told, ensure_ascii=False, sort_keys=True, default=str))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tariffgrid.functions.model_names import name_parts
 from tariffgrid.functions.pricing import SAME_PRICE, compare_price, quota_type
+from tariffgrid.operators.paging import PageIndex, SortKey, page_index
 
 COLLATION = "zh"
 CONTEXT_BUCKETS = {"gte1000k": (1_000_000, None), "gte200k": (200_000, None), "gte128k": (128_000, None), "lt128k": (None, 128_000)}
@@ -21,22 +23,51 @@ CODING_PROVIDERS = ("cursor", "githubcopilot", "kiro", "opencode")
 SUGGESTIONS, PICKER_ROWS, COMPARE_ROWS = 8, 60, 40
 #: Rows of a table made of a list of ids, up to which it is broadcast.
 BROADCAST_IDS = 10_000
-#: Flagship lines of each maker, in order of preference: words that the name starts with, whether a version number ends
-#: the name, and words that must or must not follow.
-FLAGSHIP_LINES = (
-    ("openai", 0, "GPT-", "number Sol", (), ()), ("openai", 1, "GPT-", "number", (), ()), ("anthropic", 0, "Claude Opus", "", (), ()), ("google", 0, "Gemini", "", ("Pro",), ()), ("qwen", 0, "Qwen", "", ("Max",), ()),
-    ("deepseek", 0, "DeepSeek", "", ("Pro",), ()), ("deepseek", 1, "DeepSeek", "", (), ("Flash",)), ("moonshot", 0, "Kimi K", "number", (), ()), ("zhipu", 0, "GLM-", "number", (), ()), ("minimax", 0, "MiniMax-M", "number", (), ()),
-)
 
 
-def line_pattern(start: str, rest: str, words: tuple[str, ...] = (), without: tuple[str, ...] = ()) -> str:
-    """A pattern of the names of one line; `number` in rest stands for a version, and then the name ends."""
-    has = "".join(rf"(?=.*\b{w}\b)" for w in words) + "".join(rf"(?!.*\b{w}\b)" for w in without)
-    tail = rest.replace("number", r"\d+([.]\d+)?").replace(" ", r"\s+") + "$" if rest else "" if start[-1] == "-" or start == "Qwen" else r"\b"
-    return rf"(?i)^{has}{start}{tail}"
+@dataclass(frozen=True)
+class Line:
+    """A line of a maker's models, by the parts of their names.
+
+    A name is compared in lower case. With `numbered`, it is what stands before its first digit
+    (`begins`), a number, and what stands after (`rest`); else it begins so, holds all of `words` and none of `without`.
+    """
+
+    provider_id: str
+    rank: int
+    begins: str
+    numbered: bool = False
+    rest: str = ""
+    words: tuple[str, ...] = ()
+    without: tuple[str, ...] = ()
+
 
+LINE_TYPE = "rule_provider string, rule_rank int, begins string, numbered boolean, rest string, has array<string>, lacks array<string>"
+#: Makers and families of their flagships, the preferred one first.
+LINES = (
+    Line("openai", 0, "gpt-", numbered=True, rest=" sol"),
+    Line("openai", 1, "gpt-", numbered=True),
+    Line("anthropic", 0, "claude opus", words=("opus",)),
+    Line("google", 0, "gemini", words=("gemini", "pro")),
+    Line("qwen", 0, "qwen", words=("max",)),
+    Line("deepseek", 0, "deepseek", words=("deepseek", "pro")),
+    Line("deepseek", 1, "deepseek", without=("flash",)),
+    Line("moonshot", 0, "kimi k", numbered=True),
+    Line("zhipu", 0, "glm-", numbered=True),
+    Line("minimax", 0, "minimax-m", numbered=True),
+)
 
-FLAGSHIPS = tuple((provider, rank, line_pattern(*line)) for provider, rank, *line in FLAGSHIP_LINES)
+
+def lines_table(spark: SparkSession, lines: tuple[Line, ...] = LINES) -> DataFrame:
+    return spark.createDataFrame([(x.provider_id, x.rank, x.begins, x.numbered, x.rest, list(x.words), list(x.without)) for x in lines], LINE_TYPE)
+
+
+def in_line(model: str | Column) -> Column:
+    """Whether a model's name belongs to the line of its row (columns of LINE_TYPE)."""
+    parts = name_parts(model)
+    counted = (parts["stem"] == F.col("begins")) & parts["version"].isNotNull() & (parts["rest"] == F.col("rest"))
+    named = parts["name"].startswith(F.col("begins")) & (F.size(F.array_except("has", parts["words"])) == 0) & ~F.arrays_overlap("lacks", parts["words"])
+    return F.when(F.col("numbered"), counted).otherwise(named)
 
 
 def view_rows(offers: DataFrame, plans: DataFrame) -> DataFrame:
@@ -97,6 +128,15 @@ def bucket_name(value: Column, buckets: dict) -> Column:
     return F.coalesce(*(F.when(in_bucket(value, b), F.lit(n)) for n, b in buckets.items()))
 
 
+def quick_filter(name: str) -> Column:
+    """A filter with a name: under10 by input price, longContext by window, vision by modality; a row that lacks the column's value doesn't pass."""
+    return {
+        "under10": in_bucket(F.col("compare_input"), PRICE_BUCKETS["lt10"]),
+        "longContext": in_bucket(F.col("context_window"), CONTEXT_BUCKETS["gte200k"]),
+        "vision": F.coalesce(F.array_contains("modalities", "vision"), F.lit(False)),
+    }[name]
+
+
 def plan_kind(kind: str) -> Column:
     """free: a monthly price of exactly 0; paid: above 0. A plan without a price is neither."""
     return F.coalesce(F.col("monthly_equivalent") == 0 if kind == "free" else F.col("monthly_equivalent") > 0, F.lit(False))
@@ -114,6 +154,7 @@ class CatalogQuery:
     price: str = ""
     billing_types: tuple[str, ...] = ()
     currency: str = ""
+    quick: str = ""
     sort: str = "releaseDate:desc"
     page: int = 1
     page_size: int = 50
@@ -128,7 +169,7 @@ class CatalogQuery:
             ok = ok & in_bucket(F.col("compare_input"), PRICE_BUCKETS[self.price])
         if self.currency:
             ok = ok & (F.col("currency") == self.currency)
-        return ok
+        return ok & quick_filter(self.quick) if self.quick else ok
 
     def order(self) -> list[Column]:
         return sort_columns(self.sort)
@@ -136,6 +177,10 @@ class CatalogQuery:
     def run(self, rows: DataFrame) -> DataFrame:
         return page(rows.where(self.where()), self.order(), self.page, self.page_size)
 
+    def indexed(self, rows: DataFrame, path: str, ranges: int = 64) -> PageIndex:
+        """The query's rows dealt into ranges of its order, for pages of any depth."""
+        return page_index(rows.where(self.where()), sort_keys(self.sort), path, ranges)
+
 
 @dataclass(frozen=True)
 class PlanQuery:
@@ -189,6 +234,11 @@ def candidates(rows: DataFrame, search: str = "", without: tuple[str, ...] = (),
     return (not_selected(priced, list(without)) if without else priced).orderBy(*candidate_order()).limit(most)
 
 
+def compare_candidates(rows: DataFrame, search: str = "", elsewhere: tuple[str, ...] = ()) -> DataFrame:
+    """What one column of the home page's comparison offers: models that no other column has, fewer than a picker of its own."""
+    return candidates(rows, search, elsewhere, COMPARE_ROWS)
+
+
 def featured_plans(rows: DataFrame) -> DataFrame:
     """Plans that the home page shows: featured ones with a monthly price."""
     return rows.where(F.col("billing_type").isin(*PLAN_TYPES) & F.coalesce("featured_on_home", F.lit(False)) & F.col("monthly_equivalent").isNotNull())
@@ -232,14 +282,20 @@ def shown(rows: DataFrame, visible: tuple[str, ...], always: tuple[str, ...] = (
     return rows.select(*dict.fromkeys((*always, *visible)))
 
 
-def sort_columns(option: str) -> list[Column]:
-    """Order for `key:direction`: nulls last either way, ties by id."""
+def sort_keys(option: str) -> tuple[SortKey, ...]:
+    """The keys of `key:direction`: nulls last either way, ties by id."""
     key, _, direction = option.partition(":")
     value = {
-        "inputPrice": F.col("compare_input"), "outputPrice": F.col("compare_output"), "cachedInput": F.col("compare_cache_read"), "contextWindow": F.col("context_window"),
-        "monthlyPrice": F.col("compare_monthly"), "model": F.collate("model", COLLATION), "releaseDate": F.try_to_date("release_date"),
+        "inputPrice": "compare_input", "outputPrice": "compare_output", "cachedInput": "compare_cache_read", "contextWindow": "context_window",
+        "monthlyPrice": "compare_monthly", "model": "model", "releaseDate": "release_date",
     }[key]
-    return [value.asc_nulls_last() if direction == "asc" else value.desc_nulls_last(), F.col("id").asc()]
+    column = F.try_to_date(value) if key == "releaseDate" else F.col(value)
+    return SortKey(column, direction != "asc", COLLATION if key == "model" else None), SortKey(F.col("id"))
+
+
+def sort_columns(option: str) -> list[Column]:
+    """Order for `key:direction`."""
+    return [k.ordered() for k in sort_keys(option)]
 
 
 def table_order(column: str, direction: str) -> list[Column]:
@@ -256,7 +312,8 @@ def page_count(n: int, size: int) -> int:
 def page(rows: DataFrame, order: list[Column], number: int, size: int = 50) -> DataFrame:
     """One page of the ordered rows; a number out of range means the nearest page.
 
-    Clamping needs the count; for page 1 it is not asked for, and the plan is a top-k.
+    Clamping needs the count; for page 1 it is not asked for, and the plan is a top-k. Where
+    many deep pages are asked for, paging.page_index sorts only the range of each.
     """
     if number > 1:
         number = min(number, page_count(rows.count(), size))
@@ -298,14 +355,16 @@ def groups_in_order(rows: DataFrame, key: str, ordinal: str, *columns: str) -> D
     return grouped.orderBy("first")
 
 
-def flagships(rows: DataFrame, rules: tuple = FLAGSHIPS) -> DataFrame:
-    """One row a maker: of its most preferred line that has fresh rows, the newest model. Rules are a small fixed table."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame(list(rules), "rule_provider string, rule_rank int, pattern string")
+def flagships(rows: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """One row a maker: of its most preferred line that has fresh rows, the newest model.
+
+    lines: a table of LINE_TYPE, joined by maker; by default the fixed one.
+    """
+    table = lines_table(rows.sparkSession) if lines is None else lines
     priced = rows.where("billing_type = 'per_token' and input_per_1m is not null and output_per_1m is not null").where(is_fresh(rows))
-    hit = priced.join(F.broadcast(table), (F.col("provider_id") == F.col("rule_provider")) & F.expr("rlike(model, pattern)"))
+    hit = priced.join(table, F.col("provider_id") == F.col("rule_provider")).where(in_line("model"))
     newest = W.partitionBy("provider_id").orderBy("rule_rank", F.coalesce("release_date", F.lit("")).desc(), F.collate("model", COLLATION), "id")
-    best = hit.withColumn("place", F.row_number().over(newest)).where("place = 1").drop("rule_provider", "pattern", "place")
+    best = hit.withColumn("place", F.row_number().over(newest)).where("place = 1").select(*rows.columns, "rule_rank")
     return best.orderBy(F.col("compare_input").desc_nulls_last(), F.col("compare_output").desc_nulls_last(), F.coalesce("release_date", F.lit("")).desc(), F.collate("provider_name", COLLATION))
 
 

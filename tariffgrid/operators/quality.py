@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tariffgrid.schema import BILLING_TYPES, PLAN_CATEGORIES, PRICE_SCOPES, PRICE_STATUSES
@@ -96,22 +96,56 @@ def check(rows: DataFrame, key: str, rules: tuple[RowRule, ...], *, minimum: int
     count. Two aggregations evaluate all of it.
     """
     name = first_broken(rules)
-    at = F.col(order or key)
-    found = rows.select(at.alias("at"), F.col(key).alias("key"), name.alias("rule")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("rule").isNotNull(), F.struct("at", "key", "rule"))).alias("bad")
-    ).first()
-    if found["n"] < minimum:
-        raise GateError(f"{found['n']} rows; at least {minimum} are needed")
-    if repeated := duplicate_keys(rows, key).orderBy(key).limit(5).collect():
-        raise GateError(f"repeated {key}: {', '.join(str(r[key]) for r in repeated)}")
-    if found["bad"]:
-        raise GateError(f"{found['bad']['rule']}: {found['bad']['key']}")
-    ratio = drop_ratio(found["n"], previous) if previous else None
-    if ratio is not None and ratio > maximum_drop:
-        raise GateError(f"count dropped from {previous} to {found['n']}")
+    gate = Gate(key, rules, minimum=minimum, previous=previous, maximum_drop=maximum_drop, order=order)
+    gate.found = rows.agg(*gate.metrics()).first().asDict()
+    gate.judge(rows)
     return rows
 
 
+class Gate:
+    """A table's rules measured by the very job that writes it, and judged from what it wrote.
+
+    watched(rows) adds the metrics to whatever job consumes the rows: their number, and the first bad row
+    with its first broken rule. judge(written) raises GateError of the first failure in the order of check();
+    for repeated keys it reads the written key column alone, summed by task before any shuffle.
+    """
+
+    def __init__(self, key: str, rules: tuple[RowRule, ...], *, minimum: int = 1, previous: int | None = None, maximum_drop: float = 0.20, order: str | None = None):
+        self.key, self.rules, self.minimum, self.previous, self.maximum_drop, self.order = key, rules, minimum, previous, maximum_drop, order or key
+        self.observation: Observation | None = None
+        self.found: dict | None = None
+
+    def metrics(self) -> tuple[Column, ...]:
+        name = first_broken(self.rules)
+        return F.count(F.lit(1)).alias("n"), F.min(F.when(name.isNotNull(), F.struct(F.col(self.order).alias("at"), F.col(self.key).alias("key"), name.alias("rule")))).alias("bad")
+
+    def watched(self, rows: DataFrame) -> DataFrame:
+        self.observation = Observation()
+        return rows.observe(self.observation, *self.metrics())
+
+    def judge(self, written: DataFrame) -> int:
+        """How many rows there are, if all is well."""
+        found = self.found or self.observation.get
+        if found["n"] < self.minimum:
+            raise GateError(f"{found['n']} rows; at least {self.minimum} are needed")
+        if repeated := duplicate_keys(written, self.key).orderBy(self.key).limit(5).collect():
+            raise GateError(f"repeated {self.key}: {', '.join(str(r[self.key]) for r in repeated)}")
+        if found["bad"]:
+            raise GateError(f"{found['bad']['rule']}: {found['bad']['key']}")
+        ratio = drop_ratio(found["n"], self.previous) if self.previous else None
+        if ratio is not None and ratio > self.maximum_drop:
+            raise GateError(f"count dropped from {self.previous} to {found['n']}")
+        return found["n"]
+
+
+def offer_gate(**limits) -> Gate:
+    return Gate("offer_id", offer_rules(), **limits)
+
+
+def plan_gate(**limits) -> Gate:
+    return Gate("plan_id", plan_rules(), **limits)
+
+
 def check_offers(offers: DataFrame, **limits) -> DataFrame:
     return check(offers, "offer_id", offer_rules(), **limits)
 

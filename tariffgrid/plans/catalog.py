@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import contextlib
-import fcntl
 import json
-import os
-import tempfile
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +17,10 @@ from tariffgrid.operators.catalog_query import with_provider_info
 from tariffgrid.plans import directory, fx, offer_pages, plan_pages
 from tariffgrid.plans.history import History, counted
 from tariffgrid.schema import as_offers, as_plans
+from tariffgrid.sources.fetch import Page
 from tariffgrid.sources.landing import Config, published_plans, read_pages, snapshot_rows
+from tariffgrid.sources.registry import fetched_pages, land_pages, page_bodies, page_versions
+from tariffgrid.sources.shared import SharedFiles, publish, single_writer
 
 
 def now_text() -> str:
@@ -54,50 +52,13 @@ def catalog_document(offers: DataFrame, plans: DataFrame, rates: DataFrame, meta
     return whole.select(F.to_json(F.struct(*head, "*"), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def write_atomically(path: str, text: str) -> None:
-    """Write beside the target and rename over it, so that readers see the old or the new file."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as out:
-            out.write(text)
-            out.flush()
-            os.fsync(out.fileno())
-        os.chmod(name, 0o644)
-        os.replace(name, target)
-    except BaseException:
-        with contextlib.suppress(FileNotFoundError):
-            os.unlink(name)
-        raise
-
-
-def publish(release_dir: str, public_path: str, document: str, status: dict) -> None:
-    """An immutable copy for the release first, then the public catalog, its status last."""
-    folder = Path(release_dir)
-    folder.mkdir(parents=True, exist_ok=False)
-    told = json.dumps(status, ensure_ascii=False, sort_keys=True)
-    write_atomically(str(folder / "catalog.json"), document)
-    write_atomically(str(folder / "status.json"), told)
-    write_atomically(public_path, document)
-    write_atomically(str(Path(public_path).with_name("status.json")), told)
-
-
-@contextlib.contextmanager
-def single_writer(path: str):
-    """Only one run at a time; a second one fails at once."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    with open(path, "a") as handle:
-        try:
-            fcntl.flock(handle, fcntl.LOCK_EX | fcntl.LOCK_NB)
-        except BlockingIOError as error:
-            raise RuntimeError(f"another run holds {path}") from error
-        yield
-
-
 @dataclass(frozen=True)
 class Inputs:
-    """Where landed inputs are: directory and rates as JSON files, pages as a folder (or none), or plans made elsewhere."""
+    """Where inputs are: directory and rates as landed JSON files, pages as a landed folder (or none), or plans made elsewhere.
+
+    With fetch the run gets the pages of the registries itself and lands them under its own id;
+    `fetching` are options of the registry source (timeout, attempts, pause, fetch, browse).
+    """
 
     directory: str
     rates: str
@@ -105,10 +66,28 @@ class Inputs:
     with_offer_pages: bool = False
     experimental: bool = False
     plans: DataFrame | None = None
+    fetch: bool = False
+    fetching: dict = field(default_factory=dict)
+    #: Rows of the registry pages as landed; a run that fetches sets it.
+    landed: DataFrame | None = None
 
     def __post_init__(self):
-        if self.plans is not None and self.pages is not None and not self.with_offer_pages:
+        if self.plans is not None and (self.pages is not None or self.fetch) and not self.with_offer_pages:
             raise ValueError("give plans or pages, not both")
+        if self.pages is not None and self.fetch:
+            raise ValueError("give pages, or have them fetched")
+
+    def page_rows(self, spark: SparkSession) -> DataFrame | None:
+        """(source_id, body) of the pages, None if there are none."""
+        if self.landed is not None:
+            return page_bodies(self.landed)
+        return read_pages(spark, self.pages) if self.pages else None
+
+
+def registered_pages(*, plans: bool = True, offers: bool = False, experimental: bool = False, selectors: dict[str, str] | None = None) -> list[Page]:
+    """The pages of the registries to fetch; selectors: what a page made by scripts must show before it is read."""
+    found = [Page(s.source_id, s.source_url, "browser" if s.kind == "browser" else "static", (selectors or {}).get(s.source_id)) for s in (plan_pages.registry(experimental) if plans else ())]
+    return found + [Page(s.source_id, s.source_url) for s in (offer_pages.SOURCES if offers else ())]
 
 
 def retained_plans(spark: SparkSession, source: plan_pages.PlanSource, history: History, public_path: str) -> DataFrame:
@@ -127,10 +106,11 @@ def gather_plans(spark: SparkSession, inputs: Inputs, fetched_at: str, history:
     empty = as_plans(spark.createDataFrame([], "plan_id string"))
     if inputs.plans is not None:
         return as_plans(inputs.plans), {}
-    if inputs.pages is None:
+    pages = inputs.page_rows(spark)
+    if pages is None:
         return empty, {}
     sources = plan_pages.registry(inputs.experimental)
-    fresh = plan_pages.page_plans(read_pages(spark, inputs.pages), fetched_at, sources).cache()
+    fresh = plan_pages.page_plans(pages, fetched_at, sources).cache()
     report = {r["source_id"]: r for r in quality.source_report(fresh, plan_pages.product_table(spark, inputs.experimental), exact=True).collect()}
     kept, status = fresh, {}
     for source in sources:
@@ -145,9 +125,10 @@ def gather_plans(spark: SparkSession, inputs: Inputs, fetched_at: str, history:
 def gather_offers(spark: SparkSession, inputs: Inputs, fetched_at: str) -> tuple[DataFrame, dict]:
     """Offers of the directory, and of the vendors' pages if asked for; a page that gives too few is an error."""
     offers = directory.directory_offers(directory.read_directory(spark, inputs.directory), fetched_at)
-    if not (inputs.with_offer_pages and inputs.pages):
+    pages = inputs.page_rows(spark)
+    if not inputs.with_offer_pages or pages is None:
         return offers, {}
-    paged = offer_pages.page_offers(read_pages(spark, inputs.pages), fetched_at)
+    paged = offer_pages.page_offers(pages, fetched_at)
     expected = spark.createDataFrame([(s.source_id, s.minimum) for s in offer_pages.SOURCES], "source_id string, minimum int")
     report = quality.source_report(paged, expected).collect()
     if short := [r["source_id"] for r in report if not r["healthy"]]:
@@ -155,14 +136,14 @@ def gather_offers(spark: SparkSession, inputs: Inputs, fetched_at: str) -> tuple
     return offers.unionByName(paged), {r["source_id"]: {"status": "healthy", "count": r["n"]} for r in report}
 
 
-def run(spark: SparkSession, config: Config, inputs: Inputs, metadata: DataFrame, *, dry_run: bool = False) -> dict:
+def run(spark: SparkSession, config: Config, inputs: Inputs, metadata: DataFrame, *, dry_run: bool = False, run_id: str | None = None) -> dict:
     """Make a catalog from landed inputs, keep it in the history and, unless dry, publish it. Fails closed."""
-    history = History(spark, f"{config.data_dir}/history")
-    run_id, at = uuid.uuid4().hex, now_text()
+    history, files = History(spark, f"{config.data_dir}/history"), SharedFiles(spark)
+    run_id, at = run_id or uuid.uuid4().hex, now_text()
     history.add("run_events", (run_id, "running", at, ""))
     try:
-        with single_writer(f"{config.data_dir}/run.lock"):
-            status = _run(spark, config, inputs, metadata, history, run_id, at, dry_run)
+        with single_writer(files, f"{config.data_dir}/run.lock"):
+            status = _run(spark, config, inputs, metadata, history, files, run_id, at, dry_run)
     except Exception as error:
         history.add("run_events", (run_id, "failed", now_text(), f"{type(error).__name__}: {error}"[:500]))
         raise
@@ -170,33 +151,50 @@ def run(spark: SparkSession, config: Config, inputs: Inputs, metadata: DataFrame
     return status
 
 
-def _run(spark, config, inputs, metadata, history, run_id, at, dry_run) -> dict:
+def land_registries(spark: SparkSession, config: Config, inputs: Inputs, run_id: str) -> tuple[DataFrame, dict]:
+    """Fetch what the run needs of the registries, in tasks, and land it under the run; what failed, by source."""
+    pages = registered_pages(plans=inputs.plans is None, offers=inputs.with_offer_pages, experimental=inputs.experimental)
+    landed = land_pages(fetched_pages(spark, pages, **{"timeout": config.timeout_s} | inputs.fetching), f"{config.data_dir}/raw/pages", run_id)
+    return landed, {r["source_id"]: r["error"] for r in landed.where("status = 'failed'").select("source_id", "error").collect()}
+
+
+def _run(spark, config, inputs, metadata, history, files, run_id, at, dry_run) -> dict:
     rates = fx.read_rates(spark, inputs.rates).cache()
     history.add("fx_snapshots", (run_id, run_id, rates.first()["published_date"], json.dumps({r["currency"]: r["rate"] for r in rates.collect()}, sort_keys=True)))
-    if inputs.pages:
-        history.append("source_snapshots", snapshot_rows(read_pages(spark, inputs.pages), run_id, at, inputs.pages))
+    failed = {}
+    if inputs.fetch:
+        landed, failed = land_registries(spark, config, inputs, run_id)
+        inputs = replace(inputs, landed=landed)
+        history.replace("source_snapshots", page_versions(landed))
+    elif inputs.pages:
+        history.replace("source_snapshots", snapshot_rows(read_pages(spark, inputs.pages), run_id, at, inputs.pages))
     offers, offer_status = gather_offers(spark, inputs, at)
     plans, plan_status = gather_plans(spark, inputs, at, history, config.public_path)
     before = history.previous_counts() or (None, None)
-    offers, plans = fx.compare_offers(offers, rates).cache(), fx.compare_plans(plans, rates).cache()
-    quality.check_offers(offers, minimum=config.minimum_offers, previous=before[0], maximum_drop=config.maximum_drop)
-    quality.check_plans(plans, minimum=config.minimum_plans if inputs.pages else 0, previous=before[1] if inputs.pages else None, maximum_drop=config.maximum_drop)
+    with_pages = inputs.plans is None and inputs.page_rows(spark) is not None
+    gates = (
+        quality.offer_gate(minimum=config.minimum_offers, previous=before[0], maximum_drop=config.maximum_drop),
+        quality.plan_gate(minimum=config.minimum_plans if with_pages else 0, previous=before[1] if with_pages else None, maximum_drop=config.maximum_drop),
+    )
     release_id, snapshot_id = release_name(), uuid.uuid4().hex
-    history.save_snapshot(snapshot_id, run_id, at, offers, plans)
+    offers, plans = history.save_snapshot(snapshot_id, run_id, at, fx.compare_offers(offers, rates), fx.compare_plans(plans, rates), gates)
     sources = offer_status | plan_status
+    for source, error in failed.items():
+        if source in sources:
+            sources[source]["error"] = error
     overall = "healthy" if all(s["status"] == "healthy" for s in sources.values()) else "degraded"
     status = {"run_id": run_id, "release_id": release_id, "status": "candidate" if dry_run else "published", "overall": overall, "sources": sources, "published_at": None if dry_run else now_text()}
     document = catalog_document(offers, plans, rates, metadata, release_id, at).first()["document"]
     if not dry_run:
-        publish(f"{config.data_dir}/releases/{release_id}", config.public_path, document, status)
+        publish(files, f"{config.data_dir}/releases/{release_id}", config.public_path, document, status)
         history.add("releases", (release_id, snapshot_id, status["published_at"]))
     return status
 
 
-def probe(spark: SparkSession, folder: str, kind: str = "plans", experimental: bool = True) -> tuple[DataFrame, dict]:
-    """Source report over landed pages, and its rollup with the time it took; writes nothing."""
+def probe(spark: SparkSession, folder: str | DataFrame, kind: str = "plans", experimental: bool = True) -> tuple[DataFrame, dict]:
+    """Source report over landed pages, a folder or rows (source_id, body), and its rollup with the time it took; writes nothing."""
     began = time.monotonic()
-    pages = read_pages(spark, folder)
+    pages = read_pages(spark, folder) if isinstance(folder, str) else folder
     if kind == "plans":
         report = quality.source_report(plan_pages.page_plans(pages, now_text(), plan_pages.registry(experimental)), plan_pages.product_table(spark, experimental), exact=True)
     else:

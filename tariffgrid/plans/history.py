@@ -1,4 +1,4 @@
-"""History of runs, snapshots and releases as append-only Parquet tables."""
+"""History of runs, snapshots and releases as Parquet tables: a log of run events, and tables whose keys are written whole."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tariffgrid.operators.quality import drop_ratio
+from tariffgrid.operators.quality import Gate, drop_ratio
 from tariffgrid.operators.selection import among, newest
 from tariffgrid.schema import OFFER_FIELDS, PLAN_FIELDS, as_offers, as_plans, ddl
 
@@ -22,12 +22,13 @@ TABLES = {
     "model_offers": ddl(OFFER_FIELDS) + ", snapshot_id string",
     "plans": ddl(PLAN_FIELDS) + ", content_checksum string, snapshot_id string",
 }
-_PARTITIONED = ("model_offers", "plans")
+#: Tables whose rows belong to a key, by which they are partitioned: what is written for a key replaces what it had.
+KEYS = {"source_snapshots": "run_id", "fx_snapshots": "fx_id", "catalog_snapshots": "snapshot_id", "releases": "release_id", "model_offers": "snapshot_id", "plans": "snapshot_id"}
 
 
 @dataclass(frozen=True)
 class History:
-    """The tables under one folder; a single writer at a time appends to them."""
+    """The tables under one folder; a single writer at a time writes them."""
 
     spark: SparkSession
     root: str
@@ -39,22 +40,52 @@ class History:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path).select(schema.names)
 
     def append(self, table: str, rows: DataFrame) -> None:
         writer = rows.write.mode("append")
-        (writer.partitionBy("snapshot_id") if table in _PARTITIONED else writer).parquet(f"{self.root}/{table}")
+        (writer.partitionBy(KEYS[table]) if table in KEYS else writer).parquet(f"{self.root}/{table}")
+
+    def replace(self, table: str, rows: DataFrame) -> None:
+        """Write the rows in place of all that their keys had; other keys stay. Doing it again changes nothing.
+
+        Only the partitions of the keys at hand are exchanged, when the job commits. Keys
+        without rows are not touched: there is nothing to tell them by.
+        """
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEYS[table]).parquet(f"{self.root}/{table}")
+
+    def forget(self, table: str, key: str) -> None:
+        """Remove a key's rows."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{KEYS[table]}={key}")
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def add(self, table: str, *rows: tuple) -> None:
-        self.append(table, self.spark.createDataFrame(list(rows), TABLES[table]))
+        """Append to a log, or replace by key."""
+        made = self.spark.createDataFrame(list(rows), TABLES[table])
+        self.replace(table, made) if table in KEYS else self.append(table, made)
+
+    def save_snapshot(self, snapshot_id: str, run_id: str, created_at: str, offers: DataFrame, plans: DataFrame, gates: tuple[Gate, Gate] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Offers and plans as written; the header row last, and only a snapshot with a header counts.
 
-    def save_snapshot(self, snapshot_id: str, run_id: str, created_at: str, offers: DataFrame, plans: DataFrame) -> None:
-        """Offers and plans first; the header row last, and only a snapshot with a header counts."""
-        self.append("model_offers", as_offers(offers).withColumn("snapshot_id", F.lit(snapshot_id)))
+        With gates, the jobs that write also measure: nothing is computed twice, and the
+        offers' gate is judged before the plans are made. A snapshot that doesn't pass is removed.
+        """
+        of = lambda rows: rows.withColumn("snapshot_id", F.lit(snapshot_id))
         summed = as_plans(plans).withColumn("content_checksum", F.sha2(F.to_json(F.try_parse_json("raw")), 256))
-        self.append("plans", summed.withColumn("snapshot_id", F.lit(snapshot_id)))
-        counts = counted(offers, plans).first()
+        written = []
+        try:
+            for table, rows, gate in (("model_offers", as_offers(offers), gates and gates[0]), ("plans", summed, gates and gates[1])):
+                self.replace(table, of(gate.watched(rows) if gate else rows))
+                written.append(self.read(table).where(F.col("snapshot_id") == snapshot_id))
+                if gate:
+                    gate.judge(written[-1])
+        except Exception:
+            for table in ("model_offers", "plans"):
+                self.forget(table, snapshot_id)
+            raise
+        counts = counted(*written).first()
         self.add("catalog_snapshots", (snapshot_id, run_id, created_at, counts["offer_count"], counts["plan_count"], counts["provider_count"]))
+        return as_offers(written[0]), as_plans(written[1])
 
     def runs(self) -> DataFrame:
         """The latest event of each run."""

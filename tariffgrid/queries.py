@@ -13,7 +13,9 @@ from tariffgrid.functions import text as X
 from tariffgrid.operators import catalog_query as C
 from tariffgrid.operators import quality as Q
 from tariffgrid.operators import selection as S
+from tariffgrid.operators.paging import SortKey, next_page, page_index
 from tariffgrid.plans import fx, history
+from tariffgrid.session import new_table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,7 +32,7 @@ def query(sql: str):
     return add
 
 
-RATES = (("FRANCE", 7.8), ("GERMANY", 7.8), ("CHINA", 1.0), ("JAPAN", 0.047), ("UNITED STATES", 7.2), ("INDIA", 0.086), ("BRAZIL", -1.0))
+RATES = (*((f"NATION_{k}", r) for k, r in enumerate((7.8, 7.8, 1.0, 0.047, 7.2, 0.086, -1.0))), ("FRANCE", 7.8))
 _RATE_ROWS = ", ".join(f"('{n}', {r}::DOUBLE)" for n, r in RATES)
 
 
@@ -64,11 +66,11 @@ def plan_comparison_amount(t):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN contains(lower(p_type || ' ' || p_name), 'steel') THEN 'batch' WHEN contains(lower(p_type || ' ' || p_name), 'copper') THEN 'flex' ELSE 'standard' END AS tier FROM part""")
+SELECT p_partkey, CASE WHEN contains(lower(p_type || ' ' || p_name), 'widget') THEN 'batch' WHEN contains(lower(p_type || ' ' || p_name), 'promo') THEN 'flex' ELSE 'standard' END AS tier FROM part""")
 def service_tier_tag(t):
-    # The metals stand for the two words that mark a tier.
-    marked = F.replace(F.replace(F.lower("p_type"), F.lit("steel"), F.lit("batch")), F.lit("copper"), F.lit("flex"))
-    named = F.replace(F.replace(F.lower("p_name"), F.lit("steel"), F.lit("batch")), F.lit("copper"), F.lit("flex"))
+    # A part's words stand for the two words that mark a tier.
+    marked = F.replace(F.replace(F.lower("p_type"), F.lit("widget"), F.lit("batch")), F.lit("promo"), F.lit("flex"))
+    named = F.replace(F.replace(F.lower("p_name"), F.lit("widget"), F.lit("batch")), F.lit("promo"), F.lit("flex"))
     return t("part").select("p_partkey", P.service_tier(marked, named).alias("tier"))
 
 
@@ -200,16 +202,17 @@ def keep_last_dedupe(t):
 
 @query("""
 SELECT p_brand AS provider_id, id, rule_rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY rule_rank, p_size DESC, p_type COLLATE zh, id) AS k FROM
- (SELECT *, printf('%010d', p_partkey) AS id, CASE WHEN regexp_matches(p_type, '(?i)^PROMO') THEN 0 WHEN regexp_matches(p_type, 'STEEL$') THEN 1 END AS rule_rank FROM part) WHERE rule_rank IS NOT NULL) WHERE k = 1""")
+ (SELECT *, printf('%010d', p_partkey) AS id, CASE WHEN regexp_matches(p_type, '(?i)^PROMO') THEN 0 WHEN regexp_matches(p_type, '(?i)^ECONOMY') THEN 1 END AS rule_rank FROM part) WHERE rule_rank IS NOT NULL) WHERE k = 1""")
 def flagship_per_provider(t):
     rows = t("part").select(
         F.format_string("%010d", "p_partkey").alias("id"), F.lit("per_token").alias("billing_type"), F.col("p_brand").alias("provider_id"), F.col("p_brand").alias("provider_name"), F.col("p_type").alias("model"),
         F.col("p_retailprice").alias("input_per_1m"), F.col("p_retailprice").alias("output_per_1m"), F.col("p_retailprice").alias("compare_input"), F.col("p_retailprice").alias("compare_output"),
         F.format_string("%04d", "p_size").alias("release_date"),
     )
-    brands = [r[0] for r in rows.select("provider_id").distinct().collect()]  # rules name each maker
-    rules = tuple((b, k, p) for b in brands for k, p in enumerate((C.line_pattern("PROMO", ""), "STEEL$")))
-    return C.flagships(rows, rules).select("provider_id", "id", "rule_rank")
+    lines = C.lines_table(rows.sparkSession, (C.Line("", 0, "promo", words=("promo",)), C.Line("", 1, "economy")))
+    makers = rows.select(F.col("provider_id").alias("rule_provider")).distinct()
+    each = makers.select("rule_provider", F.explode(F.array(F.lit(0), F.lit(1))).alias("rule_rank")).join(F.broadcast(lines.drop("rule_provider")), "rule_rank")  # two lines
+    return C.flagships(rows, each).select("provider_id", "id", "rule_rank")
 
 
 @query("""SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_partkey <> 1) WHERE k = 1 ORDER BY p_partkey LIMIT 2""")
@@ -390,9 +393,9 @@ _PLANS_SQL = """(SELECT printf('%010d', c_custkey) AS id, CASE WHEN c_mktsegment
 
 
 @query(f"""
-SELECT id, model, monthly AS compare_monthly FROM {_PLANS_SQL} WHERE billing_type = 'coding_plan' AND contains(lower(n_name) || ' ' || lower(model), 'an') AND monthly > 0 AND monthly >= 150 AND monthly < 500 AND c_custkey % 3 = 0""")
+SELECT id, model, monthly AS compare_monthly FROM {_PLANS_SQL} WHERE billing_type = 'coding_plan' AND contains(lower(n_name) || ' ' || lower(model), 'nation_1') AND monthly > 0 AND monthly >= 150 AND monthly < 500 AND c_custkey % 3 = 0""")
 def plan_page(t):
-    return C.PlanQuery("coding_plan", search="an", kind="paid", price="150to500", quota="monetary").run(_plan_view(t)).select("id", "model", "compare_monthly")
+    return C.PlanQuery("coding_plan", search="Nation_1", kind="paid", price="150to500", quota="monetary").run(_plan_view(t)).select("id", "model", "compare_monthly")
 
 
 @query(f"""
@@ -451,3 +454,63 @@ def provider_suggestions(t):
 def model_picker(t):
     rows = _part_view(t).drop("release_date").join(t("part").select(F.format_string("%010d", "p_partkey").alias("id"), F.format_string("%04d", "p_size").alias("release_date")), "id")
     return C.candidates(rows, "brand#1", ("0000000004",)).select("id", "model")
+
+
+#: The page of lines by price that deep_page asks for, and how many rows it has.
+DEEP_PAGE, DEEP_SIZE = 100, 50
+
+
+def _line_keys() -> tuple[SortKey, ...]:
+    return SortKey(F.nullif(F.col("l_extendedprice"), F.lit(0)), True), SortKey(F.col("l_shipdate")), SortKey(F.col("l_orderkey")), SortKey(F.col("l_linenumber"))
+
+
+_LINE_ORDER = "nullif(l_extendedprice, 0) DESC NULLS LAST, l_shipdate ASC NULLS LAST, l_orderkey, l_linenumber"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY {_LINE_ORDER} LIMIT {DEEP_SIZE} OFFSET {(DEEP_PAGE - 1) * DEEP_SIZE}""")
+def deep_page(t):
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate")
+    index = page_index(lines, _line_keys(), new_table_path(lines.sparkSession))
+    return index.page(DEEP_PAGE, DEEP_SIZE).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"""
+SELECT p_partkey, p_type, p_retailprice FROM part
+WHERE p_type < 'PROMO' OR (p_type = 'PROMO' AND (p_retailprice > 1000 OR (p_retailprice = 1000 AND p_partkey > 7))) ORDER BY p_type DESC, p_retailprice, p_partkey LIMIT {DEEP_SIZE}""")
+def keyset_page(t):
+    keys = SortKey(F.col("p_type"), True), SortKey(F.col("p_retailprice")), SortKey(F.col("p_partkey"))
+    return next_page(t("part").select("p_partkey", "p_type", "p_retailprice"), keys, '["PROMO", 1000.0, 7]', DEEP_SIZE)
+
+
+@query("""
+SELECT 'under10' AS filter, count(*) AS n FROM part WHERE p_retailprice / 200 < 10 UNION ALL
+SELECT 'longContext', count(*) FROM part WHERE p_size * 8000 >= 200000 UNION ALL
+SELECT 'vision', count(*) FROM part WHERE list_contains(string_split(replace(p_name, 'widget', 'vision'), ' '), 'vision')""")
+def quick_filters(t):
+    rows = t("part").select((F.col("p_retailprice") / 200).alias("compare_input"), (F.col("p_size") * 8000).alias("context_window"), F.split(F.replace("p_name", F.lit("widget"), F.lit("vision")), " ").alias("modalities"))
+    passed = F.array(*(F.when(C.quick_filter(q), F.lit(q)) for q in ("under10", "longContext", "vision")))
+    return rows.select(F.explode(F.array_compact(passed)).alias("filter")).groupBy("filter").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT printf('%010d', p_partkey) AS id, p_name AS model FROM part WHERE contains(lower(p_name) || '|' || lower(p_brand), 'blue') AND p_partkey NOT IN (8, 9)
+ORDER BY p_size DESC, p_brand COLLATE zh, p_name COLLATE zh, id LIMIT 40""")
+def comparison_picker(t):
+    rows = t("part").select(
+        F.format_string("%010d", "p_partkey").alias("id"), F.lit("per_token").alias("billing_type"), F.col("p_brand").alias("provider_name"), F.col("p_name").alias("model"), F.format_string("%04d", "p_size").alias("release_date")
+    )
+    return C.compare_candidates(rows, "Blue", ("0000000008", "0000000009")).select("id", "model")
+
+
+@query("""
+SELECT o_orderpriority AS source_id, count(*) AS n_rows, count_if(o_totalprice < 0) AS n_negative, (SELECT count(*) FROM orders) AS n_seen,
+ (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'P')::VARCHAR AS first_bad FROM orders GROUP BY o_orderpriority""")
+def gate_on_write(t):
+    """A gate that the job that writes the table measures; the table is then read as written."""
+    rows = t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    gate, path = Q.Gate("o_orderkey", (Q.RowRule("open", F.col("o_orderstatus") == "P"),)), new_table_path(rows.sparkSession)
+    gate.watched(rows).write.parquet(path)
+    found, written = gate.observation.get, rows.sparkSession.read.schema(rows.schema).parquet(path)
+    bad = found["bad"]["key"] if found["bad"] else None
+    counts = written.groupBy(F.col("o_orderpriority").alias("source_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("o_totalprice") < 0).alias("n_negative"))
+    return counts.select("*", F.lit(found["n"]).cast("bigint").alias("n_seen"), F.lit(bad).cast("string").alias("first_bad"))

@@ -38,11 +38,21 @@ class Config:
         return cls(**{f: type(getattr(default, f))(os.environ[key]) for f in cls.__dataclass_fields__ if (key := prefix + f.upper()) in os.environ})
 
 
-def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(source_id, body) of every landed page: files <source_id>.html, .md, .json or .txt, or .gz of them."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(SUFFIXES)},gz}}").text(folder, wholetext=True)
+def file_pages(reader, folder: str) -> DataFrame:
+    """(source_id, body, landed_at, run_id) of page files, from a batch or a stream reader: <source_id>.html, .md, .json or .txt, or .gz of them.
+
+    run_id is what a folder run_id=... above the file says, else null.
+    """
+    files = reader.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(SUFFIXES)},gz}}").load(folder)
     name = F.regexp_replace("_metadata.file_name", rf"(\.({'|'.join(SUFFIXES)}))?(\.gz)?$", "")
-    return files.select(name.alias("source_id"), F.col("value").alias("body")).where(F.col("source_id") != REPORT.partition(".")[0])
+    run = F.nullif(F.regexp_extract("_metadata.file_path", r"/run_id=([^/]+)/", 1), F.lit(""))
+    rows = files.select(name.alias("source_id"), F.make_valid_utf8("value").alias("body"), F.col("_metadata.file_modification_time").alias("landed_at"), run.alias("run_id"))
+    return rows.where(F.col("source_id") != REPORT.partition(".")[0])
+
+
+def read_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """(source_id, body) of every page file of a folder."""
+    return file_pages(spark.read, folder).select("source_id", "body")
 
 
 def snapshot_rows(pages: DataFrame, run_id: str, fetched_at: str, folder: str | None = None) -> DataFrame:

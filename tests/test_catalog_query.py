@@ -1,7 +1,7 @@
-import re
-
 import pytest
+from pyspark.sql import functions as F
 
+from tariffgrid.functions.model_names import name_parts
 from tariffgrid.operators import catalog_query as C
 from tariffgrid.plans import fx
 from tariffgrid.schema import as_offers, as_plans
@@ -126,13 +126,27 @@ def test_page_count():
     assert [C.page_count(n, 50) for n in (0, 1, 50, 51)] == [1, 1, 1, 2]
 
 
-def test_visible_columns_and_flagship_lines():
+def test_visible_columns_and_flagship_lines(spark):
     assert C.toggled(("a", "b"), "a") == ("b",) and C.toggled(("b",), "b") == ("b",) and C.toggled(("b",), "a") == ("b", "a")
     names = {"openai": ["GPT-5.6 Sol", "GPT-5"], "anthropic": ["Claude Opus 5"], "google": ["Gemini 3 Pro Preview"], "qwen": ["Qwen4-Max"], "deepseek": ["DeepSeek V4 Pro", "DeepSeek V4"], "moonshot": ["Kimi K3.1"], "zhipu": ["GLM-5.2"], "minimax": ["MiniMax-M3"]}
     others = ["GPT-5 mini", "Claude Opusculum", "Gemini Flash", "Qwen4 Plus", "DeepSeek V4 Flash", "Kimi K3 Code", "GLM-5 Air", "MiniMax-M3 fast"]
-    hit = lambda provider, name: any(re.search(p, name) for q, _, p in C.FLAGSHIPS if q == provider)
-    assert all(hit(p, n) for p, ns in names.items() for n in ns)
-    assert not any(hit(p, n) for p, n in zip(names, others))
+    models = spark.createDataFrame([(p, n) for p, ns in names.items() for n in ns] + list(zip(names, others)), "provider_id string, model string")
+    hit = models.join(C.lines_table(spark), F.col("provider_id") == F.col("rule_provider")).where(C.in_line("model"))
+    assert {r["model"] for r in hit.collect()} == {n for ns in names.values() for n in ns}
+
+
+def test_model_names(spark):
+    rows = spark.createDataFrame([("GPT-5.2 Sol",), ("Claude Opus",), ("",), (None,), ("4o",), ("Kimi K2.5.1",)], "model string")
+    got = [tuple(r) for r in rows.select(name_parts("model").alias("p")).select("p.stem", "p.version", "p.rest", "p.words").collect()]
+    assert got[0] == ("gpt-", "5.2", " sol", ["gpt", "5", "2", "sol"]) and got[1][:3] == ("claude opus", None, "") and got[2][:3] == ("", None, "")
+    assert got[3] == (None, None, None, None) and got[4][:3] == ("", "4", "o") and got[5][:3] == ("kimi k", "2.5", ".1")
+
+
+def test_quick_filters_and_the_comparison_picker(spark):
+    rows = spark.createDataFrame([("a", 9.9, 200_000, ["text", "vision"]), ("b", 10.0, 199_999, ["text"]), ("c", None, None, None)], "id string, compare_input double, context_window long, modalities array<string>")
+    assert {q: [r["id"] for r in rows.where(C.quick_filter(q)).collect()] for q in ("under10", "longContext", "vision")} == {"under10": ["a"], "longContext": ["a"], "vision": ["a"]}
+    many = spark.createDataFrame([(f"m{k}", "per_token", "p", "P", f"Model {k}", "2026") for k in range(90)], "id string, billing_type string, provider_id string, provider_name string, model string, release_date string")
+    assert C.compare_candidates(many, elsewhere=("m1",)).count() == 40 and C.candidates(many).count() == 60
 
 
 def test_stale_rows_are_no_candidates(spark):

@@ -6,6 +6,7 @@ from tariffgrid.plans import catalog, directory, fx
 from tariffgrid.plans.history import History
 from tariffgrid.sources.fetch import Fetched, Page, land_documents, land_sources
 from tariffgrid.sources.landing import Config, land, published_plans, read_first, read_pages, selection, snapshot_rows
+from tariffgrid.sources.shared import SharedFiles
 from tariffgrid.streaming.pages import append_snapshots, stream_pages
 
 DIRECTORY = {
@@ -95,15 +96,17 @@ def test_a_failed_source_without_history_fails_the_run(spark, landed, monkeypatc
     assert catalog.run(spark, config, inputs, _metadata(spark))["sources"]["cursor_plans"]["status"] == "stale"
 
 
-def test_one_writer(tmp_path):
-    with catalog.single_writer(str(tmp_path / "lock")), pytest.raises(RuntimeError), catalog.single_writer(str(tmp_path / "lock")):
+def test_one_writer(spark, tmp_path):
+    files = SharedFiles(spark)
+    with catalog.single_writer(files, str(tmp_path / "lock")), pytest.raises(RuntimeError), catalog.single_writer(files, str(tmp_path / "lock")):
         pass
 
 
-def test_releases_are_immutable(tmp_path):
-    catalog.publish(str(tmp_path / "r1"), str(tmp_path / "c.json"), "{}", {})
+def test_releases_are_immutable(spark, tmp_path):
+    files = SharedFiles(spark)
+    catalog.publish(files, str(tmp_path / "r1"), str(tmp_path / "c.json"), "{}", {})
     with pytest.raises(FileExistsError):
-        catalog.publish(str(tmp_path / "r1"), str(tmp_path / "c.json"), "{}", {})
+        catalog.publish(files, str(tmp_path / "r1"), str(tmp_path / "c.json"), "{}", {})
 
 
 def test_landing(spark, tmp_path, monkeypatch):
