@@ -31,25 +31,46 @@ def release_name() -> str:
     return f"{datetime.now(timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8]}"
 
 
-def catalog_document(offers: DataFrame, plans: DataFrame, rates: DataFrame, metadata: DataFrame, release_id: str, published_at: str) -> DataFrame:
-    """One row with the catalog as JSON text: providers, offers and plans in order, comparison rates, summary.
+#: Rows of one shard of a list of the catalog document.
+SHARD_ROWS = 50_000
+
+
+def write_list(rows: DataFrame, keys: tuple[str, ...], folder: str, n: int, rows_a_shard: int = SHARD_ROWS) -> None:
+    """Rows as JSON objects in order of the keys, dealt by ranges into shards whose names are in order; each object ends in a comma and a new line."""
+    dealt = rows.repartitionByRange(max(1, -(-n // rows_a_shard)), *keys).sortWithinPartitions(*keys)
+    objects = dealt.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+    objects.write.mode("overwrite").option("lineSep", ",\n").text(folder)
 
-    The document is what a browser loads, a few thousand rows; the tables of the history
-    are the form for more.
-    """
-    ids = offers.select("provider_id").union(plans.select("provider_id")).distinct()
-    provider = with_provider_info(ids, metadata)
 
-    def listed(rows: DataFrame, name: str, *keys: str) -> DataFrame:
-        item = F.struct(*(F.col(k) for k in keys), F.struct(*rows.columns).alias("item"))
-        return rows.agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias(name))
+def write_document(files: SharedFiles, path: str, offers: DataFrame, plans: DataFrame, rates: DataFrame, metadata: DataFrame, release_id: str, published_at: str, rows_a_shard: int = SHARD_ROWS) -> None:
+    """Write the catalog as one JSON file: providers, offers and plans in order, comparison rates, summary.
 
-    used = F.map_from_entries(F.sort_array(F.collect_list(F.struct("currency", "rate"))))
-    snapshot = rates.agg(F.struct(F.lit("CNY").alias("currency"), F.max("published_date").alias("published_date"), used.alias("rates")).alias("comparison"))
-    parts = listed(provider, "providers", "provider_id").crossJoin(listed(as_offers(offers), "model_offers", "provider_id", "offer_id")).crossJoin(listed(as_plans(plans), "plans", "provider_id", "plan_id"))
-    whole = parts.crossJoin(snapshot).crossJoin(counted(offers, plans).select(F.struct("*").alias("summary")))
-    head = [F.lit(v).alias(n) for n, v in (("schema_version", SCHEMA_VERSION), ("release_id", release_id), ("published_at", published_at))]
-    return whole.select(F.to_json(F.struct(*head, "*"), {"ignoreNullFields": "false"}).alias("document"))
+    The lists are sorted and turned into text by tasks, shard by shard, and the shards'
+    bytes are then copied one after the other; no row passes through the driver's memory,
+    and no task holds more than a shard. Only rates and totals, a few numbers, are put in by hand.
+    """
+    ids = offers.select("provider_id").union(plans.select("provider_id")).distinct()
+    total = counted(offers, plans).first().asDict()
+    lists = (
+        ("providers", with_provider_info(ids, metadata), ("provider_id",), total["provider_count"]),
+        ("model_offers", as_offers(offers), ("provider_id", "offer_id"), total["offer_count"]),
+        ("plans", as_plans(plans), ("provider_id", "plan_id"), total["plan_count"]),
+    )
+    head = {"schema_version": SCHEMA_VERSION, "release_id": release_id, "published_at": published_at}
+    parts: list = ["{" + ", ".join(f"{json.dumps(k)}: {json.dumps(v)}" for k, v in head.items())]
+    for name, rows, keys, n in lists:
+        folder = f"{path}.{name}"
+        write_list(rows, keys, folder, n, rows_a_shard)
+        shards = files.listed(folder)
+        if shards:  # no comma after the last object
+            shards[-1] = (shards[-1][0], shards[-1][1] - len(",\n"))
+        parts += [f', "{name}": [\n', shards, "\n]"]
+    known = rates.select("currency", "rate", "published_date").collect()  # as many as there are currencies
+    comparison = {"currency": "CNY", "published_date": max((r["published_date"] for r in known), default=None), "rates": {r["currency"]: r["rate"] for r in sorted(known)}}
+    parts.append(f', "comparison": {json.dumps(comparison)}, "summary": {json.dumps(total)}}}')
+    files.assemble(path, parts)
+    for name, *_ in lists:
+        files.delete(f"{path}.{name}")
 
 
 @dataclass(frozen=True)
@@ -184,9 +205,8 @@ def _run(spark, config, inputs, metadata, history, files, run_id, at, dry_run) -
             sources[source]["error"] = error
     overall = "healthy" if all(s["status"] == "healthy" for s in sources.values()) else "degraded"
     status = {"run_id": run_id, "release_id": release_id, "status": "candidate" if dry_run else "published", "overall": overall, "sources": sources, "published_at": None if dry_run else now_text()}
-    document = catalog_document(offers, plans, rates, metadata, release_id, at).first()["document"]
     if not dry_run:
-        publish(files, f"{config.data_dir}/releases/{release_id}", config.public_path, document, status)
+        publish(files, f"{config.data_dir}/releases/{release_id}", config.public_path, lambda path: write_document(files, path, offers, plans, rates, metadata, release_id, at), status)
         history.add("releases", (release_id, snapshot_id, status["published_at"]))
     return status
 

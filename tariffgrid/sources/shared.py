@@ -6,11 +6,14 @@ import contextlib
 import json
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
 #: Seconds after which a lock is taken to be left behind; a run takes an hour at most.
 LEASE_S = 7200
+#: Bytes that are copied at a time.
+BUFFER = 1 << 16
 
 
 class SharedFiles:
@@ -62,13 +65,46 @@ class SharedFiles:
                 raise FileExistsError(path) from error
             raise
 
+    def listed(self, folder: str) -> list[tuple[str, int]]:
+        """Paths and sizes of the data files of a folder that a job wrote, in order of its partitions."""
+        fs, at = self._at(folder)
+        found = sorted((s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in fs.listStatus(at) if s.isFile())
+        return [(path, n) for name, path, n in found if name[0] not in "._" and n]
+
+    def assemble(self, path: str, parts: list[str | list[tuple[str, int]]]) -> None:
+        """Write a new file of texts and of files (path, bytes to take), one after the other; files are copied through a small buffer."""
+        fs, at = self._at(path)
+        out, copy, bounded = fs.create(at, False), self._jvm.org.apache.hadoop.io.IOUtils.copyBytes, self._jvm.org.apache.commons.io.input.BoundedInputStream
+        try:
+            for part in parts:
+                if isinstance(part, str):
+                    out.write(bytearray(part.encode("utf-8")))
+                    continue
+                for source, n in part:
+                    of, source_at = self._at(source)
+                    stream = of.open(source_at)
+                    try:
+                        copy(bounded(stream, n), out, BUFFER, False)
+                    finally:
+                        stream.close()
+        finally:
+            out.close()
+
     def replace(self, path: str, text: str) -> None:
         """Write beside the target and rename over it: readers see the old file or the new one, and a failure leaves the old one."""
+        self._renamed(path, lambda beside: self._put(beside, text, overwrite=False))
+
+    def replace_by_copy(self, path: str, source: str) -> None:
+        """As replace(), with the bytes of another file."""
+        fs, at = self._at(source)
+        self._renamed(path, lambda beside: self.assemble(beside, [[(source, fs.getFileStatus(at).getLen())]]))
+
+    def _renamed(self, path: str, write) -> None:
         fs, target = self._at(path)
         fs.mkdirs(target.getParent())
         beside = self._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.{uuid.uuid4().hex}")
         try:
-            self._put(beside.toString(), text, overwrite=False)
+            write(beside.toString())
             context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self._conf)
             options = self._jvm.java.lang.reflect.Array.newInstance(self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
             options[0] = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
@@ -115,17 +151,18 @@ def single_writer(files: SharedFiles, path: str, lease_s: float = LEASE_S):
                 files.delete(path)
 
 
-def publish(files: SharedFiles, release_dir: str, public_path: str, document: str, status: dict) -> None:
+def publish(files: SharedFiles, release_dir: str, public_path: str, write_document: Callable[[str], None], status: dict) -> None:
     """An immutable copy for the release first, then the public catalog, its status, and last the pointer to the release.
 
-    Whoever needs catalog and status of one release reads the pointer, a file of one line, and
-    then the release's own copies, which never change.
+    write_document(path) writes the release's catalog as a new file. Whoever needs catalog and
+    status of one release reads the pointer, a file of one line, and then the release's own
+    copies, which never change.
     """
     files.make_folder(release_dir)
     told = json.dumps(status, ensure_ascii=False, sort_keys=True)
-    files.create(f"{release_dir}/catalog.json", document)
+    write_document(f"{release_dir}/catalog.json")
     files.create(f"{release_dir}/status.json", told)
     beside = public_path.rpartition("/")[0] or "."
-    files.replace(public_path, document)
+    files.replace_by_copy(public_path, f"{release_dir}/catalog.json")
     files.replace(f"{beside}/status.json", told)
     files.replace(f"{beside}/CURRENT", release_dir)

@@ -4,6 +4,7 @@ import pytest
 
 from tariffgrid.plans import catalog, directory, fx
 from tariffgrid.plans.history import History
+from tariffgrid.schema import as_offers, as_plans
 from tariffgrid.sources.fetch import Fetched, Page, land_documents, land_sources
 from tariffgrid.sources.landing import Config, land, published_plans, read_first, read_pages, selection, snapshot_rows
 from tariffgrid.sources.shared import SharedFiles
@@ -104,9 +105,24 @@ def test_one_writer(spark, tmp_path):
 
 def test_releases_are_immutable(spark, tmp_path):
     files = SharedFiles(spark)
-    catalog.publish(files, str(tmp_path / "r1"), str(tmp_path / "c.json"), "{}", {})
+    catalog.publish(files, str(tmp_path / "r1"), str(tmp_path / "c.json"), lambda path: files.create(path, "{}"), {})
     with pytest.raises(FileExistsError):
-        catalog.publish(files, str(tmp_path / "r1"), str(tmp_path / "c.json"), "{}", {})
+        catalog.publish(files, str(tmp_path / "r1"), str(tmp_path / "c.json"), lambda path: files.create(path, "{}"), {})
+
+
+@pytest.mark.parametrize("rows_a_shard", [7, 1000])
+def test_the_document_is_made_of_ordered_shards(spark, tmp_path, rows_a_shard):
+    offers = spark.range(40).selectExpr("concat('o', lpad(cast(id * 7 % 40 as string), 3, '0')) as offer_id", "concat('p', cast(id % 3 as string)) as provider_id", "'é, \\n' as model_name", "cast(null as double) as input_per_1m")
+    plans = spark.createDataFrame([], "plan_id string, provider_id string")
+    rates = spark.createDataFrame([("USD", 7.0, "2026-01-02"), ("CNY", 1.0, "2026-01-02")], "currency string, rate double, published_date string")
+    at = str(tmp_path / "catalog.json")
+    catalog.write_document(SharedFiles(spark), at, as_offers(offers), as_plans(plans), rates, _metadata(spark), "r", "t", rows_a_shard)
+    document = json.loads((tmp_path / "catalog.json").read_text())
+    assert list(document) == ["schema_version", "release_id", "published_at", "providers", "model_offers", "plans", "comparison", "summary"]
+    keys = [(o["provider_id"], o["offer_id"]) for o in document["model_offers"]]
+    assert keys == sorted(keys) and len(keys) == 40 and document["plans"] == [] and document["model_offers"][0]["input_per_1m"] is None
+    assert [p["provider_id"] for p in document["providers"]] == ["p0", "p1", "p2"] and document["comparison"]["rates"] == {"CNY": 1.0, "USD": 7.0}
+    assert document["summary"]["offer_count"] == 40 and [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["catalog.json"]
 
 
 def test_landing(spark, tmp_path, monkeypatch):
