@@ -59,26 +59,29 @@ def test_byte_characters_are_one_to_one():
 
 def test_encoding_equals_the_rank_library(encoder, plain):
     texts = scraps(1, 3000) + [c * n for c in "abe1 -\n!é中" for n in (1, 2, 3, 7, 64, 333)]
-    for text, (ids, _) in zip(texts, encoder.encode(texts)):
+    for text, ids in zip(texts, encoder.encode(texts)):
         assert ids.tolist() == plain.encode_ordinary(text), text
 
 
 def test_every_character_splits_alike(encoder, plain):
     texts = [f"a{chr(c)}b {chr(c)}1{chr(c)} {chr(c)}" for c in [*range(0x3100), *range(0xA000, 0xAC00), *range(0xF900, 0x10400), *range(0x1F000, 0x1FA00)]]
     want = plain.encode_ordinary_batch(texts, num_threads=1)
-    assert [ids.tolist() for ids, _ in encoder.encode(texts)] == want
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want
 
 
-def test_windows_change_nothing(ranks, encoder):
-    small = bpe.ByteEncoder(ranks, public_tokenizers.PATTERN, whole=10, window=8)
+def test_bounds_change_nothing(ranks, encoder):
+    """A few texts, matches and remembered ones at a time, or all at once."""
+    small = bpe.ByteEncoder(ranks, public_tokenizers.PATTERN, call=10, known=7, matches=3)
     texts = scraps(2, 1500, 80) + ["x" * 500, " " * 300, "don't we'll they've " * 20, "é" * 99]
-    for text, (ids, spans), (ids2, spans2) in zip(texts, encoder.encode(texts, True), small.encode(texts, True)):
-        assert ids.tolist() == ids2.tolist() and spans.tolist() == spans2.tolist(), text
+    for text, ids, ids2 in zip(texts, encoder.encode(texts), small.encode(texts)):
+        assert ids.tolist() == ids2.tolist(), text
+        assert encoder.spans(text).tolist() == small.spans(text).tolist() and len(encoder.spans(text)) == len(ids)
+    assert len(small.known) <= 7 and all(len(m) <= bpe.KNOWN_CHARS for m in encoder.known)
 
 
 def test_offsets_cover_the_text_and_split_characters_share_theirs(ranks, encoder):
     text = "naïve 🙂 中文 ok"
-    ((ids, spans),) = encoder.encode([text], True)
+    (ids,), spans = encoder.encode([text]), encoder.spans(text)
     assert spans[0][0] == 0 and spans[-1][1] == len(text)
     names = {r: t for t, r in ranks.items()}
     for i, (a, b) in zip(ids.tolist(), spans.tolist()):
@@ -89,7 +92,7 @@ def test_offsets_cover_the_text_and_split_characters_share_theirs(ranks, encoder
 
 def test_decoding_any_slice_gives_exact_bytes(ranks, encoder):
     decoder = bpe.ByteDecoder(ranks)
-    for text, (ids, _) in zip(texts := scraps(3, 300), encoder.encode(texts)):
+    for text, ids in zip(texts := scraps(3, 300), encoder.encode(texts)):
         for cut in range(0, len(ids), 3):
             assert decoder.decode(ids[:cut].tolist()) + decoder.decode(ids[cut:].tolist()) == text.encode()
 
@@ -98,11 +101,11 @@ def test_encode_and_decode_tables(spark, plain):
     long = "one two three, naïve 🙂 中文! " * 400
     rows = [(1, "Hello  world", "en", "s"), (2, None, None, None), (3, "", "en", "s"), (None, "x", "en", "s"), (4, long, "en", "s"), (5, "Hello  world", "en", "s"), (5, "Hello  world", "en", "s")]
     docs = table(spark, rows)
-    got = bpe.encode_texts(docs, offsets=True, whole=1000, window=500).collect()
+    got = bpe.encode_texts(docs, offsets=True, call=1000).collect()
     want = Counter((k, tuple(plain.encode_ordinary(t or ""))) for k, t, *_ in rows)
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
     assert all(len(r.ids) == len(r.starts) == len(r.ends) for r in got)
-    back = bpe.decode_ids(bpe.encode_texts(docs, whole=1000, window=500)).collect()
+    back = bpe.decode_ids(bpe.encode_texts(docs, call=1000)).collect()
     assert Counter((r.doc_id, r.decoded_text) for r in back) == Counter((k, t or "") for k, t, *_ in rows)
     assert all(bytes(r.decoded).decode() == r.decoded_text for r in back)
     assert bpe.decode_ids(bpe.encode_texts(docs.limit(0))).collect() == []
