@@ -14,6 +14,7 @@ from tariffgrid.operators import catalog_query as C
 from tariffgrid.operators import quality as Q
 from tariffgrid.operators import selection as S
 from tariffgrid.operators.paging import SortKey, next_page, page_index
+from tariffgrid.operators.search_index import search_index
 from tariffgrid.plans import fx, history
 from tariffgrid.session import new_table_path
 
@@ -514,3 +515,9 @@ def gate_on_write(t):
     bad = found["bad"]["key"] if found["bad"] else None
     counts = written.groupBy(F.col("o_orderpriority").alias("source_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("o_totalprice") < 0).alias("n_negative"))
     return counts.select("*", F.lit(found["n"]).cast("bigint").alias("n_seen"), F.lit(bad).cast("string").alias("first_bad"))
+
+
+@query("""SELECT p_partkey, p_name, p_brand FROM part WHERE contains(lower(p_name), 'red w') OR contains(lower(p_brand), 'red w')""")
+def indexed_search(t):
+    rows = t("part").select("p_partkey", "p_name", "p_brand")
+    return search_index(rows, ("p_name", "p_brand"), new_table_path(rows.sparkSession)).search("Red W")
