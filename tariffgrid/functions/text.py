@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The character references that visible_text() decodes.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&yen;": "¥", "&amp;": "&"}
+#: The named character references that visible_text() decodes.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&yen;": "¥", "&amp;": "&"}
+
+
+#: What references to the control characters from 128 to 159 mean: the characters of code page 1252 there.
+_CONTROLS = {chr(b): c for b in range(128, 160) if (c := bytes([b]).decode("cp1252", "ignore"))}
+
+
+def numeric_references(text: Column) -> Column:
+    """Text with `&#36;`, `&#x24;` and the like decoded, also without the semicolon; what names no character stays as it is."""
+
+    def decoded(part: Column) -> Column:
+        said = F.regexp_extract(part, r"^([xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?", 0)
+        digits = F.regexp_replace(said, "[xX;]", "")
+        code = F.when(said.rlike("^[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        char = F.translate(char, "".join(_CONTROLS), "".join(_CONTROLS.values()))
+        is_one = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(F.coalesce(is_one, F.lit(False)), F.concat(char, F.substr(part, F.length(said) + 1))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    many = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), decoded), ""))
+    return F.when(text.contains("&#"), many).otherwise(text)
 
 
 def visible_text(page: Column) -> Column:
     """Text of an HTML page without comments, hidden elements and tags, one space between pieces."""
     text = F.regexp_replace(page, r"(?s)<!--.*?-->", " ")
     text = F.regexp_replace(text, r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
+    text = numeric_references(F.regexp_replace(text, r"(?s)<[^>]+>", " "))
     for name, value in ENTITIES.items():
         text = F.replace(text, F.lit(name), F.lit(value))
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))

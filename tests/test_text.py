@@ -18,6 +18,19 @@ def test_visible_text_drops_hidden_parts_and_tags(spark):
     assert one(spark, X.visible_text(F.col("a")), page) == "Plan A ¥9 B & C"
 
 
+@pytest.mark.parametrize("text", ["&#36;20 &#x24;5 &#X1F600; &#39;", "no reference & none", "&#;&#x;&#99999999; &#0 &#xD800;", "&#165;9&#48", "&amp;#36;", "&#150;&#8211;", ""])
+def test_numeric_references(spark, text):
+    import html
+    import re
+
+    want = re.sub(r"&#(x[0-9a-f]{1,6}|[0-9]{1,7});?", lambda m: html.unescape(m[0]) if 0 < (n := int(m[1][1:], 16) if m[1][0] in "xX" else int(m[1])) < 0x110000 and not 0xD800 <= n < 0xE000 else m[0], text, flags=re.I)
+    assert one(spark, X.numeric_references(F.col("a")), text) == want
+
+
+def test_visible_text_decodes_references_once(spark):
+    assert one(spark, X.visible_text(F.col("a")), "<p>&#36;20 &#8211; &amp;#36; &#60;b&#62;</p>") == "$20 – &#36; <b>"
+
+
 @pytest.mark.parametrize(("text", "price"), [
     ("Pro $20 per month", 20.0), ("US$ 19.5/mo", 19.5), ("每月 30 美元", 30.0), ("12 USD / 月", 12.0), ("monthly price: $7", 7.0), ("$8 a month", 8.0), ("$39 USD per user per month", 39.0), ("soon", None),
 ])
