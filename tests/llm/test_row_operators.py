@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -283,7 +284,7 @@ def test_toxicity_held_out_and_folding(spark):
     for text in ("you V1LEWORD", "you vіlewоrd", "a n@styone here", "grubbxyz"):
         assert lexicon.score(matcher, text) >= tox.CUT, text
     assert lexicon.score(matcher, None) == lexicon.score(matcher, "") == lexicon.score(matcher, "12345 wordaa") == 0.0
-    spared = tox.Lexicon(lexicon.weights, ("vileword club",))
+    spared = tox.Lexicon(lexicon.terms, lexicon.prior, ("vileword club",))
     assert spared.score(spared.matcher(), "the vileword club") == 0.0 < spared.score(spared.matcher(), "the vileword house")
     longer = " ".join(["wordaa"] * 20000)
     assert lexicon.score(matcher, f"vileword {longer}") < lexicon.score(matcher, "vileword")
@@ -306,7 +307,7 @@ def test_copies_of_a_toxic_document_are_no_evidence(spark):
     lexicon = tox.fit_lexicon(df, marks)
     got = tox.score_toxicity(df, lexicon).join(marks, "doc_id").where("held_out").collect()
     assert len(got) > 200 and all(r["predicted"] == r["toxic"] for r in got)
-    assert lexicon.weights and all(t.startswith(" vile") for t in lexicon.weights)
+    assert lexicon.terms and all(t.startswith(" vile") for t in lexicon.terms)
 
 
 def test_toxicity_query_equals_a_plain_search(spark):
@@ -314,25 +315,56 @@ def test_toxicity_query_equals_a_plain_search(spark):
     sf = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{sf}/documents.parquet")
     lexicon = tox.fit_lexicon(table, spark.read.parquet(f"{sf}/labels.parquet"))
-    assert lexicon.weights
+    assert lexicon.terms
 
     def plain(text):
         words = tox.folded_words(text)
         spared = {i + k for p in lexicon.exceptions for i in range(len(words)) if words[i : i + len(p.split())] == p.split() for k in range(len(p.split()))}
-        best = [max((w for t, w in lexicon.weights.items() if f" {word} ".startswith(t)), default=0.0) for word in words]
-        total = sum(b for i, b in enumerate(best) if b > 0 and i not in spared)
-        return 1.0 - math.exp(-tox.PER_WORDS / 5.0 * total / (len(words) + 20.0)) if words else 0.0
+        n, evidence = Counter(), -lexicon.prior
+        for word, i in {word: i for i, word in enumerate(words) if i not in spared}.items():
+            fits = [(often / share, t) for t, (often, share, _) in lexicon.terms.items() if f" {word} ".startswith(t)]
+            if fits and i not in spared:
+                n[max(fits)[1]] += 1
+        for t, k in n.items():
+            often, share, present = lexicon.terms[t]
+            each = math.log(1 + often / (share * (len(words) + 20)))
+            evidence += max(0.0, min(k * each - often, present + (k - 1) * each))
+        return 1.0 - math.exp(-max(0.0, evidence) / 8) if n else 0.0
 
     texts = {r["doc_id"]: r["text"] for r in table.collect()}
     for r in QUERIES["op6_toxicity"](spark, sf).collect():
         assert r["score"] == pytest.approx(plain(texts[r["doc_id"]])) and r["predicted"] == int(r["score"] >= 0.3)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
     matcher = lexicon.matcher()
-    term = max(lexicon.weights, key=lexicon.weights.get).strip()
+    term = max(lexicon.terms, key=lambda t: lexicon.terms[t][0] / lexicon.terms[t][1]).strip()
     for text in (f"the {term} trash can {term} idiot proof", "trash can", f"{term}{term}", " ".join([term, "word"] * 30_000)):
         assert lexicon.score(matcher, text) == pytest.approx(plain(text))
 
 
+def test_held_out_toxicity_in_every_language(spark):
+    """Of each language 0.9 of the toxic documents or more, and few false alarms; words that only share letters with a term score 0."""
+    sf = "/root/testdata/sf0.1"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    lexicon = tox.fit_lexicon(table, labels)
+    marked = table.join(labels, "doc_id").where(is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang", F.col("toxic").alias("label"))
+    got = tox.score_toxicity(marked, lexicon).join(marked, "doc_id").groupBy("lang").agg(F.count_if(F.expr("label = 1 and predicted = 1")).alias("hit"), F.count_if(F.expr("label = 1")).alias("all"), F.count_if(F.expr("label = 0 and predicted = 1")).alias("false"))
+    told = {r["lang"]: (r["hit"], r["all"], r["false"]) for r in got.collect()}
+    assert set(told) == {"en", "de", "fr", "es"} and all(hit >= 0.9 * n for hit, n, _ in told.values()), told
+    assert sum(f for *_, f in told.values()) <= 3, told
+    matcher = lexicon.matcher()
+    for text in ("the path to the hill", "a worthy cause", "a pathologist from Morocco", "a lost idea of stupor and disgust"):
+        assert lexicon.score(matcher, text) == 0.0, text
+
+
+def test_terms_have_occurrences_of_their_own():
+    significance = lambda a, b: float(a - 10 * b)
+    one_word = {" pathetic ": (50, 0), " pathetic": (50, 0), " path": (50, 0), " pat": (51, 3)}
+    assert tox.separate_terms(one_word, significance, 5.0) == {" pathetic "}
+    endings = {" grub": (60, 1), " grubaa ": (20, 0), " grubab ": (20, 0), " grubac ": (20, 0), " gru": (64, 30)}
+    assert tox.separate_terms(endings, significance, 5.0) == {" grub"}
+    assert tox.separate_terms({" abc": (9, 0)}, significance, 10.0) == set()
+
+
 def test_folding_of_foreign_letters():
     assert tox.folded_words("ＶＩＬＥ 𝐯𝐢𝐥𝐞 𝓿𝓲𝓵𝓮 v\u200bi\u00adle VІLЕ vıle ᴠɪle".replace("ɪ", "i")) == ["vile"] * 7
     assert tox.folded_words("naïve façade Straße 1234 x86") == ["naïve", "façade", "straße", "1234", "xbb"]
@@ -342,7 +374,7 @@ def test_the_sample_of_labels_is_bounded_at_any_size(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.when(F.col("id") % 4 == 0, "vileword x").otherwise("y z"), F.lit(" "), F.col("id")).alias("text"))
     marks = spark.range(4000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
     lexicon = tox.fit_lexicon(df, marks, max_docs=150)
-    assert " vileword " in lexicon.weights and not any(t.strip() in ("word", "y", "z") for t in lexicon.weights)
+    assert " vileword " in lexicon.terms and not any(t.strip() in ("word", "y", "z") for t in lexicon.terms)
 
 
 def test_toxicity_edges(spark):
@@ -351,8 +383,8 @@ def test_toxicity_edges(spark):
     assert [(r["score"], r["predicted"]) for r in got] == [(0.0, 0)] * 3
     assert tox.score_toxicity(docs(spark, "a").limit(0), tox.Lexicon({})).count() == 0
     odd = spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")
-    assert [r["held_out"] for r in tox.score_toxicity(odd, tox.Lexicon({" a ": 5.0})).where("doc_id is null").collect()] == [False]
-    assert tox.score_toxicity(odd, tox.Lexicon({" a ": 5.0})).where("predicted = 1").count() == 3
+    assert [r["held_out"] for r in tox.score_toxicity(odd, tox.Lexicon({" a ": (2.0, 1e-6, 9.0)})).where("doc_id is null").collect()] == [False]
+    assert tox.score_toxicity(odd, tox.Lexicon({" a ": (2.0, 1e-6, 9.0)})).where("predicted = 1").count() == 3
     ids = spark.range(50)
     assert [r["h"] for r in ids.select(is_held_out(F.col("id")).alias("h")).collect()] == [zlib.crc32(str(k).encode()) % 4 == 2 for k in range(50)]
 
@@ -417,6 +449,40 @@ def test_ambiguous_blocks_follow_their_neighbours():
     assert pages.main_text(f"<div>{bad}</div><div>lost</div><div>{bad}</div><p>{good}</p><p>between</p><p>{good}</p>") == f"{good}\n\nbetween\n\n{good}"
 
 
+PROSE = "It was the best of the days for a walk in the park with the dog, and the sun was out over the hill as the bells of the town rang for noon."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article><p>{PROSE}</p><ul><li><a href=1>See the docs</a></li></ul><p><a href=2>The full report</a></p><p>{PROSE}</p></article>", [PROSE, "See the docs", "The full report", PROSE]),
+        (f"<article><p><a href=1>{PROSE}</a></p></article>", [PROSE]),
+        (f"<main><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>{PROSE}</p><p><a>The report</a></p><p>{PROSE}</p></main>", [PROSE, "The report", PROSE]),
+        (f"<article><p>{PROSE}</p></article><div class='discussion'><p>{PROSE}</p></div>", [PROSE]),
+        (f"<article><p>{PROSE}</p></article><div class='reader-responses'><p>{PROSE}</p></div>", [PROSE]),
+        (f"<h1>Title</h1><article><p>{PROSE}</p><p>{PROSE}</p></article><div class='what-you-said'><p>{PROSE}</p></div>", ["Title", PROSE, PROSE]),
+        (f"<div class=post><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><div class='talkback'><p>{PROSE}</p></div>", ["T", PROSE, PROSE]),
+        (f"<body><form id=aspnetForm><nav><a>Home</a></nav><div><h1>T</h1><p>{PROSE}</p></div></form>", ["T", PROSE]),
+        (f"<body><form id=aspnetForm><article><p>{PROSE}</p></article></form>", [PROSE]),
+        (f"<article><p>{PROSE}</p><form><p>{PROSE}</p></form><p>{PROSE}</p></article>", [PROSE, PROSE]),
+        (f"<body><header class=post-header><h1>Title</h1></header><div class=post><p>{PROSE}</p></div>", ["Title", PROSE]),
+        (f"<body><header class=site-header><h1>Site</h1></header><div class=post><p>{PROSE}</p></div>", [PROSE]),
+        (f"<article><p><![CDATA[{PROSE} <b> & x]]></p></article>", [f"{PROSE} <b> & x"]),
+    ],
+)
+def test_links_comments_forms_and_titles(page, text):
+    assert pages.main_text(page) == "\n\n".join(text)
+
+
+def test_many_hints_are_read_in_one_pass():
+    began = time.perf_counter()
+    nested = "<div class=comments>" * 10_000 + f"<p>{PROSE}</p>" + "</div>" * 10_000
+    assert pages.main_text(f"<body><div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div>{nested}") == f"T\n\n{PROSE}\n\n{PROSE}"
+    flat = f"<div class=comments><p>{PROSE}</p></div>" * 4000
+    assert pages.main_text(f"<article><p>{PROSE}</p></article>{flat}") == PROSE
+    assert time.perf_counter() - began < 6  # a fraction of this, on a machine that does nothing else
+
+
 def test_pages_edges(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<article>é</article>", "y"), (1, None, None, "x")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, pages.extract_pages(df).collect()), key=str) == sorted([(1, None, "", 0), (None, "u", "é", 1), (1, None, "", 0)], key=str)
@@ -488,7 +554,7 @@ def test_license_labels_equal_regular_expressions(spark):
     texts += [r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     patterns = {label: [plain_template(t) for t in of] for label, of in lic.TEMPLATES.items()}
     found = set()
-    for r in lic.scan_licenses(docs(spark, *texts)).collect():
+    for r in lic.scan_licenses(docs(spark, *texts), headings={}).collect():
         joined = " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", texts[r["doc_id"]].lower()))
         want = {label for label, of in patterns.items() if any(p.search(joined) for p in of)}
         base = set(filter(None, r["base_labels"].split(",")))
@@ -510,6 +576,26 @@ def test_common_notices(text, label):
     assert label in lic.Scanner().scan(text)[5].split(",")
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Content is available under CC BY-SA 4.0 unless said otherwise", "cc-by,cc-by-sa-4.0"), ("under the Attribution-ShareAlike License 4.0", "cc-by-sa-4.0"), ("CC0 1.0 Universal", "cc0-1.0"),
+    ("MIT License\n\nCopyright (c) 2020 A. Person", "mit"), ("Apache License 2.0", "apache-2.0"), ("it is not the Apache License 2.0, though", ""),
+    ("Released under the GNU GPL v3", "gpl-3.0"), ("licensed under GPLv2", "gpl-2.0"), ("distributed under LGPL v2.1", "lgpl-2.1"), ("under the terms of the GNU Affero General Public License v3", "agpl-3.0,gpl"),
+    ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.", "gpl,gpl-3.0"),
+    ("It is not licensed under the MIT License.", ""), ("never released under the MIT License", ""), ("Not this one, which is licensed under the MIT License", "mit"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2.0,mit"), ("// SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause */", "bsd-3-clause,classpath-exception-2.0,gpl-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3.0-or-later"), ("SPDX-License-Identifier: LGPL-2.1+ here it ends", "lgpl-2.1-or-later"), ("SPDX-License-Identifier: EUPL-1.2", "eupl-1.2"), ("SPDX-License-Identifier:", ""),
+    ("distributed under the Boost Software License, Version 1.0.", "bsl-1.0"), ("Licensed under the Eclipse Public License v2.0", "epl-2.0"),
+])
+def test_common_wordings(text, labels):
+    assert lic.Scanner().scan(text)[5] == labels
+
+
+def test_typographic_signs_hinder_no_template():
+    plain = re.sub(r"<<opt>>([^<]*)<</opt>>", r"\1", re.sub(r"<<var \d+>>", "the authors", lic.TEMPLATES["mit-text"][0])).replace("the software to deal", "(the “Software”) to deal").replace("as is", "“as is”")
+    n_words, *_, labels, score = lic.Scanner().scan(plain)
+    assert labels == "mit-text" and score == 1.0 and n_words == len(plain.replace("(", "").split())
+
+
 def test_license_labels_and_edges(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"
     got = [r["labels"] for r in lic.scan_licenses(docs(spark, "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "Released under the MIT License.", mit)).orderBy("doc_id").collect()]
