@@ -23,15 +23,19 @@ BLOCKS = frozenset(
     "legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
 SPACED = frozenset("br td th wbr img input".split())
-OUTSIDE = frozenset("nav footer aside form dialog menu search".split())
+OUTSIDE = frozenset("nav footer aside dialog menu search".split())
 CONTENT = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class, id or role that tell a part that is no article text; those of them whose parts hold prose of their own.
 HINT = re.compile(
-    r"ads?|adverts?|advertis\w*|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?|copyright|disqus|footer|gdpr|header|login|masthead|menu|nav(?:s|bar|box|links|list|menu|igation)?|modal|newsletter|"
-    r"notices?|pager|pagination|popup|promos?|promotion|related|respond|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|teaser|toolbar|widgets?|complementary"
+    r"ads?|adverts?|advertis\w*|banner|breadcrumbs?|comments?|commentlist|consent|contentinfo|cookies?|copyright|discussions?|disqus|footer|gdpr|guestbook|header|login|masthead|menu|nav(?:s|bar|box|links|list|menu|igation)?|modal|newsletter|"
+    r"notices?|pager|pagination|popup|promos?|promotion|related|repl(?:y|ies)|respond|responses|search|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|talkback|teaser|toolbar|widgets?|complementary"
 )
-PROSE = re.compile(r"ads?|adverts?|advertis\w*|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|modal|newsletter|popup|promos?|promotion|respond|sponsor\w*")
+PROSE = re.compile(
+    r"ads?|adverts?|advertis\w*|comments?|commentlist|consent|cookies?|copyright|discussions?|disqus|footer|gdpr|guestbook|modal|newsletter|popup|promos?|promotion|repl(?:y|ies)|respond|responses|sponsor\w*|talkback"
+)
+#: Words before `header` that say it is an article's own, which holds its title.
+OWN = frozenset("article entry post story".split())
 #: Words that may follow such a word and name a piece of the part; words before it that say the element isn't the part.
 PARTS = frozenset(
     "area articles bar bars block blocks body bottom box boxes btn button buttons card cards container content count cta feed field footer form group head header heading holder icon icons inner input item items label "
@@ -59,6 +63,8 @@ def hint_of(value: str) -> str | None:
         words = [w for w in re.split(r"[_-]+", name) if w]
         for k in range(len(words) - 1, -1, -1):
             if HINT.fullmatch(words[k]) and not NOT & set(words[:k]):
+                if words[k] == "header" and k and words[k - 1] in OWN:
+                    break
                 return words[k]
             if words[k] not in PARTS and not words[k][0].isdigit():
                 break
@@ -100,8 +106,10 @@ class Block:
     #: Number of the article or main element about it; 0 for none.
     content: int
     good: bool | None = None
-    #: Numbers of the elements about it that a hint says are no article text.
-    hints: tuple[int, ...] = ()
+    #: Number of the innermost element about it that a hint says is no article text; -1 for none.
+    hint: int = -1
+    in_article: bool = False
+    title: bool = False
 
 
 @dataclass
@@ -111,8 +119,9 @@ class _Open:
     silent: bool
     content: int
     link: bool = False
-    hints: tuple[int, ...] = ()
+    hint: int = -1
     in_article: bool = False
+    title: bool = False
 
 
 @dataclass
@@ -122,9 +131,10 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     contents: int = 0
-    #: The word of each hinted element; hinted elements about each article or main, and about h1.
+    #: The word of each hinted element, and the next one about it; the innermost one about each article, main and h1.
     hinted: list[str] = field(default_factory=list)
-    about: list[tuple[str, tuple[int, ...]]] = field(default_factory=list)
+    above: list[int] = field(default_factory=list)
+    about: list[tuple[str, int]] = field(default_factory=list)
 
     def top(self) -> _Open:
         return self.stack[-1] if self.stack else _Open("", False, False, 0)
@@ -142,7 +152,7 @@ class _Reader:
             if text:
                 words, stops = prose_figures(text)
                 at = self.top()
-                self.blocks.append(Block(text, words, min(1.0, self.links / len(text)), stops, at.outside, at.content, hints=at.hints))
+                self.blocks.append(Block(text, words, min(1.0, self.links / len(text)), stops, at.outside, at.content, hint=at.hint, in_article=at.in_article, title=at.title))
         self.parts, self.links = [], 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -154,19 +164,26 @@ class _Reader:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
             self.imply(tag)
-        up = self.top()
-        hints = up.hints
-        if attributes and tag not in ("html", "body", "article", "main") and not (tag == "header" and up.content) and (word := _hint(tag, attributes, up.in_article)):
-            hints = (*hints, len(self.hinted))
+        up, hint, own_header = self.top(), self.top().hint, False
+        if attributes and tag not in ("html", "body", "article", "main") and not (tag == "header" and up.content):
+            word = _hint(tag, attributes, up.in_article)
+            own_header = tag == "header" and word is None and any(OWN & set(re.split(r"[\s_-]+", "".join(v).lower())) for _, *v in _ATTRIBUTE.findall(attributes))
+        else:
+            word = None
+        if word is None and tag == "form":
+            word = tag  # a form about the whole page is none
+        if word is not None:
+            self.above.append(hint)
+            hint = len(self.hinted)
             self.hinted.append(word)
-        outside = up.outside or tag in OUTSIDE or (tag == "header" and not up.content) or bool(attributes and _HIDDEN.search(attributes))
+        outside = up.outside or tag in OUTSIDE or (tag == "header" and not up.content and not own_header) or bool(attributes and _HIDDEN.search(attributes))
         content = up.content
         if tag in CONTENT:
             self.contents += 1
             content = self.contents
         if (tag in CONTENT or tag == "h1") and not outside:
-            self.about.append((tag, hints))
-        self.stack.append(_Open(tag, outside, up.silent or tag in SILENT, content, up.link or tag == "a", hints, up.in_article or tag == "article"))
+            self.about.append((tag, hint))
+        self.stack.append(_Open(tag, outside, up.silent or tag in SILENT, content, up.link or tag == "a", hint, up.in_article or tag == "article", up.title or tag == "h1"))
 
     def imply(self, tag: str) -> None:
         """A new paragraph, item or cell ends an open one of its kind, up to the next container."""
@@ -191,20 +208,33 @@ class _Reader:
             if self.stack[k].tag in CONTENT | {"body", "html"} and tag not in BLOCKS:
                 return
 
-    def hints_taken(self) -> set[int]:
-        """Hints that hold: not those about most of the page's prose, unless it is of the part itself.
-
-        It is the part's own if the word tells so (comments, say), or if articles are outside,
+    def inside(self, hints: list[int]) -> list[int]:
+        """How many of these places are inside each hinted element: elements stand after those about them, so one pass from the last sums up."""
+        n = [0] * len(self.hinted)
+        for k in hints:
+            if k >= 0:
+                n[k] += 1
+        for k in range(len(n) - 1, -1, -1):
+            if self.above[k] >= 0:
+                n[self.above[k]] += n[k]
+        return n
+
+    def hints_taken(self) -> list[bool]:
+        """For each hinted element whether its text is no article's, by its own hint or by one about it.
+
+        A hint holds, but not if it is about most of the page's prose, unless it is of the part itself:
+        it is the part's own if the word tells so (comments, say), or if articles are outside,
         but not if a main element or a first heading is inside.
         """
-        prose = [b.hints for b in self.blocks if not b.outside and b.link_share <= LINKS and b.words >= LONG and b.stop_share >= STOPS]
-        articles = [hints for tag, hints in self.about if tag in CONTENT]
-        taken = set()
+        prose = [b.hint for b in self.blocks if not b.outside and (b.in_article or b.link_share <= LINKS) and b.words >= LONG and b.stop_share >= STOPS]
+        articles = [k for tag, k in self.about if tag in CONTENT]
+        of_prose, of_articles, of_marks = self.inside(prose), self.inside(articles), self.inside([k for tag, k in self.about if tag != "article"])
+        taken = []
         for k, word in enumerate(self.hinted):
-            most = 2 * sum(k in hints for hints in prose) > len(prose)
-            whole = any(k in hints for tag, hints in self.about if tag != "article") or bool(articles) and all(k in hints for hints in articles)
-            if not (whole and (most or articles and not prose) or most and not articles and not PROSE.fullmatch(word)):
-                taken.add(k)
+            most = 2 * of_prose[k] > len(prose)
+            whole = of_marks[k] > 0 or bool(articles) and of_articles[k] == len(articles)
+            holds = not (whole and (most or articles and not prose) or most and not articles and not PROSE.fullmatch(word))
+            taken.append(holds or self.above[k] >= 0 and taken[self.above[k]])
         return taken
 
 
@@ -216,6 +246,9 @@ def read_blocks(page: str) -> list[Block]:
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
+            if m[0] == "<![CDATA[" and (end := page.find("]]>", at)) >= 0:
+                reader.text(html.escape(page[at:end]))
+                at = end + 3
             continue
         if m[1]:
             reader.close(tag)
@@ -229,15 +262,30 @@ def read_blocks(page: str) -> list[Block]:
     reader.flush()
     taken = reader.hints_taken()
     for block in reader.blocks:
-        block.outside = block.outside or any(k in taken for k in block.hints)
+        block.outside = block.outside or block.hint >= 0 and taken[block.hint]
     return reader.blocks
 
 
+def _in_link_list(blocks: list[Block], i: int) -> bool:
+    """Whether a block of links stands in a row of three or more."""
+    row = [0 <= j < len(blocks) and blocks[j].link_share > LINKS for j in range(i - 2, i + 3)]
+    return any(all(row[k : k + 3]) for k in range(3))
+
+
 def classify(blocks: list[Block]) -> list[Block]:
-    """Decide each block: first by its own figures, then short ones by their neighbours."""
-    for b in blocks:
-        if b.outside or b.link_share > LINKS:
+    """Decide each block: first by its own figures, then short ones by their neighbours.
+
+    Links tell nothing inside an article, and in a main element only where they stand in a
+    row. Where articles hold most of the page's prose, prose beside them is none of theirs (it may be
+    readers' comments under any name), but a first heading is.
+    """
+    prose = [b for b in blocks if not b.outside and b.words >= LONG and b.stop_share >= STOPS and (b.in_article or b.link_share <= LINKS)]
+    articles = 2 * sum(b.words for b in prose if b.in_article) > sum(b.words for b in prose)
+    for i, b in enumerate(blocks):
+        if b.outside or not b.in_article and b.link_share > LINKS and (not b.content or _in_link_list(blocks, i)):
             b.good = False
+        elif articles and not b.content:
+            b.good = b.title
         elif b.words >= LONG and b.stop_share >= STOPS:
             b.good = True
         elif not b.content and (b.words >= LONG or b.words >= SHORT and b.stop_share < STOPS):
@@ -257,7 +305,7 @@ def classify(blocks: list[Block]) -> list[Block]:
             near = [j for j in (before, after[i]) if j is not None and blocks[j].content == b.content and not blocks[j].outside]
             b.good = not near or any(known[j] for j in near if abs(i - j) == min(abs(i - k) for k in near))
         else:
-            near = [j for j in (before, after[i]) if j is not None]
+            near = [j for j in (None if b.title else before, after[i]) if j is not None]  # a title belongs to what follows
             b.good = bool(near) and all(known[j] for j in near)
     return blocks
 
