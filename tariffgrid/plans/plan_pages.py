@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tariffgrid.functions import amounts as A
 from tariffgrid.functions import text as X
+from tariffgrid.operators.labels import label_places
 from tariffgrid.operators.selection import with_width
 from tariffgrid.schema import as_plans
 
@@ -286,9 +287,9 @@ def _constants(spark: SparkSession, sources: tuple[PlanSource, ...]) -> DataFram
 def spec_windows(pages: DataFrame, specs: DataFrame, width: int = 700) -> DataFrame:
     """Windows of specs (slug, label pattern) in pages (source_id, text): each from its first match to the next spec's.
 
-    specs is a small fixed table and is joined to every page.
+    All labels are looked for in one pass over a page.
     """
-    found = pages.crossJoin(F.broadcast(specs)).withColumn("at", F.regexp_instr("text", F.col("label"))).where("at > 0")
+    found = label_places(pages, specs)
     wide = with_width(found, F.col("at"), width, "width", "source_id", ("at", "slug"), F.length("text") + 1)
     return wide.select("source_id", "slug", "at", F.substr("text", "at", "width").alias("window"))
 

@@ -16,6 +16,7 @@ from tariffgrid.operators import selection as S
 from tariffgrid.operators.paging import SortKey, next_page, page_index
 from tariffgrid.operators.search_index import search_index
 from tariffgrid.plans import fx, history
+from tariffgrid.plans.plan_pages import spec_windows
 from tariffgrid.session import new_table_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,3 +522,22 @@ def gate_on_write(t):
 def indexed_search(t):
     rows = t("part").select("p_partkey", "p_name", "p_brand")
     return search_index(rows, ("p_name", "p_brand"), new_table_path(rows.sparkSession)).search("Red W")
+
+
+#: Labels looked for in every document: words, and patterns.
+LABELS = {"and": " and ", "der": " der ", "license": "Licensed under", "line": "\n", "number": "[0-9]{3}", "que": "que[ .,]"}
+_LABEL_ROWS = ", ".join(f"('{slug}', {k})" for k, slug in enumerate(LABELS))
+
+
+@query(f"""
+WITH found AS (
+ SELECT doc_id, text, slug, CASE slug WHEN 'and' THEN strpos(text, ' and ') WHEN 'der' THEN strpos(text, ' der ') WHEN 'license' THEN strpos(text, 'Licensed under') WHEN 'line' THEN strpos(text, chr(10))
+  WHEN 'number' THEN coalesce(strpos(text, nullif(regexp_extract(text, '[0-9]{{3}}'), '')), 0) ELSE coalesce(strpos(text, nullif(regexp_extract(text, 'que[ .,]'), '')), 0) END AS at_
+ FROM documents, (VALUES {_LABEL_ROWS}) v(slug, k)
+), wide AS (
+ SELECT *, least(coalesce(lead(at_) OVER (PARTITION BY doc_id ORDER BY at_, slug) - at_, length(text) + 1 - at_, 700), 700) AS w FROM found WHERE at_ > 0
+) SELECT doc_id::VARCHAR AS source_id, slug, at_::INT AS at, substr(text, at_, w) AS said FROM wide""")
+def label_windows(t):
+    pages = t("documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
+    specs = pages.sparkSession.createDataFrame(list(LABELS.items()), "slug string, label string")
+    return spec_windows(pages, specs).select("source_id", "slug", "at", F.col("window").alias("said"))

@@ -1,5 +1,10 @@
+import random
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
+from tariffgrid.operators.labels import anchor, label_places
 from tariffgrid.plans import offer_pages, plan_pages
 from tariffgrid.sources.html_tables import page_tables
 
@@ -135,6 +140,26 @@ def test_spec_windows_follow_the_page(spark):
     assert {r["slug"]: r["window"] for r in plan_pages.spec_windows(page, specs).collect()} == {"b": "B $2 and ", "a": "A $1"}
 
 
+def test_many_labels_are_found_as_by_their_patterns(spark):
+    rng = random.Random(4)
+    plain = ["Pro", "Pro Plus", "Plus", "通义", "a.b", "o P", "Max 20x", "MAX", "x"]
+    patterns = [r"Pro\s+Plus", r"Max\s*\d+x", r"(?i)pro", r"Ultra|Max", r"[A-Z]{3}", r"\d+", r"P(ro)?", r"us$", r"\$ ?\d+", r"no (such )?label"]
+    texts = [None, ""] + ["".join(rng.choice([*plain, " ", " ", "$12", "Max 5x", "z"]) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    pages = spark.createDataFrame(list(enumerate(texts)), "source_id int, text string").withColumn("source_id", F.col("source_id").cast("string"))
+    labels = [re.escape(x) if x == "a.b" else x for x in plain] + patterns + ["Pro"]
+    specs = spark.createDataFrame([(f"s{k}", x) for k, x in enumerate(labels)], "slug string, label string")
+    want = pages.crossJoin(specs).withColumn("at", F.regexp_instr("text", F.col("label"))).where("at > 0")
+    for a_pass in (50_000, 4):
+        got = label_places(pages, specs, a_pass)
+        assert {tuple(r) for r in got.select("source_id", "slug", "at").collect()} == {tuple(r) for r in want.select("source_id", "slug", "at").collect()}
+    assert label_places(pages, specs.limit(0)).count() == 0
+    assert label_places(spark.createDataFrame([("a", "🙂 Pro")], "source_id string, text string"), specs.where("slug = 's0'")).first()["at"] == 3  # characters, as substr counts them
+
+
+def test_anchors():
+    assert anchor("Pro Plus") == ("Pro Plus", True) and anchor(r"Pro\s+Plus") == ("Plus", False) and anchor("(?i)pro") is None and anchor("a|b") is None and anchor("(") is None
+
+
 def test_registry_is_disjoint():
     verified, every = plan_pages.registry(), plan_pages.registry(True)
     assert len(verified) == 12 and sum(s.minimum for s in verified) == 33
