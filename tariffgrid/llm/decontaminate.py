@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,8 +21,10 @@ BLOCK, BLOCKS = 16, 3
 RANK, OVERSAMPLE = 96, 16
 #: Documents (whole texts) that the latent space is fitted on, besides every item.
 MAX_FIT_DOCS = 10_000
-#: Items searched for in one pass over the corpus: bounds what is broadcast.
-ITEMS_A_PASS = 5_000
+#: Items searched for in one pass over the corpus, and about the bytes of their texts: bounds what is broadcast.
+ITEMS_A_PASS, BYTES_A_PASS = 5_000, 16 << 20
+#: Different words that a task counts before it passes them on.
+WORDS_HELD = 200_000
 #: A term in more than this share of all documents says little about a passage, unless it
 #: is among so many rarest ones of an item (an item itself may be in many documents).
 MAX_DF, RAREST = 0.2, 16
@@ -191,6 +194,50 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
     return int(df[-1]), df[:-1]
 
 
+def _words_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = {w for text in batch.column(0).to_pylist() for w in words_of(text or "")}
+        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary())], names=["word"])
+
+
+def _documents_with(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, documents with it) of parts of the input, and all documents under a null word."""
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([*held, None], pa.binary()), pa.array([*held.values(), n], pa.int64())], names=["word", "n"])
+        held.clear()
+        return out
+
+    held, n = Counter(), 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            n += 1
+            held.update({w for _, words in pieces_of(text) for w in words})
+            if len(held) > WORDS_HELD:
+                yield flush()
+                n = 0
+    yield flush()
+
+
+def all_frequencies(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(word, n), stored: in how many documents each word of any item is, and under a null word how many there are; one scan, whatever the number of items.
+
+    Words are summed by task, dealt by hash and matched with those of the items; nothing is broadcast.
+    """
+    wanted = items.select("text").mapInArrow(_words_of_items, "word binary").distinct()
+    counts = docs.select("text").mapInArrow(_documents_with, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(counts.join(wanted.withColumnRenamed("word", "of"), F.col("word") == F.col("of"), "left").where("word IS NULL OR of IS NOT NULL").select("word", "n"))
+
+
+def frequencies_of(counts: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
+    """Of all_frequencies() those of one pass's vocabulary, as document_frequencies() gives them."""
+    words = counts.sparkSession.createDataFrame([(w, k) for w, k in vocabulary.items()], "word binary, term long")
+    df = np.zeros(len(vocabulary), np.int64)
+    for r in counts.join(F.broadcast(words), "word").select("term", "n").collect():  # as many rows as the pass has words
+        df[r["term"]] = r["n"]
+    return counts.where("word IS NULL").first()["n"], df
+
+
 def _weights(items: Items, vocabulary: dict[bytes, int], n_docs: int, df: np.ndarray) -> np.ndarray:
     """Inverse document frequency of each term, 0 for those that are not looked at."""
     rare = df <= MAX_DF * n_docs
@@ -231,21 +278,24 @@ def _sample_gram(sample: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarra
     return out
 
 
-def latent_basis(docs: DataFrame, items: Items, vocabulary: dict[bytes, int], idf: np.ndarray, n_docs: int, rank: int, max_docs: int) -> np.ndarray:
+def stored_sample(docs: DataFrame, n_docs: int, max_docs: int) -> DataFrame:
+    """About `max_docs` distinct texts at most, chosen by a hash of the text, written once."""
+    sample = docs.where(F.col("text").isNotNull())
+    if n_docs > max_docs:
+        sample = sample.where(unit_hash(F.col("text")) < max_docs / n_docs)
+    return stored(sample.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")).select("text"))
+
+
+def latent_basis(sample: DataFrame, items: Items, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
     """Right singular vectors (terms x rank) of TF-IDF passages over the roots of their values, by randomised range finding.
 
     Divided by the roots of the singular values, directions that all passages share count no more than
     those that tell them apart.
 
-    Passages of about `max_docs` distinct texts at most, chosen by a hash of the text, and
-    of every item, which together weigh as much as the sample. The sample is written once
-    and read by both rounds of A'(A x): one finds the range of a random matrix, the next
-    gives the Rayleigh-Ritz values in it.
+    Passages of the sample (text), and of every item, which together weigh as much as the
+    sample. The sample is read by both rounds of A'(A x): one finds the range of a random
+    matrix, the next gives the Rayleigh-Ritz values in it.
     """
-    sample = docs.where(F.col("text").isNotNull())
-    if n_docs > max_docs:
-        sample = sample.where(unit_hash(F.col("text")) < max_docs / n_docs)
-    sample = stored(sample.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")).select("text"))
     v = len(vocabulary)
     width = min(v, rank + OVERSAMPLE)
     lists = [_ids(w, vocabulary) for w in items.words]
@@ -260,7 +310,6 @@ def latent_basis(docs: DataFrame, items: Items, vocabulary: dict[bytes, int], id
         z = corpus + own * (np.linalg.norm(corpus) / max(np.linalg.norm(own), 1e-9) if np.linalg.norm(corpus) > 0 else 1.0)
         if not last:
             basis = np.linalg.qr(z)[0].astype(np.float32)
-    drop_stored(sample)
     small = basis.T.astype(np.float64) @ z
     values, vectors = np.linalg.eigh((small + small.T) / 2)
     first = np.argsort(-values)[:rank]
@@ -421,7 +470,8 @@ def find_leaks(
     """One row for each document and item found in it: ids, cosine, shares in order, first word (from 0) of what is found.
 
     The benchmark is the query set; it is searched for in the whole of docs, in passes of
-    a bounded number of items. Terms are weighed by their frequency in all documents.
+    a bounded number of items and bytes, a scan each; besides these the corpus is read once for the frequencies
+    of all terms, by which they are weighed, and once for the sample that the space is fitted on.
     Passages whose latent vector is near to one of an item's are candidates, and so are all
     places with enough of an item's rarest words, by which no occurrence is left out; then
     the longest common subsequence of words must hold most of the item, or half of it and
@@ -437,22 +487,26 @@ def find_leaks(
     wanted = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
     whole = wanted.schema[item_col].dataType.typeName() in ("byte", "short", "integer", "long")
     wanted = wanted.select(F.col(item_col).cast("long" if whole else "string").alias("id"), F.col(item_text_col).cast("string").alias("text"), (F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
-    passes = -(-wanted.count() // ITEMS_A_PASS)
+    told = wanted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    passes = max(-(-told["n"] // ITEMS_A_PASS), -(-told["bytes"] // BYTES_A_PASS))
     kinds = base.select(F.col("id").alias("doc_id")).schema.add("item_id", wanted.schema["id"].dataType)
     for name in _FOUND:
         kinds = kinds.add(name, "long" if name == "first_word" else "double")
-    out = spark.createDataFrame([], kinds)
+    out, sample = spark.createDataFrame([], kinds), None
+    counts = all_frequencies(base, wanted) if passes > 1 else None
     for k in range(passes):
         part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k)
         items = Items.of(part.orderBy("id", "text").collect(), answer_col)
         vocabulary = items.vocabulary()
         if not vocabulary:
             continue
-        n_docs, df = document_frequencies(base, vocabulary)
+        n_docs, df = document_frequencies(base, vocabulary) if counts is None else frequencies_of(counts, vocabulary)
         idf = _weights(items, vocabulary, n_docs, df)
-        basis = latent_basis(base, items, vocabulary, idf, n_docs, rank, max_fit_docs)
+        sample = stored_sample(base, n_docs, max_fit_docs) if sample is None else sample
+        basis = latent_basis(sample, items, vocabulary, idf, rank)
         sent = spark.sparkContext.broadcast((items, vocabulary, idf.astype(np.float32)[:, None] * basis))
         out = out.unionByName(base.mapInArrow(_search(sent, (cosine, order, order_with_answer, answer), df), kinds))
+    drop_stored(*(t for t in (sample, counts) if t is not None))
     return out.withColumnRenamed("doc_id", id_col).withColumnRenamed("item_id", item_col)
 
 

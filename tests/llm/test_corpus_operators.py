@@ -348,6 +348,32 @@ def test_a_long_item_across_pieces_and_its_place(spark, monkeypatch):
     assert leaks.last_start([b"a", b"b"], [b"a", b"x", b"a", b"y", b"b", b"z"]) == 2
 
 
+def test_passes_share_one_scan_of_frequencies_and_one_of_the_sample(spark, monkeypatch):
+    table, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = lambda df: {(r["doc_id"], r["item_id"], r["order_share"] if "order_share" in df.columns else None) for r in df.collect()}
+    whole = rows(leaks.find_leaks(table, items))
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    watched = table.withColumn("text", F.udf(seen).asNondeterministic()("text"))
+    monkeypatch.setattr(leaks, "BYTES_A_PASS", 3000)
+    monkeypatch.setattr(leaks, "ITEMS_A_PASS", 15)
+    bytes_, n = items.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    passes = max(-(-bytes_ // 3000), -(-n // 15))
+    monkeypatch.setattr(leaks, "WORDS_HELD", 500)  # words are passed on several times
+    found = leaks.find_leaks(watched, items)
+    assert passes > 2 and read.value == 2 * table.count()
+    assert rows(found) == whole and read.value == (2 + passes) * table.count() and whole
+    counts = leaks.all_frequencies(table, items)
+    vocabulary = {w: k for k, w in enumerate(sorted({w for r in items.collect() for w in leaks.words_of(r["text"])}))}
+    n0, df0 = leaks.document_frequencies(table, vocabulary)
+    n1, df1 = leaks.frequencies_of(counts, vocabulary)
+    assert n0 == n1 and df0.tolist() == df1.tolist()
+
+
 def test_leak_edges(spark):
     benchmark = spark.createDataFrame([(1, "some words of an item that is here for the test to find them all."), (2, None), (3, ""), (None, "x y z"), (1, "some words")], "item_id long, text string")
     text = "Before. Some words of an item, that is here for the test to find them all; after."
