@@ -48,6 +48,11 @@ def with_rate(rows: DataFrame, rates: DataFrame, currency: str = "currency") ->
     return plain.join(few, F.upper(currency) == F.col("rate_of"), "left").drop("rate_of")
 
 
+def reference_date(rows: DataFrame) -> DataFrame:
+    """One row: the newest date of the rates that the rows' comparison prices rest on, and of how many rows; null and 0 if none has one."""
+    return rows.agg(F.max("comparison_fx_date").alias("reference_date"), F.count("comparison_fx_date").alias("n_rows"))
+
+
 def compare_offers(offers: DataFrame, rates: DataFrame) -> DataFrame:
     """Offers with their four prices in the comparison currency; the quoted prices stay as they are."""
     rated = with_rate(offers, rates)

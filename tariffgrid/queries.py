@@ -541,3 +541,11 @@ def label_windows(t):
     pages = t("documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
     specs = pages.sparkSession.createDataFrame(list(LABELS.items()), "slug string, label string")
     return spec_windows(pages, specs).select("source_id", "slug", "at", F.col("window").alias("said"))
+
+
+@query(f"""
+SELECT max(CASE WHEN r.rate > 0 THEN '2026-01-02' END) AS reference_date, count(CASE WHEN r.rate > 0 THEN 1 END) AS n_rows
+FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (VALUES {_RATE_ROWS}) r(currency, rate) ON upper(n_name) = r.currency""")
+def rates_reference_date(t):
+    suppliers = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+    return fx.reference_date(fx.with_rate(suppliers, _rates(suppliers), "n_name"))

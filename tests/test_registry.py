@@ -207,3 +207,30 @@ def test_a_lock_is_held_released_and_taken_over(spark, tmp_path):
     files.replace(at, "half")
     with pytest.raises(RuntimeError), shared.single_writer(files, at):
         pass
+
+
+def test_command_line_fetches_everything(spark, server, tmp_path, monkeypatch, capsys):
+    """`run` without files and pages: documents and registry pages come by address, and land under the run's id."""
+    from dataclasses import replace
+
+    from tariffgrid import cli
+    from tariffgrid.sources import fetch
+
+    at, asked = server
+    (only,) = (s for s in plan_pages.SOURCES if s.source_id == "cursor_plans")
+    monkeypatch.setattr(plan_pages, "registry", lambda experimental=False: (replace(only, source_url=f"{at}/cursor"),))
+    documents = {"dir": {"openai": {"models": {"m": {"name": "M", "cost": {"input": 1}}}}}, "fx": {"base": "USD", "date": "2026-01-05", "rates": {"CNY": 8}}}
+    served = lambda config, folder: fetch.land_documents(config, folder, lambda url, timeout: fetch.Fetched(json.dumps(documents[url]).encode(), 200, {}))
+    monkeypatch.setattr(cli, "land_documents", served)
+    for key, value in {"DATA_DIR": tmp_path / "data", "PUBLIC_PATH": tmp_path / "public" / "catalog.json", "DIRECTORY_URL": "dir", "FX_URL": "fx", "MINIMUM_OFFERS": 1, "MINIMUM_PLANS": 1}.items():
+        monkeypatch.setenv(f"TARIFFGRID_{key}", str(value))
+    assert cli.main(["run"]) == 0
+    told = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert told["status"] == "published" and told["sources"]["cursor_plans"]["count"] == 3 and asked["/cursor"] == 1
+    landed = landed_pages(spark, str(tmp_path / "data" / "raw" / "pages"))
+    assert [(r["run_id"], r["source_id"]) for r in landed.collect()] == [(told["run_id"], "cursor_plans")]
+    assert (tmp_path / "data" / "raw" / "documents" / f"run_id={told['run_id']}" / "fx.json.gz").is_file()
+    assert cli.main(["run", "--models-only", "--dry-run"]) == 0 and asked["/cursor"] == 1  # no pages are needed
+    assert cli.main(["probe-plans"]) == 0 and asked["/cursor"] == 2
+    probed = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert probed["status"] == "healthy" and probed["n_rows"] == 3
