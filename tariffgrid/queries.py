@@ -18,6 +18,7 @@ from tariffgrid.operators.search_index import search_index
 from tariffgrid.plans import fx, history
 from tariffgrid.plans.plan_pages import spec_windows
 from tariffgrid.session import new_table_path
+from tariffgrid.sources.page_parts import page_parts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -549,3 +550,11 @@ FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (VALUES {_RATE_
 def rates_reference_date(t):
     suppliers = t("supplier").join(F.broadcast(t("nation")), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
     return fx.reference_date(fx.with_rate(suppliers, _rates(suppliers), "n_name"))
+
+
+@query(f"""
+SELECT page_id, v.text AS text, len(h.said)::BIGINT AS n_headings, trim(regexp_replace({_ENTITY_SQL}, '\\s+', ' ', 'g')) AS first_heading
+FROM ({_VISIBLE_SQL}) v JOIN (SELECT page_id, regexp_extract_all(html, '(?s)<h[1-6]>(.*?)</h[1-6]>', 1) AS said, regexp_replace(said[1], '<[^>]+>', ' ', 'g') AS x FROM pages) h USING (page_id)""")
+def page_parts_of(t):
+    parts = page_parts(t("pages").select(F.col("page_id").alias("source_id"), F.col("html").alias("body")))
+    return parts.select(F.col("source_id").cast("bigint").alias("page_id"), "text", F.size("headings").cast("bigint").alias("n_headings"), F.try_element_at("headings", F.lit(1))["text"].alias("first_heading"))
