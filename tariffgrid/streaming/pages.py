@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tariffgrid.plans.history import History
 from tariffgrid.sources.landing import file_pages, snapshot_rows
