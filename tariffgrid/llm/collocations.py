@@ -128,7 +128,7 @@ def _shards(keys: NgramKeys, part_bits: int, within: tuple[NgramKeys, int, Broad
         parts = np.union1d(starts, starts + 1)
         at = part_keys.quotient(part_keys.permute(part_keys.pack(ids, parts)), bits)
         on = np.zeros(len(ids) + 1, bool)
-        on[parts] = (sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1
+        on[parts] = (sent.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
         return starts[on[starts] & on[starts + 1]]
 
     def blocks(limbs, counts) -> pa.RecordBatch:
@@ -213,10 +213,11 @@ def _occupied(frequent: DataFrame, keys: NgramKeys, n_frequent: int, most_bits:
     bits = min(most_bits, keys.widths[0], max(10, n_frequent.bit_length() + 6))
     shift = min(most_bits, keys.widths[0]) - bits
     slot = F.shiftright("slot", shift)
-    by_byte = frequent.groupBy(F.shiftright(slot, 3).alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))).alias("on"))
-    got = by_byte.toArrow()  # as many rows as the map has bytes, at most
-    bitmap = np.zeros((1 << bits) // 8, np.uint8)
-    bitmap[got["at"].to_numpy()] = got["on"].to_numpy()
+    one = F.lit(1).cast("long")
+    by_word = frequent.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.call_function("shiftleft", one, (slot % 64).cast("int"))).alias("on"))
+    got = by_word.toArrow()  # a row for 64 bits of the map: a million of them at most
+    bitmap = np.zeros(max(1, (1 << bits) // 64), np.uint64)
+    bitmap[got["at"].to_numpy()] = got["on"].to_numpy().view(np.uint64)
     return keys, bits, frequent.sparkSession.sparkContext.broadcast(bitmap)
 
 
@@ -245,7 +246,8 @@ def collocations(
 
     Defined results: a null text is an empty one; a null language is `und`; all rows
     count, repeated ones too; ties of score and count go by the phrase's bytes; a table
-    without frequent phrases gives no rows; other columns are ignored.
+    without frequent phrases gives no rows; other columns are ignored. The
+    result is a table in the shared folder; those it was made from are deleted.
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -269,8 +271,9 @@ def collocations(
             break
         if n < longest:
             within = _occupied(found, NgramKeys(n, bits), n_found, map_bits)
-    drop_stored(encoded)
-    return _ranked(levels, vocabulary, sizes, few, top)
+    told = stored(_ranked(levels, vocabulary, sizes, few, top))
+    drop_stored(encoded, words, vocabulary, *levels)
+    return told
 
 
 def _ranked(levels: list[DataFrame], vocabulary: DataFrame, sizes: DataFrame, few: bool, top: int) -> DataFrame:

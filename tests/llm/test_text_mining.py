@@ -227,6 +227,11 @@ def test_small_buffers_spill_filters(monkeypatch):
     assert got == {k: c for k, c in want.items() if c >= 2}
 
 
+def test_phrases_of_one_word(spark):
+    rows = [(1, "w " * 300, "en", "s"), (2, "w w. x", None, "s")]
+    assert {tuple(r) for r in col.collocations(table(spark, rows)).collect()} == plain_phrases(rows) != set()
+
+
 def test_no_phrases(spark):
     for rows in ([], [(1, None, None, None)], [(1, "a b c", "en", "s")]):
         assert col.collocations(table(spark, rows)).collect() == []
