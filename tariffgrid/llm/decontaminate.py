@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,6 @@ from tariffgrid.llm.common import drop_stored, prepare, read_table, stored, unit
 BLOCK, BLOCKS = 16, 3
 #: Dimensions of the latent space, and more of them while it is fitted.
 RANK, OVERSAMPLE = 96, 16
-#: Documents (whole texts) that the latent space is fitted on, besides every item.
-MAX_FIT_DOCS = 10_000
 #: Items searched for in one pass over the corpus, and about the bytes of their texts: bounds what is broadcast.
 ITEMS_A_PASS, BYTES_A_PASS = 5_000, 16 << 20
 #: Different words that a task counts before it passes them on.
@@ -33,6 +32,9 @@ _TEXTS_AT_ONCE = 64
 #: Terms of passages that are weighted, and cosines that are computed, in one product:
 #: bounds a task's memory, however long the texts and many the items are.
 _TERMS_AT_ONCE, _COSINES_AT_ONCE = 1 << 15, 1 << 22
+#: Words of texts whose passages are fitted together; terms of a row up to which rows are summed side by side; and
+#: terms of a part of the fit's sums, and tasks whose parts are added first.
+_FIT_WORDS, _TERMS_SIDE_BY_SIDE, _PART_TERMS, _PART_TASKS = 1 << 18, 64, 128, 32
 #: Share of an item's words that must be among its rarest ones in a text, besides those that
 #: can be missing, for the word-order check; and words of items that are looked up at once.
 RARE, _PLACES_AT_ONCE = 0.2, 1 << 20
@@ -148,9 +150,21 @@ def _project(row: np.ndarray, term: np.ndarray, value: np.ndarray | None, vector
     """Sums of the terms' vectors, times value if given, of each row; row is in order."""
     out = np.zeros((n, vectors.shape[1]), np.float32)
     for run in _runs(row):
-        r, weighted = row[run], vectors[term[run]]
+        r, t, x = row[run], term[run], None if value is None else value[run, None]
         first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        out[r[first]] = np.add.reduceat(weighted if value is None else value[run, None] * weighted, first, axis=0)
+        count = np.diff(np.r_[first, len(r)])
+        first, count = first[order := np.argsort(-count, kind="stable")], count[order]
+        long = int(np.searchsorted(-count, -_TERMS_SIDE_BY_SIDE, "left"))
+        sums = np.zeros((len(first), vectors.shape[1]), np.float32)
+        for k in range(long):
+            part = slice(first[k], first[k] + count[k])
+            weighted = vectors.take(t[part], axis=0)
+            sums[k] = (weighted if x is None else x[part] * weighted).sum(axis=0)
+        for k in range(int(count[long]) if long < len(count) else 0):  # the k-th terms of all rows that have so many
+            at = first[long : int(np.searchsorted(-count, -k, "left"))] + k
+            weighted = vectors.take(t[at], axis=0)
+            sums[long : long + len(at)] += weighted if x is None else x[at] * weighted
+        out[r[first]] = sums
     return out
 
 
@@ -167,9 +181,30 @@ def _gram_times(row, term, value, basis) -> np.ndarray:
     return out
 
 
+def _add_gram(lists: list[np.ndarray], vectors: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'(A vectors) to out, with A the term counts of all passages of the texts (terms, -1 for none).
+
+    A passage is the sum of its blocks, so that each word is summed once and passages are sliding sums.
+    """
+    blocks = np.array([max(BLOCKS, -(-len(x) // BLOCK)) for x in lists])
+    first_block, n = np.cumsum(blocks) - blocks, int(blocks.sum())
+    at = [np.flatnonzero(x >= 0) for x in lists]
+    block = np.concatenate([a // BLOCK + f for a, f in zip(at, first_block)])
+    term = np.concatenate([x[a] for x, a in zip(lists, at)])
+    sums = _project(block, term, None, vectors, n + BLOCKS - 1)
+    passages = sum(sums[k : k + n] for k in range(BLOCKS))
+    for k in range(1, BLOCKS):
+        passages[first_block + blocks - k] = 0  # these would reach into the next text
+    back = np.zeros_like(sums)
+    for k in range(BLOCKS):
+        back[k : k + n] += passages
+    order = np.argsort(term, kind="stable")
+    used, row = np.unique(term[order], return_inverse=True)
+    out[used] += _project(row, block[order], None, back, len(used))
+
+
 def _ids(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
-    get = vocabulary.get
-    return np.array([get(w, -1) for w in words], np.int64)
+    return np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
 
 def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
@@ -181,8 +216,7 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                seen = [np.unique(_ids(words, known)) for _, words in pieces_of(text)]
-                total[np.unique(np.concatenate(seen)) if len(seen) > 1 else seen[0]] += 1  # -1 is the last place
+                total[_ids(list({w for _, words in pieces_of(text) for w in words}), known)] += 1  # -1 is the last place
         total[-1] = n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["term", "n"])
@@ -247,38 +281,48 @@ def _weights(items: Items, vocabulary: dict[bytes, int], n_docs: int, df: np.nda
     return np.where(rare, np.log((n_docs + 1.0) / (df + 1.0)) + 0.1, 0.0)
 
 
-def _sample_gram(sample: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    """A'(A basis) over the passages of the sampled documents: partial products by task, added by blocks of terms on Spark."""
-    sent = sample.sparkSession.sparkContext.broadcast((vocabulary, idf.astype(np.float32), basis.astype(np.float32)))
-    step = 512
+def _parts_added(table: pa.Table) -> pa.Table:
+    total = np.zeros(len(table.column("part")[0].as_buffer()) // 4)
+    for part in table.column("part"):
+        total += np.frombuffer(part.as_buffer(), np.float32)
+    return pa.table({"block": table.column("block")[:1], "tasks": table.column("tasks")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _corpus_gram(texts: DataFrame, vocabulary: dict[bytes, int], idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A'(A basis) over the passages of all texts: partial products by task, added on Spark by blocks of terms, of so many tasks at first."""
+    weight = idf.astype(np.float32)
+    sent = texts.sparkSession.sparkContext.broadcast((vocabulary, np.append(weight > 0, False), weight[:, None] * basis))
     width = basis.shape[1]
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weight, omega = sent.value
-        out = np.zeros(omega.shape, np.float64)
+        known, useful, weighted = sent.value
+        out, lists, held = np.zeros(weighted.shape), [], 0
         for batch in batches:
-            for k in range(0, batch.num_rows, _TEXTS_AT_ONCE):
-                lists = [_ids(words, known) for text in batch.column(0).slice(k, _TEXTS_AT_ONCE).to_pylist() for _, words in pieces_of(text)]
-                lists = [np.where(x >= 0, np.where(weight[x] > 0, x, -1), -1) for x in lists]
-                row, term, tf, _ = _tf_rows(lists, len(known))
-                out += _gram_times(row, term, tf * weight[term], omega)
-        blocks = range(0, len(out), step)
-        yield pa.RecordBatch.from_arrays([pa.array([k // step for k in blocks], pa.int64()), pa.array([out[k : k + step].tobytes() for k in blocks], pa.binary())], names=["block", "part"])
-
-    def added(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p) for p in table.column("part").to_pylist()]
-        return pa.table({"block": table.column("block")[:1], "part": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary())})
-
-    schema = "block long, part binary"
-    rows = sample.mapInArrow(partial, schema).groupBy("block").applyInArrow(added, schema).collect()
+            for text in batch.column(0):
+                for _, words in pieces_of(text.as_py()):
+                    ids = _ids(words, known)
+                    lists.append(np.where(useful[ids], ids, -1))
+                    held += len(ids)
+                    if len(lists) == _TEXTS_AT_ONCE or held > _FIT_WORDS:
+                        _add_gram(lists, weighted, out)
+                        lists, held = [], 0
+        if lists:
+            _add_gram(lists, weighted, out)
+        if out.any():
+            starts = range(0, len(out), _PART_TERMS)
+            yield pa.RecordBatch.from_arrays([pa.array([k // _PART_TERMS for k in starts], pa.int64()), pa.array([out[k : k + _PART_TERMS].astype(np.float32).tobytes() for k in starts], pa.binary())], names=["block", "part"])
+
+    schema = "block long, tasks int, part binary"
+    parts = texts.mapInArrow(partial, "block long, part binary").select("block", F.floor(F.spark_partition_id() / _PART_TASKS).cast("int").alias("tasks"), "part")
+    some = parts.groupBy("block", "tasks").applyInArrow(_parts_added, schema)
     out = np.zeros(basis.shape)
-    for r in rows:
-        part = np.frombuffer(r["part"]).reshape(-1, width)
-        out[r["block"] * step : r["block"] * step + len(part)] = part
-    return out
+    for r in some.groupBy("block").applyInArrow(_parts_added, schema).collect():  # as many rows as there are blocks of terms
+        part = np.frombuffer(r["part"], np.float32).reshape(-1, width)
+        out[r["block"] * _PART_TERMS : r["block"] * _PART_TERMS + len(part)] = part
+    return out * weight[:, None]
 
 
-def stored_sample(docs: DataFrame, n_docs: int, max_docs: int) -> DataFrame:
+def bounded_sample(docs: DataFrame, n_docs: int, max_docs: int) -> DataFrame:
     """About `max_docs` distinct texts at most, chosen by a hash of the text, written once."""
     sample = docs.where(F.col("text").isNotNull())
     if n_docs > max_docs:
@@ -286,35 +330,34 @@ def stored_sample(docs: DataFrame, n_docs: int, max_docs: int) -> DataFrame:
     return stored(sample.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text")).select("text"))
 
 
-def latent_basis(sample: DataFrame, items: Items, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
-    """Right singular vectors (terms x rank) of TF-IDF passages over the roots of their values, by randomised range finding.
+def latent_basis(texts: DataFrame, items: Items, vocabulary: dict[bytes, int], idf: np.ndarray, rank: int) -> np.ndarray:
+    """Right singular vectors (terms x rank) of TF-IDF passages over the roots of their values, by a randomised Nystroem factorisation.
 
     Divided by the roots of the singular values, directions that all passages share count no more than
     those that tell them apart.
 
-    Passages of the sample (text), and of every item, which together weigh as much as the
-    sample. The sample is read by both rounds of A'(A x): one finds the range of a random
-    matrix, the next gives the Rayleigh-Ritz values in it.
+    Passages of all texts (column text), and of every item, which together weigh as much as
+    the texts. These are read once, for the product z = A'(A x) with a random x: A'A is
+    about z (x'z)^-1 z', exactly so if there are no more terms than columns of x.
     """
     v = len(vocabulary)
     width = min(v, rank + OVERSAMPLE)
     lists = [_ids(w, vocabulary) for w in items.words]
     lists = [np.where(x >= 0, np.where(idf[x] > 0, x, -1), -1) for x in lists]
     row, term, tf, _ = _tf_rows(lists, v)
-    value = tf * idf[term].astype(np.float32)
-
-    basis = np.random.default_rng(7).standard_normal((v, width)).astype(np.float32)
-    for last in (False, True):
-        corpus = _sample_gram(sample, vocabulary, idf, basis)
-        own = _gram_times(row, term, value, basis).astype(np.float64)
-        z = corpus + own * (np.linalg.norm(corpus) / max(np.linalg.norm(own), 1e-9) if np.linalg.norm(corpus) > 0 else 1.0)
-        if not last:
-            basis = np.linalg.qr(z)[0].astype(np.float32)
+
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((v, width)))[0].astype(np.float32)
+    corpus = _corpus_gram(texts, vocabulary, idf, basis)
+    own = _gram_times(row, term, tf * idf[term].astype(np.float32), basis).astype(np.float64)
+    z = corpus + own * (np.linalg.norm(corpus) / max(np.linalg.norm(own), 1e-9) if np.linalg.norm(corpus) > 0 else 1.0)
     small = basis.T.astype(np.float64) @ z
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    first = np.argsort(-values)[:rank]
-    scale = np.maximum(values[first], max(values.max(), 1e-9) * 1e-6) ** 0.25  # values are squares
-    return (basis @ (vectors[:, first] / scale)).astype(np.float32)
+    kept = values > max(values.max(), 1e-9) * 1e-5  # what is less may be rounding
+    if not kept.any():
+        return np.zeros((v, 1), np.float32)
+    left, roots, _ = np.linalg.svd(z @ (vectors[:, kept] / np.sqrt(values[kept])), full_matrices=False)
+    scale = np.sqrt(np.maximum(roots[:rank], roots.max() * 1e-3))  # roots are singular values of A
+    return (left[:, :rank] / scale).astype(np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -465,13 +508,14 @@ class Search:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None,
-    rank: int = RANK, max_fit_docs: int = MAX_FIT_DOCS, cosine: float = COSINE, order: float = ORDER, order_with_answer: float = ORDER_WITH_ANSWER, answer: float = ANSWER,
+    rank: int = RANK, max_fit_docs: int | None = None, cosine: float = COSINE, order: float = ORDER, order_with_answer: float = ORDER_WITH_ANSWER, answer: float = ANSWER,
 ) -> DataFrame:
     """One row for each document and item found in it: ids, cosine, shares in order, first word (from 0) of what is found.
 
     The benchmark is the query set; it is searched for in the whole of docs, in passes of
     a bounded number of items and bytes, a scan each; besides these the corpus is read once for the frequencies
-    of all terms, by which they are weighed, and once for the sample that the space is fitted on.
+    of all terms, by which they are weighed, and once for the texts that the space is fitted on: all
+    of them (stored first if there are several passes), unless max_fit_docs says about how many distinct ones are enough.
     Passages whose latent vector is near to one of an item's are candidates, and so are all
     places with enough of an item's rarest words, by which no occurrence is left out; then
     the longest common subsequence of words must hold most of the item, or half of it and
@@ -492,8 +536,10 @@ def find_leaks(
     kinds = base.select(F.col("id").alias("doc_id")).schema.add("item_id", wanted.schema["id"].dataType)
     for name in _FOUND:
         kinds = kinds.add(name, "long" if name == "first_word" else "double")
-    out, sample = spark.createDataFrame([], kinds), None
+    out, texts, written = spark.createDataFrame([], kinds), None, []
     counts = all_frequencies(base, wanted) if passes > 1 else None
+    if counts is not None:
+        written.append(counts)
     for k in range(passes):
         part = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("id", "text"), F.lit(passes)) == k)
         items = Items.of(part.orderBy("id", "text").collect(), answer_col)
@@ -502,11 +548,15 @@ def find_leaks(
             continue
         n_docs, df = document_frequencies(base, vocabulary) if counts is None else frequencies_of(counts, vocabulary)
         idf = _weights(items, vocabulary, n_docs, df)
-        sample = stored_sample(base, n_docs, max_fit_docs) if sample is None else sample
-        basis = latent_basis(sample, items, vocabulary, idf, rank)
+        if texts is None:
+            texts = base.select("text")
+            if max_fit_docs is not None or passes > 1:
+                texts = stored(texts) if max_fit_docs is None else bounded_sample(base, n_docs, max_fit_docs)
+                written.append(texts)
+        basis = latent_basis(texts, items, vocabulary, idf, rank)
         sent = spark.sparkContext.broadcast((items, vocabulary, idf.astype(np.float32)[:, None] * basis))
         out = out.unionByName(base.mapInArrow(_search(sent, (cosine, order, order_with_answer, answer), df), kinds))
-    drop_stored(*(t for t in (sample, counts) if t is not None))
+    drop_stored(*written)
     return out.withColumnRenamed("doc_id", id_col).withColumnRenamed("item_id", item_col)
 
 

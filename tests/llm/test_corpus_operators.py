@@ -374,6 +374,52 @@ def test_passes_share_one_scan_of_frequencies_and_one_of_the_sample(spark, monke
     assert n0 == n1 and df0.tolist() == df1.tolist()
 
 
+def test_the_space_is_fitted_on_every_text(spark, monkeypatch):
+    """Each text counts, copies and nulls included, however many there are, in one pass or several."""
+    texts = spark.range(10_600).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 > 0, F.concat(F.lit("one two three four "), F.col("id") % 7000)).alias("text"))
+    items = spark.createDataFrame([(1, "one two 1 three 2 four 3"), (2, "four 5 six seven 4")], "item_id long, text string")
+    fitted, fit = [], leaks.latent_basis
+    monkeypatch.setattr(leaks, "latent_basis", lambda on, *rest: (fitted.append(on.agg(F.count("*"), F.count("text")).first()), fit(on, *rest))[1])
+    leaks.find_leaks(texts, items)
+    monkeypatch.setattr(leaks, "ITEMS_A_PASS", 1)
+    leaks.find_leaks(texts, items)
+    assert len(fitted) > 1 and set(map(tuple, fitted)) == {(10_600, texts.where("text is not null").count())}
+
+
+def test_the_product_over_all_texts_equals_the_dense_one(spark, monkeypatch):
+    rows, items, _ = planted(6)
+    wanted = leaks.Items.of([{"id": k, "text": t} for k, t in items], None)
+    vocabulary = wanted.vocabulary()
+    texts = [r[1] for r in rows] + [rows[0][1]] * 70 + [None, "", "none of them", f"{items[0][1]} " * 90]
+    table = frame(spark, [doc(k, t) for k, t in enumerate(texts)]).select("text").repartition(5)
+    idf = np.random.default_rng(2).uniform(0, 3, len(vocabulary))
+    idf[::5] = 0
+    row, term, tf, n = leaks._tf_rows([leaks._ids(leaks.words_of(t or ""), vocabulary) for t in texts], len(vocabulary))
+    a = np.zeros((n, len(vocabulary)))
+    a[row, term] = tf * idf[term]
+    vectors = np.random.default_rng(1).standard_normal((len(vocabulary), 24)).astype(np.float32)
+    for tasks, words in ((32, 1 << 18), (2, 100)):
+        monkeypatch.setattr(leaks, "_PART_TASKS", tasks)
+        monkeypatch.setattr(leaks, "_FIT_WORDS", words)
+        assert np.allclose(leaks._corpus_gram(table, vocabulary, idf, vectors), a.T @ (a @ vectors), rtol=1e-3, atol=1e-2)
+    few = leaks.Items.of([{"id": 1, "text": " ".join(items[0][1].split()[:20])}], None)  # no more terms than columns: nothing is left out
+    known = few.vocabulary()
+    weight = np.linspace(1, 3, len(known))
+    basis = leaks.latent_basis(table, few, known, weight, 96).astype(float)
+    parts = []
+    for lists in ([leaks._ids(leaks.words_of(t or ""), known) for t in texts], [leaks._ids(few.words[0], known)]):
+        row, term, tf, n = leaks._tf_rows(lists, len(known))
+        parts.append(np.zeros((n, len(known))))
+        parts[-1][row, term] = tf * weight[term]
+    grams = [p.T @ p for p in parts]
+    omega = np.linalg.qr(np.random.default_rng(7).standard_normal((len(known), len(known))))[0]
+    whole = grams[0] + grams[1] * np.linalg.norm(grams[0] @ omega) / np.linalg.norm(grams[1] @ omega)
+    values, turned = np.linalg.eigh(whole)
+    some = values > values.max() * 1e-5
+    wanted_root = (turned[:, some] / np.sqrt(values[some])) @ turned[:, some].T
+    assert some.sum() > 10 and np.allclose(basis @ basis.T, wanted_root, rtol=1e-2, atol=1e-3 * np.abs(wanted_root).max())
+
+
 def test_leak_edges(spark):
     benchmark = spark.createDataFrame([(1, "some words of an item that is here for the test to find them all."), (2, None), (3, ""), (None, "x y z"), (1, "some words")], "item_id long, text string")
     text = "Before. Some words of an item, that is here for the test to find them all; after."
